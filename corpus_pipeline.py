@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, quality, simhash
+from graphloom.llm import decontaminate, packing, quality, simhash
 from graphloom.llm.common import cut, release, table
 
 
@@ -31,10 +31,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", quality_filter),
     ("simhash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
 ]
 
 #: Learned scores, fingerprints and token packing have no SQL form; the tests hold the stages against brute force.
