@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, packing, quality, simhash
+from graphloom.llm import decontaminate, packing, quality, simhash, suffix_dedup
 from graphloom.llm.common import cut, release, table
 
 
@@ -26,6 +26,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of repeated passages go; so do documents of which nothing is left."""
+    return suffix_dedup.drop_repeats(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test window go."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -39,6 +44,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", quality_filter),
     ("simhash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
     ("benchmark decontamination", decontamination),
     ("best-fit packing", best_fit_packing),
 ]
