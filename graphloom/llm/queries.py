@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, packing, quality, simhash, substring_dedup, suffix_dedup, token_files
+from graphloom.llm import decontaminate, fingerprints, packing, quality, simhash, substring_dedup, suffix_dedup, token_files
 from graphloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.imatch(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
+    "op8_imatch": op8_imatch,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 
