@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, fingerprints, packing, quality, simhash, substring_dedup, suffix_dedup, token_files
+from graphloom.llm import decontaminate, fingerprints, html, packing, quality, simhash, substring_dedup, suffix_dedup, token_files, urls
 from graphloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"))
 
@@ -42,15 +46,21 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_html": op4_html,
     "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_imatch": op8_imatch,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_urls": op10_urls,
 }
 
 ORACLES: dict[str, str] = {}
