@@ -43,8 +43,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 PLACE_BITS = 28
 #: Extents that a task holds before it collapses and sends them.
 FLUSH = 1 << 20
-#: Contexts of one anchor, in items, up to which they are refined as one block.
-BLOCK = 1 << 16
+#: Contexts of one anchor, in items, up to which they are refined as one block; small anchors share blocks of about GROUP.
+BLOCK, GROUP = 1 << 16, 1 << 11
 
 ROWS_SCHEMA = "kind int, bucket int, id long, dk long, blob binary"
 FOUND_SCHEMA = "kind int, id long, dk long, block long, blob binary"
@@ -259,14 +259,14 @@ def ask(x: Extents, spec: Spec) -> np.ndarray:
 
 
 def blocks_of(x: Extents, which: np.ndarray, spec: Spec, bucket: int) -> np.ndarray:
-    """Block numbers for the extents asked for: whole anchors, up to BLOCK items; -1 where one anchor has more."""
+    """Block numbers for the extents asked for: whole anchors, some to a block; -1 where one has over BLOCK items."""
     at = np.flatnonzero(which)
     anchor, size = x["anchor"][at], x["n"][at].astype(np.int64) + spec.window
     new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     group = np.cumsum(new) - 1
     total = np.bincount(group, weights=size).astype(np.int64)
-    number = np.cumsum(np.where(total > BLOCK, 0, total)) // BLOCK
-    return np.where(total > BLOCK, -1, (bucket << 24) + number)[group]
+    number = np.cumsum(np.where(total > BLOCK, 0, total)) // GROUP
+    return np.where(total > BLOCK, -1, (bucket << 32) + number)[group]
 
 
 def resolve(rows: DataFrame, spec: Spec, buckets: int, refine: bool) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NO_ID, mix, texts
+from graphloom.llm.common import NO_ID, mix, ranges_to_index, texts
 from graphloom.llm.repeats import Spec, covered, keyed, pack_pairs, with_repeats
 from graphloom.llm.suffix_array import suffix_array
 
@@ -45,42 +45,41 @@ def spec(window: int = WINDOW) -> Spec:
 
 
 def repeats_in_block(rows: list[tuple], window: int) -> list[tuple]:
-    """Repeats among contexts (id, dk, place, n, context): n windows start at place."""
-    text, where = [], []
-    for r, (*_, n, context) in enumerate(rows):
-        text += [c + 1 for c in context]
-        text.append(0)
-        where += [(r, k) if k < n else None for k in range(len(context) + 1)]
-    raw = b"".join(row[4] + b"\0" for row in rows)
-    out: list[tuple] = []
-    run, head = [], None
-    for at in [*suffix_array(text), -1]:
-        if at >= 0 and where[at] is None:
-            continue
-        begins = raw[at : at + window] if at >= 0 else None
-        if begins != head or at < 0:
-            if len(run) > 1:
-                starts = [(rows[r][0], rows[r][2] + k, rows[r][1]) for r, k in run]
-                first = min(s[:2] for s in starts)
-                out += [s for s in starts if s[:2] > first]
-            run, head = [], begins
-        if at >= 0:
-            run.append(where[at])
-    return merged(out, window)
-
-
-def merged(starts: list[tuple[int, int, int]], window: int) -> list[tuple]:
-    """Window starts (id, place, dk) as repeats of each document."""
-    by: dict[tuple[int, int], set[int]] = {}
-    for i, place, dk in starts:
-        by.setdefault((i, dk), set()).add(place)
-    out = []
-    for (i, dk), places in by.items():
-        p = np.array(sorted(places))
-        new = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1] + 1]))
-        last = np.append(p[new[1:] - 1], p[-1])
-        out.append((0, i, dk, -1, pack_pairs(p[new], last - p[new] + window)))
-    return out
+    """Repeats among contexts (id, dk, place, n, context): n windows start at place, all inside the context."""
+    raw = b"".join(r[4] for r in rows)
+    ids, dks, places, counts = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+    ends = np.cumsum([len(r[4]) for r in rows])
+    starts = np.append(0, ends[:-1])
+    begins = np.zeros(len(raw), bool)
+    begins[ranges_to_index(starts, counts)] = True
+    order = np.array(suffix_array(raw), np.int64)
+    order = order[begins[order]]
+    heads = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), window)
+    same = np.zeros(len(order), bool)
+    for lo in range(1, len(order), 4096):
+        hi = min(lo + 4096, len(order))
+        same[lo:hi] = (heads[order[lo:hi]] == heads[order[lo - 1 : hi - 1]]).all(1)
+    group = np.cumsum(~same)
+    owner = np.searchsorted(ends, order, "right")
+    i, at = ids[owner], places[owner] + order - starts[owner]
+    sort = np.lexsort((at, i, group))
+    i, at, dk, group = i[sort], at[sort], dks[owner][sort], group[sort]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[np.cumsum(np.concatenate([[True], group[1:] != group[:-1]])) - 1]
+    later = (i > i[first]) | (i == i[first]) & (at > at[first])
+    return merged(i[later], dk[later], at[later], window)
+
+
+def merged(i: np.ndarray, dk: np.ndarray, at: np.ndarray, window: int) -> list[tuple]:
+    """Window starts as repeats of each document."""
+    if not len(i):
+        return []
+    sort = np.lexsort((at, dk, i))
+    i, dk, at = i[sort], dk[sort], at[sort]
+    doc = np.concatenate([[True], (i[1:] != i[:-1]) | (dk[1:] != dk[:-1])])
+    new = np.flatnonzero(doc | np.concatenate([[True], at[1:] > at[:-1] + 1]))
+    length = at[np.append(new[1:], len(at)) - 1] - at[new] + window
+    cuts = np.flatnonzero(doc[new])
+    return [(0, int(i[new[a]]), int(dk[new[a]]), -1, pack_pairs(at[new[a:b]], length[a:b])) for a, b in zip(cuts, [*cuts[1:], len(new)])]
 
 
 def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
