@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Side tables up to this many bytes (measured, not estimated) may be broadcast.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 1 << 20
 #: Sorts after every document id; stands for a missing one.
 NO_ID = (1 << 63) - 1
 #: Text bytes that one vectorised step works on.
