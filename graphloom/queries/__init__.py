@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.queries import sparql
+from graphloom.queries import kg, sparql, text
 
-MODULES = [sparql]
+MODULES = [sparql, kg, text]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
