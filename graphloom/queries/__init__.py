@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.queries import kg, sparql, text
+from graphloom.queries import kg, sparql, streams, text
 
-MODULES = [sparql, kg, text]
+MODULES = [sparql, kg, text, streams]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
