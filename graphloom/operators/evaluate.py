@@ -1,12 +1,13 @@
 """Support and coverage of text by evidence, fusion, decisions, and narrative statistics.
 
 Sentences and evidence lines meet only inside their group (a beat or a run), on
-token arrays computed once per line. Every pair is scored, the best one kept by
-an aggregate, so no pair table is materialised.
+token arrays computed once per line. Every pair is scored and the best one kept
+by an aggregate, so no pair table is materialised.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,32 +30,55 @@ class Settings:
 
 
 def featured(lines: DataFrame, text: str, settings: Settings) -> DataFrame:
-    """What comparing needs of each line: tokens, 3-grams, names, numbers, years."""
+    """What comparing needs of each line: hashed tokens and 3-grams, names, numbers, years.
+
+    Hashes of 64 bits stand for the strings: arrays of longs intersect without
+    boxing. ``plain`` says that no token repeats.
+    """
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    lines = lines.withColumn("tok", hashed(X.tokens(X.strip_noise(F.col(text))))).withColumn("kinds", F.array_distinct("tok"))
     return lines.withColumns({
-        "tok": X.tokens(X.strip_noise(F.col(text))), "gram": X.char_grams(F.col(text)), "names": X.proper_nouns(F.col(text)),
+        "plain": F.size("tok") == F.size("kinds"), "gram": hashed(X.char_grams(F.col(text))), "names": X.proper_nouns(F.col(text)),
         "nums": X.numbers(F.col(text)), "years": X.years(F.col(text), settings.compat_years),
     })
 
 
-def pairs(queries: DataFrame, candidates: DataFrame, group: str, settings: Settings) -> DataFrame:
-    """All (query, candidate) pairs of each group with their features.
+FEATURES = ["tok", "kinds", "plain", "gram", "names", "nums", "years"]
+
 
-    Both sides have columns ``group``, ``pos``, ``text``.
+def dealt(lines: DataFrame, group: str, side: str, settings: Settings) -> DataFrame:
+    """Featured lines as one side of pairs, dealt over all shuffle partitions by group.
+
+    Pairs cost far more than lines; a join on the group needs no shuffle after this.
     """
-    q, c = featured(queries, "text", settings), featured(candidates, "text", settings)
-    feats = ["tok", "gram", "names", "nums", "years"]
-    q = q.select(group, F.col("pos").alias("q_pos"), F.col("text").alias("q_text"), *(F.col(f).alias(f"q_{f}") for f in feats))
-    c = c.select(group, F.col("pos").alias("c_pos"), F.col("text").alias("c_text"), *(F.col(f).alias(f"c_{f}") for f in feats))
-    both = q.join(c, group)
-    hit = lambda f: F.when(F.arrays_overlap(f"q_{f}", f"c_{f}"), 1.0).otherwise(0.0)
-    char3 = F.when((F.size("q_gram") == 0) | (F.size("c_gram") == 0), F.lit(0.0)).otherwise(X.jaccard(F.col("q_gram"), F.col("c_gram")))
-    return both.select(
-        group, "q_pos", "q_text", "c_pos", "c_text", X.pair_tfidf_cosine(F.col("q_tok"), F.col("c_tok")).alias("tfidf"), char3.alias("char3"),
-        hit("names").alias("names"), hit("nums").alias("nums"), hit("years").alias("years"),
-    )
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = featured(lines.select(group, "pos", "text").repartition(n, group), "text", settings)
+    return out.select(group, *(F.col(c).alias(f"{side}_{c}") for c in ("pos", "text", *FEATURES)))
+
+
+def scored(both: DataFrame) -> DataFrame:
+    """Adds tfidf, char3, names, nums, years to rows with both sides' features.
 
+    Where no token repeats in either line, the TF-IDF cosine needs only how many they share.
+    """
+    both = both.withColumns({"__t": F.size(F.array_intersect("q_kinds", "c_kinds")), "__g": F.size(F.array_intersect("q_gram", "c_gram"))})
+    hit = lambda f: F.when((F.size(f"q_{f}") > 0) & (F.size(f"c_{f}") > 0) & F.arrays_overlap(f"q_{f}", f"c_{f}"), 1.0).otherwise(0.0)
+    grams = F.size("q_gram") + F.size("c_gram") - F.col("__g")
+    char3 = F.when((F.size("q_gram") == 0) | (F.size("c_gram") == 0), F.lit(0.0)).otherwise(F.col("__g") / grams)
+    alone = (math.log(1.5) + 1) ** 2
+    norm = lambda side: F.sqrt(F.col("__t") + alone * (F.size(f"{side}_kinds") - F.col("__t"))) + 1e-9
+    quick = F.when(F.col("__t") == 0, F.lit(0.0)).otherwise(F.col("__t") / (norm("q") * norm("c")))
+    tfidf = F.when(F.col("q_plain") & F.col("c_plain"), quick).otherwise(X.pair_tfidf_cosine(F.col("q_tok"), F.col("c_tok")))
+    return both.withColumns({"tfidf": tfidf, "char3": char3, "names": hit("names"), "nums": hit("nums"), "years": hit("years")}).drop("__t", "__g")
+
+
+def pairs(queries: DataFrame, candidates: DataFrame, group: str, settings: Settings) -> DataFrame:
+    """All (query, candidate) pairs of each group with their features; both sides have ``group``, pos, text."""
+    both = dealt(queries, group, "q", settings).join(dealt(candidates, group, "c", settings).hint("shuffle_hash"), group)
+    return scored(both).select(group, "q_pos", "q_text", "c_pos", "c_text", "tfidf", "char3", "names", "nums", "years")
 
-def fused(scored: DataFrame, group: str, settings: Settings) -> Column:
+
+def fused(rows: DataFrame, group: str, settings: Settings) -> Column:
     parts = [F.col(n) for n, use in (("tfidf", settings.use_tfidf), ("char3", settings.use_char3)) if use]
     if not parts:
         return F.lit(0.0)
@@ -73,15 +97,23 @@ def fused(scored: DataFrame, group: str, settings: Settings) -> Column:
 
 
 def best_match(queries: DataFrame, candidates: DataFrame, group: str, settings: Settings = Settings()) -> DataFrame:
-    """Each query with its best candidate, the earliest of equals; queries of groups without candidates have none."""
-    scored = pairs(queries, candidates, group, settings)
-    signal = fused(scored, group, settings) + 0.06 * F.col("names") + 0.04 * F.greatest("nums", "years")
-    scored = scored.withColumn("signal", F.round(signal, 9))
-    feats = ["c_text", "tfidf", "char3", "names", "nums", "years"]
-    best = scored.groupBy(group, "q_pos", "q_text").agg(F.max(F.struct("signal", (-F.col("c_pos")).alias("r"), *feats)).alias("b"))
-    out = best.select(group, F.col("q_pos").alias("pos"), F.col("q_text").alias("text"), "b.signal", (-F.col("b.r")).alias("best_pos"), *(f"b.{f}" for f in feats))
+    """Each query with its best candidate, the earliest of equals; queries of groups without candidates have none.
+
+    The best pair is found with one long per pair (signal to nine decimals, then
+    place), which aggregates by hash without a sort; only the chosen pairs get
+    their texts and features again.
+    """
+    q, c = dealt(queries, group, "q", settings), dealt(candidates, group, "c", settings)
+    every = scored(q.drop("q_text").join(c.drop("c_text").hint("shuffle_hash"), group))
+    signal = F.round(fused(every, group, settings) + 0.06 * F.col("names") + 0.04 * F.greatest("nums", "years"), 9)
+    packed = (F.round(signal * 1e9).cast("long") * (1 << 24)) + ((1 << 24) - 1 - F.col("c_pos"))
+    best = every.select(group, "q_pos", packed.alias("m")).groupBy(group, "q_pos").agg(F.max("m").alias("m"))
+    best = best.select(group, "q_pos", ((1 << 24) - 1 - F.pmod("m", F.lit(1 << 24))).cast("long").alias("c_pos"), (F.floor(F.col("m") / F.lit(1 << 24)) / 1e9).alias("signal"))
+    chosen = scored(q.join(best, [group, "q_pos"]).join(c, [group, "c_pos"]))
+    feats = ["tfidf", "char3", "names", "nums", "years"]
+    out = chosen.select(group, F.col("q_pos").alias("pos"), F.col("q_text").alias("text"), "signal", F.col("c_pos").alias("best_pos"), "c_text", *feats)
     lonely = queries.select(group, "pos", "text").join(candidates.select(group).distinct(), group, "left_anti")
-    zeros = {f: F.lit(0.0) for f in ("tfidf", "char3", "names", "nums", "years")}
+    zeros = {f: F.lit(0.0) for f in feats}
     return out.unionByName(lonely.withColumns({"signal": F.lit(-1.0), "best_pos": F.lit(-1).cast("long"), "c_text": F.lit(""), **zeros}))
 
 
@@ -129,24 +161,25 @@ def narrative(df: DataFrame, text: str) -> DataFrame:
     """Repetition, variety, flow and readability of each text, from arrays only: no shuffle."""
     s, w = F.col("__s"), F.col("__w")
     rows = df.withColumns({"__s": X.sentences(F.col(text), "C"), "__w": X.tokens(F.col(text))})
-    grams = lambda n: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
-    rows = rows.withColumns({"__g2": grams(2), "__g3": grams(3)})
-    distinct = lambda c: F.when(F.size(c) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(c)) / F.size(c))
-    # adjacent sentences: compared by content tokens
-    rows = rows.withColumn("__c", F.transform(s, lambda x: X.content_tokens(x)))
+    kinds = lambda n: F.when(F.size(w) < n, F.lit(0)).otherwise(F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n))))))
+    rows = rows.withColumns({
+        "__k1": F.size(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x)))), "__k2": kinds(2), "__k3": kinds(3),
+        "__c": F.transform(s, lambda x: F.array_distinct(F.transform(X.content_tokens(x), lambda t: F.xxhash64(t)))),
+        "__y": F.aggregate(w, F.lit(0), lambda a, x: a + X.syllables(x)),
+    })
     near = F.when(F.size(s) < 2, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: X.jaccard(F.get("__c", i - 1), F.get("__c", i), 1.0)))
     rows = rows.withColumn("__j", near)
     mean = lambda a: F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a))
     share = lambda test: F.when(F.size(s) == 0, F.lit(0.0)).otherwise(F.size(F.filter(s, test)) / F.size(s))
+    ratio = lambda k, n: F.when(F.size(w) < n, F.lit(0.0)).otherwise(F.col(k) / (F.size(w) - (n - 1)))
     cues = "^(" + "|".join(X.TRANSITIONS) + ")"
-    n_syllables = F.aggregate(w, F.lit(0), lambda a, x: a + X.syllables(x))
     return rows.withColumns({
-        "n_sentences": F.size(s).cast("long"), "n_tokens": F.size(w).cast("long"), "ttr": distinct(w), "distinct_2": distinct(F.col("__g2")), "distinct_3": distinct(F.col("__g3")),
-        "trigram_repetition": F.when(F.size("__g3") == 0, F.lit(0.0)).otherwise(1 - distinct(F.col("__g3"))),
+        "n_sentences": F.size(s).cast("long"), "n_tokens": F.size(w).cast("long"), "ttr": ratio("__k1", 1), "distinct_2": ratio("__k2", 2), "distinct_3": ratio("__k3", 3),
+        "trigram_repetition": F.when(F.size(w) < 3, F.lit(0.0)).otherwise(1 - ratio("__k3", 3)),
         "adjacent_overlap": mean(F.col("__j")), "transition_rate": share(lambda x: F.lower(x).rlike(cues)),
         "passive_rate": share(lambda x: x.rlike(r"(?i)\b(?:am|is|are|was|were|be|been|being)\b\s+\w+(?:ed|en)\b")),
-        "flesch": X.flesch(F.size(s), F.size(w), n_syllables), "grade": X.grade(F.size(s), F.size(w), n_syllables),
-    }).drop("__s", "__w", "__g2", "__g3", "__c", "__j")
+        "flesch": X.flesch(F.size(s), F.size(w), F.col("__y")), "grade": X.grade(F.size(s), F.size(w), F.col("__y")),
+    }).drop("__s", "__w", "__k1", "__k2", "__k3", "__c", "__j", "__y")
 
 
 def repeat_streak(sentences: DataFrame, doc: str, threshold: float) -> DataFrame:
