@@ -10,9 +10,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written to the shared folder and read back."""
+def few(spark: SparkSession) -> int:
+    """Partitions for a table of a few bytes per document: a sixteenth of the shuffle partitions, six at least."""
+    return max(6, partitions(spark) // 16)
+
+
+def cut(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """``df``, written to the shared folder and read back; in at most ``parts`` files where given.
+
+    Small tables go in few files: every file costs its task several file system calls.
+    """
+    if parts is not None:
+        df = df.coalesce(parts)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -76,6 +88,24 @@ def attach(docs: DataFrame, side: DataFrame, keys: list[str], how: str, side_byt
     return docs.join(side.hint("merge"), keys, how)
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow, after which the worker gives unused memory back.
+
+    Workers outlive their tasks; what their allocators keep would count against
+    the executor while other stages run.
+    """
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """UTF-8 bytes of every value; null is empty."""
     for x in column.cast(pa.large_binary()).to_pylist():

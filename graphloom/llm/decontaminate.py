@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, ranges_to_index, small_batches, texts
+from graphloom.llm.common import cut, ranges_to_index, small_batches, texts, tidy
 
 #: Lower-cases A-Z; every ASCII byte that is no letter or digit becomes a space.
 WORD_TABLE = bytes(
@@ -211,7 +211,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], doc_id: str = "do
                 ["doc_ids", "starts", "terms", "counts", "postings"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, INDEX_SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), INDEX_SCHEMA)
 
 
 def read_shard(row: dict, vocabulary: dict[bytes, int]) -> Shard:
@@ -257,7 +257,7 @@ def search_index(index: DataFrame, parts: list[Windows], slop: int = 0) -> DataF
                 if rows:
                     yield _emit(rows)
 
-    return index.mapInArrow(run, HITS_SCHEMA)
+    return index.mapInArrow(tidy(run), HITS_SCHEMA)
 
 
 def merge_runs(parts: list[np.ndarray]) -> np.ndarray:
@@ -298,4 +298,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                 keep &= np.array([not x for _, x in hits_of(shard, w.value)], bool)
             yield rows.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

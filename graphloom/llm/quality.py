@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import mix, small_batches, texts
+from graphloom.llm.common import mix, small_batches, texts, tidy
 
 #: Labelled rows that training reads at most.
-MAX_TRAIN_ROWS = 12_000
+MAX_TRAIN_ROWS = 8_000
 HASH_BITS = 20
 THRESHOLD = 0.7
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.05, 0.02, 4
@@ -41,7 +41,7 @@ REPEAT = np.uint64(0x9E3779B97F4A7C15)
 class Hasher:
     """Texts to sparse unit vectors; the hash of a word is remembered while memory allows."""
 
-    def __init__(self, bits: int = HASH_BITS, limit: int = 400_000):
+    def __init__(self, bits: int = HASH_BITS, limit: int = 200_000):
         self.mask, self.limit = np.uint64((1 << bits) - 1), limit
         self.known: dict[bytes, int] = {}
 
@@ -51,14 +51,14 @@ class Hasher:
             known.clear()
         found = WORD.findall(text)
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
         for w in set(found).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         pair = np.where(h[1:] == h[:-1], REPEAT, h[:-1] * np.uint64(3) + h[1:])
         index, count = np.unique(np.concatenate([h & self.mask, mix(pair) & self.mask]).astype(np.int64), return_counts=True)
         value = np.log1p(count)
-        return index, value / math.sqrt(float(value @ value))
+        return index.astype(np.int32), (value / math.sqrt(float(value @ value))).astype(np.float32)
 
 
 def sigmoid(x: float) -> float:
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         bias, weights = train([r[3] for r in rows], [r[2] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([float(bias)]), pa.array([weights.tobytes()], pa.binary())], ["bias", "weights"])
 
-    row = pairs.repartition(1).mapInArrow(run, "bias double, weights binary").first()
+    row = pairs.repartition(1).mapInArrow(tidy(run), "bias double, weights binary").first()
     if row is None:  # an empty frame may never reach the task
         return 0.0, np.zeros(1 << HASH_BITS, np.float32)
     return row.bias, np.frombuffer(row.weights, np.float32)
@@ -150,7 +150,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score(texts(b.column("text")), hasher))], ["doc_id", "score"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -163,4 +163,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text", thresho
         for b in batches:
             yield b.filter(pa.array(score(texts(b.column(text)), hasher) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

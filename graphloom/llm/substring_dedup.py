@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import NO_ID, texts
+from graphloom.llm.common import NO_ID, texts, tidy
 from graphloom.llm.repeats import Spec, covered, keyed, with_repeats
 
 WINDOW, SEED_WORDS = 50, 20
@@ -57,4 +57,4 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             columns = zip(*out) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")

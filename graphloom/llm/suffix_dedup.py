@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NO_ID, mix, ranges_to_index, texts
+from graphloom.llm.common import NO_ID, mix, ranges_to_index, texts, tidy
 from graphloom.llm.repeats import Spec, covered, keyed, pack_pairs, with_repeats
 from graphloom.llm.suffix_array import suffix_array
 
@@ -98,7 +98,7 @@ def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
             columns = zip(*out) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", window: int = WINDOW) -> DataFrame:
@@ -125,4 +125,4 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
             columns = [pa.array(data, b.column(c).type) if c == text else pa.array(sizes, b.column(c).type) if c == n_chars else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return rows.select(*(F.col(c) for c in names), "__blobs").mapInArrow(run, schema)
+    return rows.select(*(F.col(c) for c in names), "__blobs").mapInArrow(tidy(run), schema)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NO_ID, chunks, cut, partitions, shared_dir, small_batches, texts
+from graphloom.llm.common import NO_ID, chunks, cut, partitions, shared_dir, small_batches, texts, tidy
 from graphloom.llm.tokens import TOKENIZER, encoder, with_end
 
 LENGTH, ROWS, END = 2048, 64, 1
@@ -141,7 +141,7 @@ def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
         if writer is not None:
             writer.close()
 
-    return cut(ordered.mapInArrow(run, INDEX_SCHEMA), "token-index")
+    return cut(ordered.mapInArrow(tidy(run), INDEX_SCHEMA), "token-index")
 
 
 def read_tokens(index: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def read_tokens(index: DataFrame) -> DataFrame:
                 out.append((None if i == NO_ID else i, bases[f] + place, n, zlib.crc32(reader.run(place, n).astype("<u4").tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return index.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return index.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from graphloom.llm.common import ranges_to_index
 
 #: Words remembered by one worker, and how many stay when it has more.
-KNOWN, KEPT = 500_000, 200_000
+KNOWN, KEPT = 350_000, 150_000
 TOKENIZER = "word_bpe_49k.json"
 #: A word that the tokenizer splits no further: lower-case letters of ASCII and Latin-1 only, or ASCII punctuation (no apostrophe) only.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-`{-~]+")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import tidy
+
 # The rules (verdict, host, path) of the filter.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -155,5 +157,5 @@ def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]]
                 out.append("block" if bayes(words) > 0 else "allow")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "method"])
 
-    judged = parted.mapInArrow(run, schema).withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
+    judged = parted.mapInArrow(tidy(run), schema).withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
     return judged.select(*names, "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce("__rule.verdict", "method").alias("verdict"))
