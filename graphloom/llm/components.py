@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, release
+from graphloom.llm.common import cut, few, release
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,12 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    edges = cut(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    edges = cut(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges", few(pairs.sparkSession))
     seen = None
     while True:
         sign = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen or not sign[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen, old = sign, edges
-        edges = cut(_small(_large(old)), "edges")
+        edges = cut(_small(_large(old)), "edges", few(pairs.sparkSession))
         release(old)

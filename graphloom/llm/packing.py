@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import chunks, cut, small_batches, texts
+from graphloom.llm.common import chunks, cut, few, small_batches, texts, tidy
 from graphloom.llm.tokens import TOKENIZER, encoder, with_end
 
 CAPACITY, END = 2048, 0
@@ -194,7 +194,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return cut(rows.mapInArrow(run, PIECES_SCHEMA), "pieces")
+    return cut(rows.mapInArrow(tidy(run), PIECES_SCHEMA).repartition(few(docs.sparkSession)), "pieces")
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
@@ -216,4 +216,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

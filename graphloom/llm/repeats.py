@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.llm.common import CHUNK_BYTES, NO_ID, attach, chunks, cut, mix, partitions, ranges_to_index, small_batches, texts
+from graphloom.llm.common import CHUNK_BYTES, NO_ID, attach, chunks, cut, mix, partitions, ranges_to_index, small_batches, texts, tidy
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -42,7 +42,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Low bits of a packed k-gram hash that hold its position.
 PLACE_BITS = 28
 #: Extents that a task holds before it collapses and sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Contexts of one anchor, in items, up to which they are refined as one block; small anchors share blocks of about GROUP.
 BLOCK, GROUP = 1 << 16, 1 << 11
 
@@ -305,7 +305,7 @@ def resolve(rows: DataFrame, spec: Spec, buckets: int, refine: bool) -> DataFram
         if parts:
             yield _batch(finish(bucket, parts), FOUND_SCHEMA)
 
-    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND_SCHEMA)
+    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), FOUND_SCHEMA)
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -337,7 +337,7 @@ def _refine_by_hash(asked: DataFrame, docs: DataFrame, text: str, spec: Spec, bu
         if parts:
             yield send(join_extents(parts), spec, buckets)
 
-    return resolve(joined.mapInArrow(run, ROWS_SCHEMA), spec, buckets, refine=False)
+    return resolve(joined.mapInArrow(tidy(run), ROWS_SCHEMA), spec, buckets, refine=False)
 
 
 def _refine_by_suffix_array(asked: DataFrame, docs: DataFrame, text: str, spec: Spec) -> DataFrame:
@@ -372,8 +372,8 @@ def _refine_by_suffix_array(asked: DataFrame, docs: DataFrame, text: str, spec:
         if held:
             yield _batch(repeats_in_block(held, spec.window), FOUND_SCHEMA)
 
-    moved = joined.mapInArrow(cut_out, contexts).repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "id", "place")
-    return moved.mapInArrow(run, FOUND_SCHEMA)
+    moved = joined.mapInArrow(tidy(cut_out), contexts).repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "id", "place")
+    return moved.mapInArrow(tidy(run), FOUND_SCHEMA)
 
 
 def find_repeats(docs: DataFrame, text: str, spec: Spec) -> DataFrame:
@@ -387,7 +387,7 @@ def find_repeats(docs: DataFrame, text: str, spec: Spec) -> DataFrame:
         for b in batches:
             data = list(texts(b.column("text")))
             ids, dks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__id", "__dk"))
-            for lo, hi in chunks(np.fromiter(map(len, data), np.int64, len(data)), CHUNK_BYTES // 2):
+            for lo, hi in chunks(np.fromiter(map(len, data), np.int64, len(data)), CHUNK_BYTES // 4):
                 x = extents([spec.values(t) for t in data[lo:hi]], ids[lo:hi], dks[lo:hi], spec)
                 if x:
                     parts.append(x)
@@ -398,18 +398,19 @@ def find_repeats(docs: DataFrame, text: str, spec: Spec) -> DataFrame:
         if parts:
             yield send(join_extents(parts), spec, buckets)
 
-    rows = docs.select("__id", "__dk", F.col(text).alias("text")).mapInArrow(run, ROWS_SCHEMA)
-    found = cut(resolve(rows, spec, buckets, refine=True), "repeats")
+    rows = docs.select("__id", "__dk", F.col(text).alias("text")).mapInArrow(tidy(run), ROWS_SCHEMA)
+    parts = max(12, partitions(spark) // 4)
+    found = cut(resolve(rows, spec, buckets, refine=True), "repeats", parts)
     asked = found.filter("kind = 1")
-    parts = [found.filter("kind = 0")]
+    pieces = [found.filter("kind = 0")]
     hashed = asked.filter("block = -1")
     if not hashed.isEmpty():
-        parts.append(cut(_refine_by_hash(hashed, docs, text, spec, buckets), "refined"))
+        pieces.append(cut(_refine_by_hash(hashed, docs, text, spec, buckets), "refined", parts))
     blocked = asked.filter("block <> -1")
     if spec.by_suffix_array and not blocked.isEmpty():
-        parts.append(cut(_refine_by_suffix_array(blocked, docs, text, spec), "sorted"))
-    out = parts[0]
-    for p in parts[1:]:
+        pieces.append(cut(_refine_by_suffix_array(blocked, docs, text, spec), "sorted", parts))
+    out = pieces[0]
+    for p in pieces[1:]:
         out = out.unionByName(p)
     return out.select("id", "dk", "blob")
 

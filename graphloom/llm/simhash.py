@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.llm.common import BROADCAST_BYTES, NO_ID, cut, release, small_batches, texts
+from graphloom.llm.common import BROADCAST_BYTES, NO_ID, cut, few, small_batches, texts, tidy
 from graphloom.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -140,7 +140,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_signed(fingerprint(t)) for t in texts(b.column("text"))], pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _keyed(nodes: DataFrame, deeper: bool = False) -> DataFrame:
@@ -165,7 +165,7 @@ def _keyed(nodes: DataFrame, deeper: bool = False) -> DataFrame:
                 rows = rows[~again]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["key", "sub", "fp"])
 
-    return nodes.mapInArrow(run, "key long, sub long, fp long")
+    return nodes.mapInArrow(tidy(run), "key long, sub long, fp long")
 
 
 def _local_links(buckets: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _local_links(buckets: DataFrame) -> DataFrame:
                     c.append(_signed(int(fps[r])))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
-    return buckets.select("fps").mapInArrow(run, "a long, b long")
+    return buckets.select("fps").mapInArrow(tidy(run), "a long, b long")
 
 
 def _flipped(keyed: DataFrame) -> DataFrame:
@@ -198,18 +198,19 @@ def _flipped(keyed: DataFrame) -> DataFrame:
                     part = mine[lo : lo + 256]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, len(masks))), pa.array((part[:, None] ^ masks).ravel())], ["fp", "other"])
 
-    return keyed.mapInArrow(run, "fp long, other long")
+    return keyed.mapInArrow(tidy(run), "fp long, other long")
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): links that span the near-duplicate graph of distinct fingerprints ``nodes(fp)``."""
-    keyed = cut(_keyed(nodes.select("fp")), "golay")
+    parts = few(nodes.sparkSession)
+    keyed = _keyed(nodes.select("fp"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(keyed.join(sizes, "key"), "golay-shared")
+    shared = cut(keyed.join(sizes, "key"), "golay-shared", parts)
     found = _local_links(shared.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("fp").alias("fps")))
     large = shared.filter(F.col("n") > BUCKET)
     if not large.isEmpty():
-        deeper = cut(_keyed(large.select("key", "fp"), deeper=True), "golay-deeper")
+        deeper = cut(_keyed(large.select("key", "fp"), deeper=True), "golay-deeper", parts)
         sizes = deeper.groupBy("key", "sub").agg(F.count("*").alias("n")).filter("n > 1")
         split = deeper.join(sizes, ["key", "sub"])
         found = found.unionByName(_local_links(split.filter(F.col("n") <= BUCKET).groupBy("key", "sub").agg(F.collect_list("fp").alias("fps"))))
@@ -221,12 +222,14 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component_id (null ids count as the largest id) and keeper, the fingerprint of the document that stays."""
-    rows = cut(fingerprints(docs, doc_id, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "fingerprints")
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    parts = few(docs.sparkSession)
+    found = fingerprints(docs, doc_id, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    rows = cut(found.repartition(parts), "fingerprints")
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes", parts)
     roots = components(links(nodes), "a", "b")
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("least"))
-    mapped = cut(placed.join(least, "root").select("fp", F.col("least.first").alias("component_id"), F.col("least.fp").alias("keeper")), "mapped")
+    mapped = placed.join(least, "root").select("fp", F.col("least.first").alias("component_id"), F.col("least.fp").alias("keeper"))
     return rows.join(mapped, "fp").select("doc_id", "fp", "component_id", "keeper")
 
 
@@ -241,12 +244,12 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each near-duplicate group, the one with the smallest id; all columns kept."""
-    groups = cut(near_duplicates(docs, doc_id, text), "groups")
+    groups = cut(near_duplicates(docs, doc_id, text), "groups", few(docs.sparkSession))
     gone = groups.filter("doc_id <> component_id or fp <> keeper").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
     again = not groups.groupBy("doc_id", "fp").count().filter("count > 1").isEmpty()
-    few = gone.count() * 16 <= BROADCAST_BYTES
+    small = gone.count() * 16 <= BROADCAST_BYTES
     marked = _with_fp(docs, doc_id, text)
-    kept = marked.join(F.broadcast(gone) if few else gone.hint("merge"), ["__id", "__fp"], "left_anti")
+    kept = marked.join(F.broadcast(gone) if small else gone.hint("merge"), ["__id", "__fp"], "left_anti")
     if again:  # rows repeated under one id: any one of them stays
         kept = kept.dropDuplicates(["__id", "__fp"])
     return kept.select(*docs.columns)
@@ -261,4 +264,4 @@ def _with_fp(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             fp = pa.array([_signed(fingerprint(t)) for t in texts(b.column(text))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, "__fp"])
 
-    return docs.mapInArrow(run, schema).withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
+    return docs.mapInArrow(tidy(run), schema).withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
