@@ -154,7 +154,7 @@ def test_text(spark):
     assert value(X.jaccard(s(""), s(""), 1.0)) == 1.0 and value(X.jaccard(s(""), s("a"), 1.0)) == 0.0
     assert value(X.char_grams(F.lit("ab"))) == [" ab", "ab "] and value(X.char_grams(F.lit("ab"), pad=False)) == []
     assert value(X.years(F.lit("In 1969 and 1985."))) == ["1969", "1985"] and value(X.years(F.lit("1969"), True)) == ["19"]
-    assert value(X.strip_noise(F.lit('“Live”  at <x> https://e.org/a now'))) == '"Live" at now'
+    assert value(X.strip_noise(F.lit('“Loud”  at <x> https://e.org/a now'))) == '"Loud" at now'
     assert value(X.normalise_dates(F.lit("On 13 July 1985, then July 4, 1986."))) == "On 13 July 1985 1985-07-13, then July 4, 1986 1986-07-04."
     assert value(X.expand_aliases(F.lit("The BBC."), {"british": ["bbc"]})) == "The british bbc."
     for n, want in ((0, []), (10, ["x" * 10]), (11, ["x" * 10, "x" * 5]), (16, ["x" * 10, "x" * 10])):
@@ -168,8 +168,8 @@ def test_text(spark):
 
 
 def test_support(spark):
-    q = spark.createDataFrame([(1, 1, "Queen played in 1985 at Wembley"), (1, 2, "nothing alike"), (2, 1, "alone")], "g long, pos long, text string")
-    c = spark.createDataFrame([(1, 1, "zzz"), (1, 2, "Queen played at Wembley in 1985"), (1, 3, "Queen played at Wembley in 1985")], "g long, pos long, text string")
+    q = spark.createDataFrame([(1, 1, "Queen played in 1985 at Oslo"), (1, 2, "nothing alike"), (2, 1, "alone")], "g long, pos long, text string")
+    c = spark.createDataFrame([(1, 1, "zzz"), (1, 2, "Queen played at Oslo in 1985"), (1, 3, "Queen played at Oslo in 1985")], "g long, pos long, text string")
     got = {(r.g, r.pos): r for r in evaluate.decide(evaluate.best_match(q, c, "g")).collect()}
     assert got[1, 1].best_pos == 2 and got[1, 1].rule == "anchor+any" and got[1, 1].supported
     assert not got[1, 2].supported and got[2, 1].best_pos == -1 and not got[2, 1].supported
