@@ -43,8 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def few(spark: SparkSession) -> int:
-    """Partitions for a table of a few bytes per document: a sixteenth of the shuffle partitions, six at least."""
-    return max(6, partitions(spark) // 16)
+    """Partitions for a table of a few bytes per document: a twelfth of the shuffle partitions, so they grow with the input."""
+    return max(2, -(-partitions(spark) // 12))
 
 
 def cut(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:

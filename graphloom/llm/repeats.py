@@ -399,7 +399,7 @@ def find_repeats(docs: DataFrame, text: str, spec: Spec) -> DataFrame:
             yield send(join_extents(parts), spec, buckets)
 
     rows = docs.select("__id", "__dk", F.col(text).alias("text")).mapInArrow(tidy(run), ROWS_SCHEMA)
-    parts = max(12, partitions(spark) // 4)
+    parts = max(4, -(-partitions(spark) // 4))
     found = cut(resolve(rows, spec, buckets, refine=True), "repeats", parts)
     asked = found.filter("kind = 1")
     pieces = [found.filter("kind = 0")]
