@@ -2,9 +2,10 @@
 
 Terms are the space- or line-separated words of a text, hashed. The lexicon
 keeps hash buckets whose inverse document frequency lies in a band: words of a
-large share of all documents go, and buckets hardly ever seen. It is a bitmap of
-fixed size (``LEXICON_BITS``), learnt from all documents and independent of how
-many there are.
+large share of all documents go, and buckets hardly ever seen. Copies of one text
+count as one document, so that they take no term out of the band. The lexicon is a
+bitmap of fixed size (``LEXICON_BITS``), learnt from all documents and independent
+of how many there are.
 
 The lexicon is split at random into ``SUBSETS`` subsets. A document's distinct
 in-band terms are sorted and hashed subset by subset. A subset that holds many
@@ -15,12 +16,16 @@ documents of like size always have a level in common. Likeness of two
 fingerprints is the share of subsets with equal hashes among those in which
 either has a term, at the higher of their levels.
 
+In-band terms say little of a text that has hardly any among its terms (under
+``FEW_SHARE``). So a fingerprint is kept over all terms as well, and two texts are
+compared over their in-band terms if both have enough of them, else over all.
+
 The neighbour that an edited text borrows from is found without a global sort:
 documents are dealt into buckets of consecutive ids, each bucket also gets the
 first document of the next, and a window within the bucket does the rest.
 
-Defined results: a null text is an empty one; without in-band terms all terms
-count; two texts without words are alike (1.0), a text with and one without are
+Defined results: a null text is an empty one; the fingerprint shown is that of all
+terms where a text has few in band; two texts without words are alike (1.0), a text with and one without are
 not (0.0); a missing id sorts below all others, rows of one id by the hash of
 their text; a single document is its own neighbour; an empty table gives no rows.
 """
@@ -37,6 +42,8 @@ from graphloom.llm.common import partitions
 LEXICON_BITS, SUBSETS = 18, 32
 #: Band of document frequency: a share of all documents at most, a count at least.
 MAX_SHARE, MIN_COUNT = 0.02, 2
+#: A text with a smaller share of its terms in band has few of them.
+FEW_SHARE = 0.25
 #: Rows that one bucket of consecutive ids should hold, and how many buckets at most.
 BUCKET_ROWS, MAX_BUCKETS = 2000, 20_000
 LOWEST = -(1 << 63)
@@ -51,8 +58,11 @@ def terms(text: Column) -> Column:
 def lexicon(docs: DataFrame, text: str = "text") -> list[int]:
     """Bitmap of in-band term buckets, as 2**LEXICON_BITS / 64 longs."""
     mask = (1 << LEXICON_BITS) - 1
-    n = docs.count()
-    seen = docs.select(F.explode(F.array_distinct(F.transform(terms(F.coalesce(text, F.lit(""))), lambda t: t.bitwiseAND(mask)))).alias("b"))
+    words = F.coalesce(text, F.lit(""))
+    n = docs.select(F.xxhash64(words).alias("h")).distinct().count()
+    buckets = F.array_sort(F.array_distinct(F.transform(terms(words), lambda t: t.bitwiseAND(mask).cast("int"))))
+    distinct = docs.select(F.xxhash64(words).alias("h"), buckets.alias("b")).groupBy("h").agg(F.first("b").alias("b"))  # copies collapse within tasks
+    seen = distinct.select(F.explode("b").alias("b"))
     kept = seen.groupBy("b").agg(F.count("*").alias("df")).filter((F.col("df") >= MIN_COUNT) & (F.col("df") <= max(MIN_COUNT, n * MAX_SHARE)))
     rows = kept.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).collect()  # at most 4096 rows
     out = [0] * (1 << LEXICON_BITS - 6)
@@ -72,29 +82,40 @@ def _hashes(chosen: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: Column, bitmap: list[int], name: str) -> DataFrame:
-    """``df`` with struct ``name``: level, and subset hashes at that level and the next."""
+    """``df`` with struct ``name``: whether few terms are in band, and for in-band and all terms the level and the subset hashes at it and the next."""
     table = F.lit(bitmap).cast("array<bigint>")
     mask = (1 << LEXICON_BITS) - 1
-    all_terms, banded, size = f"{name}_all", f"{name}_band", f"{name}_level"
+    sets = {"band": f"{name}_band", "whole": f"{name}_all"}
 
     def in_band(t: Column) -> Column:
         b = t.bitwiseAND(mask)
         return F.getbit(F.get(table, F.shiftright(b, 6).cast("int")), b.bitwiseAND(63).cast("int")) == 1
 
-    def at(level: Column) -> Column:
+    def at(chosen: str, level: Column) -> Column:
         thin = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
-        return F.filter(banded, lambda t: F.shiftrightunsigned(t, 20).bitwiseAND(thin) == 0)
+        return F.filter(chosen, lambda t: F.shiftrightunsigned(t, 20).bitwiseAND(thin) == 0)
+
+    df = df.withColumn(sets["whole"], terms(text))
+    df = df.withColumn(sets["band"], F.filter(sets["whole"], in_band))
+    df = df.withColumn(f"{name}_few", F.size(sets["band"]) < F.size(sets["whole"]) * FEW_SHARE)
+    df = df.withColumns({f"{c}_level": F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(c), F.lit(1)))).cast("int") - 4) for c in sets.values()})
+    df = df.withColumns({f"{c}_{k}": at(c, F.col(f"{c}_level") + k) for c in sets.values() for k in (0, 1)}).drop(*sets.values())
+    prints = [F.struct(F.col(f"{c}_level").alias("level"), _hashes(F.col(f"{c}_0")).alias("a"), _hashes(F.col(f"{c}_1")).alias("b")).alias(k) for k, c in sets.items()]
+    both = F.struct(F.col(f"{name}_few").alias("few"), *prints)
+    return df.withColumn(name, both).drop(f"{name}_few", *(f"{c}_{k}" for c in sets.values() for k in ("level", 0, 1)))
+
 
-    df = df.withColumn(all_terms, terms(text))
-    df = df.withColumn(banded, F.filter(all_terms, in_band))
-    df = df.withColumn(banded, F.when(F.size(banded) > 0, F.col(banded)).otherwise(F.col(all_terms))).drop(all_terms)
-    df = df.withColumn(size, F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(banded), F.lit(1)))).cast("int") - 4))
-    df = df.withColumns({f"{name}_0": at(F.col(size)), f"{name}_1": at(F.col(size) + 1)}).drop(banded)
-    pair = F.struct(F.col(size).alias("level"), _hashes(F.col(f"{name}_0")).alias("a"), _hashes(F.col(f"{name}_1")).alias("b"))
-    return df.withColumn(name, pair).drop(size, f"{name}_0", f"{name}_1")
+def own(f: Column) -> Column:
+    """The fingerprint of a text by itself."""
+    return F.when(f["few"], f["whole"]).otherwise(f["band"])
 
 
 def likeness(x: Column, y: Column) -> Column:
+    """Likeness of two structs of ``with_fingerprint``, over the same kind of terms of both."""
+    return F.when(x["few"] | y["few"], equal_share(x["whole"], y["whole"])).otherwise(equal_share(x["band"], y["band"]))
+
+
+def equal_share(x: Column, y: Column) -> Column:
     """Share of equal subset hashes, from 0 to 1, of two fingerprint structs."""
     p = F.when(x["level"] >= y["level"], x["a"]).otherwise(x["b"])
     q = F.when(y["level"] >= x["level"], y["a"]).otherwise(y["b"])
@@ -149,7 +170,8 @@ def imatch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     bitmap = lexicon(docs, text)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.withColumns({"__id": F.coalesce("doc_id", F.lit(LOWEST)), "__tie": F.xxhash64("text")})
-    rows = with_next(with_fingerprint(dealt_in_order(base), F.col("text"), bitmap, "f"), "text", "f")
+    dealt = dealt_in_order(base).repartition("__bucket")  # before the fingerprints, which need not be shuffled
+    rows = with_next(with_fingerprint(dealt, F.col("text"), bitmap, "f"), "text", "f")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("tail", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("tail")), F.substring(F.col("next.text"), F.lit(1), F.col("tail"))))
     rows = with_fingerprint(rows, F.col("edited"), bitmap, "e")
@@ -157,8 +179,8 @@ def imatch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("f")).alias("fingerprint"),
-        as_text(F.col("e")).alias("edited_fingerprint"),
+        as_text(own(F.col("f"))).alias("fingerprint"),
+        as_text(own(F.col("e"))).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("e")).alias("near_edited"),
         likeness(F.col("f"), F.col("next.f")).alias("near_next"),
     )

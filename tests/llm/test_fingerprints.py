@@ -52,3 +52,22 @@ def test_small_tables(spark):
     r = F8.imatch(one).first()
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"abc dab").hexdigest()
     assert F8.imatch(one.limit(0)).count() == 0
+
+
+def test_copies_do_not_empty_the_lexicon(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    copied = say(300)
+    rows = [(i, copied if i % 3 == 0 else say(300)) for i in range(180)]
+    got = {r.doc_id: r for r in F8.imatch(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    near = [got[i].near_edited for i, t in rows if t == copied]
+    assert sum(near) / len(near) > 0.25 and max(got[i].near_next for i, _ in rows) < 0.2
+
+
+def test_few_terms_in_band_are_compared_over_all(spark):
+    rng = random.Random(10)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(i * 10, " ".join([f"w{rng.randrange(9000)}" for _ in range(200)] + common)) for i in range(150)]
+    rows += [(1495, " ".join(common)), (55, " ".join(common[:9]))]
+    got = {r.doc_id: r for r in F8.imatch(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1495].near_edited > 0.3 and got[55].near_edited > 0.3
