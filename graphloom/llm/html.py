@@ -1,15 +1,15 @@
-"""Main-text extraction: block structure, and a host suffix array for pages without it.
+"""Main-text extraction: block structure, and the repeats of a host for pages without it.
 
 A page is read into blocks. What its markup names as no part of the text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments)
 is left out; where the page marks its article, the blocks inside are the text.
 
-Pages that mark no article are compared with the other pages of their host:
-the token streams of the pages are concatenated, their suffix array gives all
-substrings of at least ``LONG`` tokens that occur in two distinct pages, tokens
-these cover are boilerplate, and what is left of each block, its unique runs, is
-the text. The pages of a large host are dealt into groups of bounded size by a
-hash of their ids, so a host's share of the table bounds no task.
+Pages that mark no article are compared with all other pages of their host: every
+window of ``LONG`` tokens that occurs in two distinct pages is boilerplate, and
+what is left of each block is the text. Pages of equal blocks are one page, so
+copies keep their text. Windows meet by a 128-bit hash of host and tokens, and
+only the smallest and largest page of each are kept, so the pages of a host are
+never brought together and its size does not matter.
 
 Repeats do not decide inside a marked article: passages that several articles
 share belong to each of them.
@@ -17,24 +17,27 @@ share belong to each of them.
 Defined results: null or empty html has the empty text; an unclosed element ends
 with its parent, an unclosed comment with the page; white space is any Unicode
 white space; a null url is a host of its own; repeated rows each get a row and
-count as distinct pages; an empty table gives no rows.
+count as one page; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import partitions, small_batches, tidy
+from graphloom.llm.common import small_batches, tidy
 from graphloom.llm.suffix_array import suffix_array
 from graphloom.llm.urls import host_of
 
-#: Tokens in a repeat that counts as boilerplate, and characters of html in one group of a host's pages.
-LONG, GROUP_CHARS = 8, 2 << 20
+#: Tokens in a repeat that counts as boilerplate.
+LONG = 8
+#: Parts that the copies of one page are dealt into.
+COPIES = 64
 
 # Element names.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -180,6 +183,24 @@ def unique_runs(pages: list[list[str]], long: int = LONG) -> list[list[str]]:
     return out
 
 
+def window_keys(host: str, words: list[str], long: int = LONG) -> list[bytes]:
+    """A hash of host and tokens for every window of ``long`` tokens."""
+    return [blake2b("\n".join([host, *words[k : k + long]]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for k in range(len(words) - long + 1)]
+
+
+def without(body: str, hits, long: int = LONG) -> str:
+    """The blocks of ``body`` without the windows that begin at the tokens ``hits``; blocks left empty go."""
+    gone = {k for h in hits for k in range(h, h + long)}
+    out, at = [], 0
+    for block in body.split("\n") if body else []:
+        words = block.split()
+        kept = [w for k, w in enumerate(words, at) if k not in gone]
+        at += len(words)
+        if kept:
+            out.append(" ".join(kept))
+    return "\n".join(out)
+
+
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     spark = pages.sparkSession
@@ -201,30 +222,31 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     marked = F.col("html").rlike(MARKED)
     known = rows.filter(marked).mapInArrow(tidy(by_markup), schema)
-    plain = rows.filter(~marked).withColumn("host", host_of(F.col("url")))
-    sizes = plain.groupBy("host").agg(F.sum(F.char_length("html")).alias("size"))
-    groups = plain.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.greatest(F.col("size"), F.lit(1)) / GROUP_CHARS)))
+    plain = rows.filter(~marked).withColumns({"host": host_of(F.col("url")), "part": F.pmod(F.xxhash64("page_id", "url"), F.lit(COPIES))})
+    body_schema = plain.select("page_id", "url", F.col("html").alias("body"), "host", "part").schema
 
-    def by_repeats(batches):
-        key, held = None, []
+    def parse(batches):
+        for b in batches:
+            bodies = ["\n".join(blocks(page)[1]) for page in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(bodies, pa.string()), b.column("host"), b.column("part")], body_schema.names)
 
-        def finish() -> pa.RecordBatch:
-            left = unique_runs([blocks(r[2])[1] for r in held])
-            texts = ["\n".join(x) for x in left]
-            columns = [pa.array([r[k] for r in held], schema_types[k]) for k in (0, 1)] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+    bodies = plain.mapInArrow(tidy(parse), body_schema).withColumn("page", F.xxhash64("body"))
 
-        schema_types = None
+    def windows(batches):
         for b in batches:
-            schema_types = (b.schema.field("page_id").type, b.schema.field("url").type)
-            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "part"))):
-                if row[3:] != key:
-                    if held:
-                        yield finish()
-                    key, held = row[3:], []
-                held.append(row)
-        if held:
-            yield finish()
-
-    dealt = groups.select("page_id", "url", "html", "host", "part").repartition(partitions(spark), "host", "part").sortWithinPartitions("host", "part", "page_id")
-    return known.unionByName(dealt.mapInArrow(tidy(by_repeats), schema))
+            for host, page, part, body in zip(*(b.column(c).to_pylist() for c in ("host", "page", "part", "body"))):
+                keys = window_keys(host, body.split())
+                n = len(keys)
+                columns = [pa.array([host] * n, pa.string()), pa.array([page] * n, pa.int64()), pa.array([part] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(keys, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "page", "part", "at", "key"])
+
+    seen = bodies.select("host", "page", "part", "body").mapInArrow(tidy(windows), "host string, page long, part long, at int, key binary")
+    shared = seen.groupBy("key").agg(F.min("page").alias("low"), F.max("page").alias("high")).filter("low < high").select("key")
+    hits = seen.join(shared, "key").groupBy("host", "page", "part").agg(F.collect_set("at").alias("hits"))
+
+    def erase(batches):
+        for b in batches:
+            yield emit(b, [without(body, hits or ()) for body, hits in zip(b.column("body").to_pylist(), b.column("hits").to_pylist())])
+
+    left = bodies.join(hits, ["host", "page", "part"], "left").select("page_id", "url", "body", "hits")
+    return known.unionByName(left.mapInArrow(tidy(erase), schema))

@@ -53,6 +53,18 @@ def test_runs_against_brute_force():
         assert " ".join(page).split() == [w for i, w in enumerate(streams[p]) if i not in gone]
 
 
+def test_repeats_of_a_large_host(spark):
+    chrome, both = "home news about contact imprint terms privacy help jobs", "a passage that only two pages of all have here"
+    filler = lambda i: " ".join(f"t{i}x{k}" for k in range(2000))
+    text = {i: filler(i) for i in range(300)}
+    html = {i: f"<div>{chrome}</div><p>{text[i]}</p>" + (f"<p>{both}</p>" if i in (7, 250) else "") for i in text}
+    rows = [(i, f"http://big.example.com/{i}", html[i]) for i in text] + [(1000 + k, f"http://big.example.com/copy{k}", html[3]) for k in range(50)]
+    rows += [(2000 + k, f"http://other.example.com/{k}", f"<div>{chrome}</div>") for k in range(3)]
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert len(got) == len(rows) and all(got[i] == text[i] for i in text)
+    assert all(got[1000 + k] == text[3] for k in range(50)) and all(got[2000 + k] == chrome for k in range(3))
+
+
 def plain(url):
     at = (url or "").find("://")
     rest = url[at + 3 :] if at >= 0 else ""
