@@ -49,7 +49,8 @@ def entity_flow(sentences: DataFrame, entities: DataFrame, doc: str) -> DataFram
 
     ``entities(doc, entity)`` are matched as substrings, case ignored, inside their document.
     """
-    named = sentences.join(entities.select(doc, F.lower("entity").alias("e")).distinct(), doc).filter(F.contains(F.lower("text"), F.col("e"))).groupBy(doc, "pos").agg(F.collect_set("e").alias("es"))
+    names = entities.filter("entity <> ''").groupBy(doc).agg(F.collect_set(F.lower("entity")).alias("names"))
+    named = sentences.join(names, doc).select(doc, "pos", F.filter("names", lambda e: F.contains(F.lower("text"), e)).alias("es"))
     w = Window.partitionBy(doc).orderBy("pos")
     s = sentences.select(doc, "pos").join(named, [doc, "pos"], "left").withColumn("es", F.coalesce("es", F.array().cast("array<string>"))).withColumn("n", F.size(F.array_intersect("es", F.lag("es").over(w))))
     pairs = F.greatest(F.count("*") - 1, F.lit(1))
@@ -58,10 +59,23 @@ def entity_flow(sentences: DataFrame, entities: DataFrame, doc: str) -> DataFram
     return s.groupBy(doc).agg((0.7 * share + 0.3 * shared).alias("entity_flow"))
 
 
+def reference_stability(sentences: DataFrame, entities: DataFrame, doc: str) -> DataFrame:
+    """1 less 0.25 for every form beyond two that an entity has on average among the capitalised names of the text; 0 at least."""
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, "[^A-Za-z0-9 ]+", "")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    forms = F.array_distinct(F.regexp_extract_all(F.col("said"), F.lit(r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})\b"), 1))
+    said = sentences.groupBy(doc).agg(joined.alias("said")).select(doc, forms.alias("forms")).withColumn("plain", F.transform("forms", norm))
+    names = entities.select(doc, norm(F.col("entity")).alias("e")).filter("e <> ''").groupBy(doc).agg(F.collect_set("e").alias("names"))
+    found = F.filter(F.transform("names", lambda e: F.size(F.filter("plain", lambda f: F.contains(f, e)))), lambda n: n > 0)
+    s = said.join(names, doc, "left").select(doc, F.coalesce(found, F.array().cast("array<int>")).alias("found"))
+    extra = F.aggregate("found", F.lit(0), lambda t, n: t + F.greatest(n - 2, F.lit(0)))
+    return s.select(doc, F.when(F.size("found") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - 0.25 * extra / F.size("found"))).alias("ref_stability"))
+
+
 def cohesion(sentences: DataFrame, entities: DataFrame, doc: str) -> DataFrame:
-    """The parts and their weighted sum; reference stability counts as kept."""
-    out = local_band(sentences, doc).join(entity_flow(sentences, entities, doc), doc).join(bridge_rate(sentences, doc), doc).join(temporal_consistency(sentences, doc), doc)
-    score = 0.35 * F.col("local_band") + 0.25 * F.col("entity_flow") + 0.15 * F.col("bridge_rate") + 0.15 * F.col("temporal") + 0.10
+    """The parts and their weighted sum."""
+    out = local_band(sentences, doc).join(entity_flow(sentences, entities, doc), doc).join(bridge_rate(sentences, doc), doc).join(temporal_consistency(sentences, doc), doc).join(reference_stability(sentences, entities, doc), doc)
+    score = 0.35 * F.col("local_band") + 0.25 * F.col("entity_flow") + 0.15 * F.col("bridge_rate") + 0.15 * F.col("temporal") + 0.10 * F.col("ref_stability")
     return out.withColumn("cohesiveness", F.round(score, 3))
 
 

@@ -176,5 +176,5 @@ def set_coverage(spark, d):
 @query()
 def cohesion_scores(spark, d):
     docs = table(spark, d, "documents")
-    names = docs.select("doc_id", F.explode(F.slice(F.array_distinct(X.proper_nouns(F.col("text"))), 1, 10)).alias("entity"))
+    names = docs.select("doc_id", F.explode(F.array_distinct(X.proper_nouns(F.col("text")))).alias("entity"))
     return narrative.cohesion(_rows(spark, d), names, "doc_id")
