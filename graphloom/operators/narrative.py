@@ -74,6 +74,7 @@ def reference_stability(sentences: DataFrame, entities: DataFrame, doc: str) ->
 
 def cohesion(sentences: DataFrame, entities: DataFrame, doc: str) -> DataFrame:
     """The parts and their weighted sum."""
+    sentences, entities = sentences.repartition(doc), entities.repartition(doc)  # the parts share these shuffles
     out = local_band(sentences, doc).join(entity_flow(sentences, entities, doc), doc).join(bridge_rate(sentences, doc), doc).join(temporal_consistency(sentences, doc), doc).join(reference_stability(sentences, entities, doc), doc)
     score = 0.35 * F.col("local_band") + 0.25 * F.col("entity_flow") + 0.15 * F.col("bridge_rate") + 0.15 * F.col("temporal") + 0.10 * F.col("ref_stability")
     return out.withColumn("cohesiveness", F.round(score, 3))
