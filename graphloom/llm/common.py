@@ -3,7 +3,8 @@
 * ``table`` reads one parquet table of a dataset folder through Spark only.
 * ``cut`` writes a frame into the shared folder named by
   ``spark.checkpoint.dir`` and reads it back, which ends its lineage: a lost
-  executor costs a re-read, never a recomputation of earlier stages.
+  executor costs a re-read, never a recomputation of earlier stages. What is
+  not released before is deleted when the driver ends.
 * ``attach`` joins a side table to documents: broadcast when its counted size
   is within a fixed bound, a shuffled merge join beyond it.
 """
@@ -27,6 +28,8 @@ BROADCAST_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
 #: Text bytes that one vectorised step works on.
 CHUNK_BYTES = 2 << 20
+#: What an Arrow batch holds; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +37,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is named (tests)."""
+    """The folder all executors share. Only a session on one machine (tests) may do without the setting."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="graphloom-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends if not before."""
+    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    fs, where = _hadoop(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def few(spark: SparkSession) -> int:
     """Partitions for a table of a few bytes per document: a twelfth of the shuffle partitions, so they grow with the input."""
     return max(2, -(-partitions(spark) // 12))
@@ -50,13 +70,14 @@ def few(spark: SparkSession) -> int:
 def cut(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """``df``, written to the shared folder and read back; in at most ``parts`` files where given.
 
-    Small tables go in few files: every file costs its task several file system calls.
+    Small tables go in few files: every file costs its task several file system
+    calls. They are computed by all tasks and then brought into few.
     """
     if parts is not None:
-        df = df.coalesce(parts)
+        df = df.repartition(parts)
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch(spark, name)
+    df.write.mode("append").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._graphloom_path = path
     return back
@@ -67,14 +88,14 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_graphloom_path", None)
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            fs, where = _hadoop(df.sparkSession, path)
+            fs.delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds in a Python worker, in rows and in bytes: the same for all operators, as plans read it late."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:

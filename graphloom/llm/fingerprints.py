@@ -1,33 +1,40 @@
-"""I-Match document fingerprints over randomised lexicon subsets, in DataFrame functions only.
-
-Terms are the space- or line-separated words of a text, hashed. The lexicon
-keeps hash buckets whose inverse document frequency lies in a band: words of a
-large share of all documents go, and buckets hardly ever seen. Copies of one text
-count as one document, so that they take no term out of the band. The lexicon is a
-bitmap of fixed size (``LEXICON_BITS``), learnt from all documents and independent
-of how many there are.
-
-The lexicon is split at random into ``SUBSETS`` subsets. A document's distinct
-in-band terms are sorted and hashed subset by subset. A subset that holds many
-of a document's terms would change with any edit, so subsets are thinned to the
-document's size: at level l a subset keeps a random 1 / 2**l of its terms. A
-document uses the level that leaves it 16 to 32 terms, and the one above, so
-documents of like size always have a level in common. Likeness of two
-fingerprints is the share of subsets with equal hashes among those in which
-either has a term, at the higher of their levels.
+"""I-Match document fingerprints over randomised sub-lexicons, in DataFrame functions only.
+
+Terms are the words of a text between ASCII white space, hashed. The lexicon
+holds the terms whose inverse document frequency lies in a band: those in at
+most ``MAX_SHARE`` and at least ``MIN_SHARE`` of all distinct texts (copies of a
+text count as one). Both ends are shares, so the band is the same at every size
+and holds at most (mean distinct terms of a text) / ``MIN_SHARE`` terms, however
+large the corpus. It is kept as a bitmap of ``BITS`` to ``2 * BITS`` bits a term,
+so of the terms outside the band a fixed small share passes as well; which ones
+is the same for all texts.
+
+``STREAMS`` times, the lexicon is thinned at random by halves: a stream's l-th
+sub-lexicon keeps a random ``1 / 2**l`` of the terms, l = 1, 2, ... as long as any
+is left. The sub-lexicons overlap, are the same for all texts, and each
+is hashed over all of a document's distinct in-band terms in it, sorted. Large
+sub-lexicons tell texts of few terms apart, small ones survive edits of texts of
+many.
+
+Likeness: of U terms in either text and D in only one, about STREAMS * log2(U)
+sub-lexicons hold any and STREAMS * log2(D) differ. So ``1 - 2 ** (-E / STREAMS)``,
+with E the number of equal hashes, estimates the share of terms in common; equal
+fingerprints have 1.
 
 In-band terms say little of a text that has hardly any among its terms (under
-``FEW_SHARE``). So a fingerprint is kept over all terms as well, and two texts are
-compared over their in-band terms if both have enough of them, else over all.
+``FEW_SHARE``). Such a text is fingerprinted over all its terms, and two texts of
+which either has few are compared over all terms of both.
 
 The neighbour that an edited text borrows from is found without a global sort:
 documents are dealt into buckets of consecutive ids, each bucket also gets the
-first document of the next, and a window within the bucket does the rest.
+first document of the next, and a window within the bucket does the rest. Rows
+without an id are dealt by the hash of their text.
 
 Defined results: a null text is an empty one; the fingerprint shown is that of all
-terms where a text has few in band; two texts without words are alike (1.0), a text with and one without are
-not (0.0); a missing id sorts below all others, rows of one id by the hash of
-their text; a single document is its own neighbour; an empty table gives no rows.
+terms where a text has few in band; two texts without words are alike (1.0), a
+text with and one without are not (0.0); a missing id sorts below all others,
+rows of one id by the hash of their text; a single document is its own
+neighbour; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,98 +44,146 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import partitions
+from graphloom.llm.common import BROADCAST_BYTES, cut, partitions, release
 
-LEXICON_BITS, SUBSETS = 18, 32
-#: Band of document frequency: a share of all documents at most, a count at least.
-MAX_SHARE, MIN_COUNT = 0.02, 2
+#: Random orders of the lexicon, paths of halvings in each, and their product.
+ORDERS, BRANCHES = 2, 8
+STREAMS = ORDERS * BRANCHES
+#: Band of document frequency, as shares of all distinct texts.
+MAX_SHARE, MIN_SHARE = 0.02, 0.001
+#: Bits of the bitmap for each term in the band, at least.
+BITS = 8
 #: A text with a smaller share of its terms in band has few of them.
 FEW_SHARE = 0.25
-#: Rows that one bucket of consecutive ids should hold, and how many buckets at most.
+#: Rows that one bucket of consecutive ids should hold; beyond MAX_BUCKETS buckets they hold more and their sort spills.
 BUCKET_ROWS, MAX_BUCKETS = 2000, 20_000
 LOWEST = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
-    """Distinct term hashes of a text."""
-    words = F.filter(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    """Distinct term hashes of a text, sorted."""
+    words = F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " ")
+    return F.sort_array(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))))
+
 
+class Lexicon:
+    """The band as a bitmap."""
+
+    def __init__(self, bitmap: list[int]):
+        self.bitmap = bitmap
+        # one string, which the optimiser folds into one array
+        self.table = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
 
-def lexicon(docs: DataFrame, text: str = "text") -> list[int]:
-    """Bitmap of in-band term buckets, as 2**LEXICON_BITS / 64 longs."""
-    mask = (1 << LEXICON_BITS) - 1
-    words = F.coalesce(text, F.lit(""))
-    n = docs.select(F.xxhash64(words).alias("h")).distinct().count()
-    buckets = F.array_sort(F.array_distinct(F.transform(terms(words), lambda t: t.bitwiseAND(mask).cast("int"))))
-    distinct = docs.select(F.xxhash64(words).alias("h"), buckets.alias("b")).groupBy("h").agg(F.first("b").alias("b"))  # copies collapse within tasks
-    seen = distinct.select(F.explode("b").alias("b"))
-    kept = seen.groupBy("b").agg(F.count("*").alias("df")).filter((F.col("df") >= MIN_COUNT) & (F.col("df") <= max(MIN_COUNT, n * MAX_SHARE)))
-    rows = kept.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).collect()  # at most 4096 rows
-    out = [0] * (1 << LEXICON_BITS - 6)
-    for r in rows:
-        out[r.w] = r.bits
-    return out
+    def in_band(self, found: Column) -> Column:
+        mask = 64 * len(self.bitmap) - 1
 
+        def has(t: Column) -> Column:
+            b = t.bitwiseAND(mask)
+            return F.getbit(F.get(self.table, F.shiftright(b, 6).cast("int")), b.bitwiseAND(63).cast("int")) == 1
 
-def _hashes(chosen: Column) -> Column:
-    """One 24-bit hash per subset; -1 where a subset has no term."""
+        return F.filter(found, has)
 
-    def one(k: Column) -> Column:
-        mine = F.array_sort(F.filter(chosen, lambda t: F.shiftrightunsigned(t, 50).bitwiseAND(SUBSETS - 1) == k))
-        return F.when(F.size(mine) == 0, F.lit(-1)).otherwise(F.xxhash64(mine).bitwiseAND(0xFFFFFF).cast("int"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+def lexicon(docs: DataFrame, text: str = "text") -> Lexicon:
+    """The band, learnt from all documents."""
+    hashed = docs.select(F.coalesce(text, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    per_text = cut(hashed.groupBy("h").agg(F.count("*").alias("copies")), "texts")
+    n, repeated = per_text.agg(F.count("*"), F.count_if(F.col("copies") > 1)).first()
+    often = per_text.filter("copies > 1")
+    weighed = hashed.join(F.broadcast(often) if repeated * 16 <= BROADCAST_BYTES else often.hint("merge"), "h", "left")
+    seen = weighed.select(F.explode(terms(F.col("text"))).alias("t"), (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight"))
+    counts = cut(seen.groupBy("t").agg(F.round(F.sum("weight"), 3).alias("df")), "terms", partitions(docs.sparkSession))
+    band = counts.filter((F.col("df") <= max(1.0, n * MAX_SHARE)) & (F.col("df") >= n * MIN_SHARE))
+    inside = band.count()
+    size = max(6, (BITS * inside - 1).bit_length()) if inside else 6
+    place = F.col("t").bitwiseAND((1 << size) - 1)
+    words = band.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(t & 63 as int))")).alias("bits"))
+    bitmap = [0] * (1 << size - 6)
+    for r in words.collect():  # bounded as the band is
+        bitmap[r.w] = r.bits
+    release(per_text, counts)
+    return Lexicon(bitmap)
 
 
-def with_fingerprint(df: DataFrame, text: Column, bitmap: list[int], name: str) -> DataFrame:
-    """``df`` with struct ``name``: whether few terms are in band, and for in-band and all terms the level and the subset hashes at it and the next."""
-    table = F.lit(bitmap).cast("array<bigint>")
-    mask = (1 << LEXICON_BITS) - 1
-    sets = {"band": f"{name}_band", "whole": f"{name}_all"}
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def in_band(t: Column) -> Column:
-        b = t.bitwiseAND(mask)
-        return F.getbit(F.get(table, F.shiftright(b, 6).cast("int")), b.bitwiseAND(63).cast("int")) == 1
 
-    def at(chosen: str, level: Column) -> Column:
-        thin = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
-        return F.filter(chosen, lambda t: F.shiftrightunsigned(t, 20).bitwiseAND(thin) == 0)
+def prints(found: Column) -> Column:
+    """For each stream: hashes of the terms in its sub-lexicons, from the largest on, as long as there are any.
 
-    df = df.withColumn(sets["whole"], terms(text))
-    df = df.withColumn(sets["band"], F.filter(sets["whole"], in_band))
-    df = df.withColumn(f"{name}_few", F.size(sets["band"]) < F.size(sets["whole"]) * FEW_SHARE)
-    df = df.withColumns({f"{c}_level": F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(c), F.lit(1)))).cast("int") - 4) for c in sets.values()})
-    df = df.withColumns({f"{c}_{k}": at(c, F.col(f"{c}_level") + k) for c in sets.values() for k in (0, 1)}).drop(*sets.values())
-    prints = [F.struct(F.col(f"{c}_level").alias("level"), _hashes(F.col(f"{c}_0")).alias("a"), _hashes(F.col(f"{c}_1")).alias("b")).alias(k) for k, c in sets.items()]
-    both = F.struct(F.col(f"{name}_few").alias("few"), *prints)
-    return df.withColumn(name, both).drop(f"{name}_few", *(f"{c}_{k}" for c in sets.values() for k in ("level", 0, 1)))
+    Stream (r, b) follows one path of halvings of the r-th order: its sub-lexicon at
+    level 1, 2, 3 holds the terms whose r-th hash begins with the first 1, 2, 3
+    bits of b, and every further level halves it again. In the sorted hashes each
+    of these is one run; marks sorted in with them tell where the first ones begin.
+    """
+    eighth = F.lit(1 << 61)
+    marks = F.lit([(k << 61) - (1 << 63) for k in range(BRANCHES)]).cast("array<bigint>")
 
+    def digest(run: Column) -> Column:
+        return F.xxhash64(run).bitwiseAND(0xFFF).cast("int")
 
-def own(f: Column) -> Column:
-    """The fingerprint of a text by itself."""
-    return F.when(f["few"], f["whole"]).otherwise(f["band"])
+    def order(r: Column) -> Column:
+        hashes = F.transform(found, lambda t: F.xxhash64(t, r).bitwiseOR(1))  # odd: never a mark
+        return F.sort_array(F.concat(hashes, marks))
 
+    def branch(run: Column, at: Column, b: Column) -> Column:
+        def upper(width: int) -> Column:
+            first = b.bitwiseAND(-width)
+            n = F.get(at, first + width) - F.get(at, first)
+            return F.when(n > width, F.array(digest(F.slice(run, F.get(at, first), n)))).otherwise(F.array().cast("array<int>"))
 
-def likeness(x: Column, y: Column) -> Column:
-    """Likeness of two structs of ``with_fingerprint``, over the same kind of terms of both."""
-    return F.when(x["few"] | y["few"], equal_share(x["whole"], y["whole"])).otherwise(equal_share(x["band"], y["band"]))
+        def lower(v: Column) -> Column:
+            least = F.get(v, F.lit(0)) - F.get(marks, b)
+            depth = F.greatest(F.lit(0), 60 - F.floor(F.log2(least.cast("double"))).cast("int"))
+            bounds = F.transform(F.sequence(F.lit(0), depth), lambda k: F.get(marks, b) + (F.call_function("shiftright", eighth, k) - 1))
+            return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(F.transform(bounds, lambda last: digest(F.filter(v, lambda h: h <= last))))
 
+        mine = F.slice(run, F.get(at, b) + 1, F.get(at, b + 1) - F.get(at, b) - 1)
+        return F.concat(upper(4), upper(2), _let(mine, lower))
 
-def equal_share(x: Column, y: Column) -> Column:
-    """Share of equal subset hashes, from 0 to 1, of two fingerprint structs."""
-    p = F.when(x["level"] >= y["level"], x["a"]).otherwise(x["b"])
-    q = F.when(y["level"] >= x["level"], y["a"]).otherwise(y["b"])
-    marks = F.zip_with(p, q, lambda a, b: F.when((a < 0) & (b < 0), 0).when(a == b, 1).otherwise(2))
-    equal = F.size(F.filter(marks, lambda m: m == 1))
-    used = F.size(F.filter(marks, lambda m: m > 0))
-    share = F.when(used == 0, F.lit(1.0)).otherwise(equal / used)
-    return F.when(F.abs(x["level"] - y["level"]) > 1, F.lit(0.0)).otherwise(share).cast("double")
+    def streams(run: Column) -> Column:
+        begins = F.concat(F.transform(marks, lambda m: F.array_position(run, m).cast("int")), F.array(F.size(run) + 1))
+        return _let(begins, lambda at: F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda b: branch(run, at, b)))
 
+    return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), order), streams))
 
-def as_text(x: Column) -> Column:
-    digits = lambda a: F.array_join(F.transform(a, lambda h: F.when(h < 0, F.lit(".")).otherwise(F.lower(F.hex(h)))), ",")
-    return F.concat_ws(":", x["level"].cast("string"), digits(x["a"]), digits(x["b"]))
+
+def with_fingerprint(df: DataFrame, text: str, words: Lexicon, name: str) -> DataFrame:
+    """``df`` with ``<name>_few``, whether the text has few terms in band, and ``<name>_hashes``, over those or all.
+
+    Plain columns: fields of a struct would be computed again wherever they are read.
+    """
+    band, whole, few = f"{name}_band", f"{name}_all", f"{name}_few"
+    df = df.withColumn(whole, terms(F.col(text)))
+    df = df.withColumn(band, words.in_band(F.col(whole)))
+    df = df.withColumn(few, F.size(band) < F.size(whole) * FEW_SHARE)
+    used = df.withColumn(whole, F.when(F.col(few), F.col(whole)).otherwise(F.col(band)))
+    return used.withColumn(f"{name}_hashes", prints(F.col(whole))).drop(band, whole)
+
+
+def likeness(x: str, x_text: str, y: str, y_text: str) -> Column:
+    """Likeness of two texts with columns of ``with_fingerprint``, over the same kind of terms of both; all terms are hashed only where one has few in band and the other has not."""
+
+    def over_all(f: str, text: str) -> Column:
+        few, mine = F.col(f"{f}_few"), F.col(f"{f}_hashes")
+        return F.when((F.col(f"{x}_few") != F.col(f"{y}_few")) & ~few, prints(terms(F.col(text)))).otherwise(mine)
+
+    return equal_share(over_all(x, x_text), over_all(y, y_text))
+
+
+def equal_share(p: Column, q: Column) -> Column:
+    """From 0 to 1: the estimated share of terms in common, of two arrays of hashes."""
+    counts = F.zip_with(p, q, lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda i, j: i == j), lambda e: e)))
+    equal = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+    return F.when(p == q, F.lit(1.0)).otherwise(1 - F.pow(F.lit(2.0), -equal / STREAMS)).cast("double")
+
+
+def as_text(name: str) -> Column:
+    """The hashes in hexadecimal, stream by stream; ``all:`` before those of all terms."""
+    streams = F.transform(f"{name}_hashes", lambda a: F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 3, "0")), ""))
+    return F.concat(F.when(F.col(f"{name}_few"), F.lit("all:")).otherwise(F.lit("")), F.array_join(streams, ","))
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
@@ -148,10 +203,14 @@ def dealt_in_order(rows: DataFrame) -> DataFrame:
     n = keys.count()
     want = min(MAX_BUCKETS, max(partitions(spark), n // BUCKET_ROWS))
     cuts = [k / want for k in range(1, want)]
-    bounds = sorted(set(keys.agg(F.percentile_approx("__id", cuts, 10 * want)).first()[0])) if n and cuts else []
-    dealt = rows.withColumn("__bucket", _bucket(F.col("__id"), bounds))
-    # the first row of each bucket in descending order: at most MAX_BUCKETS rows of ids
-    heads = keys.withColumn("__bucket", _bucket(F.col("__id"), bounds)).groupBy("__bucket").agg(F.max(F.struct("__id", "__tie")).alias("h"))
+    known = keys.filter(F.col("__id") != LOWEST)
+    bounds = sorted(set(known.agg(F.percentile_approx("__id", cuts, 10 * want)).first()[0] or [])) if n and cuts else []
+    # rows without an id lie below all others, in `want` buckets by hash
+    hashed = F.floor(F.col("__tie") / F.lit(2.0**64 / want)).cast("int") - F.lit(want)
+    bucket = F.when(F.col("__id") == LOWEST, hashed).otherwise(_bucket(F.col("__id"), bounds))
+    dealt = rows.withColumn("__bucket", bucket)
+    # the first row of each bucket in descending order: at most 2 * MAX_BUCKETS rows of ids
+    heads = keys.withColumn("__bucket", bucket).groupBy("__bucket").agg(F.max(F.struct("__id", "__tie")).alias("h"))
     firsts = sorted(((r["__bucket"], r.h["__id"], r.h["__tie"]) for r in heads.collect()), reverse=True)
     targets = [(b, i, t, firsts[k - 1][0]) for k, (b, i, t) in enumerate(firsts)]  # the first of all goes to the last bucket
     extra = spark.createDataFrame(targets, "__bucket int, __id long, __tie long, __target int")
@@ -167,20 +226,20 @@ def with_next(dealt: DataFrame, *carried: str) -> DataFrame:
 
 def imatch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses."""
-    bitmap = lexicon(docs, text)
+    words = lexicon(docs, text)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.withColumns({"__id": F.coalesce("doc_id", F.lit(LOWEST)), "__tie": F.xxhash64("text")})
     dealt = dealt_in_order(base).repartition("__bucket")  # before the fingerprints, which need not be shuffled
-    rows = with_next(with_fingerprint(dealt, F.col("text"), bitmap, "f"), "text", "f")
+    rows = with_next(with_fingerprint(dealt, "text", words, "f"), "text", "f_few", "f_hashes")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("tail", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("tail")), F.substring(F.col("next.text"), F.lit(1), F.col("tail"))))
-    rows = with_fingerprint(rows, F.col("edited"), bitmap, "e")
+    rows = with_fingerprint(rows, "edited", words, "e")
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(own(F.col("f"))).alias("fingerprint"),
-        as_text(own(F.col("e"))).alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("e")).alias("near_edited"),
-        likeness(F.col("f"), F.col("next.f")).alias("near_next"),
+        as_text("f").alias("fingerprint"),
+        as_text("e").alias("edited_fingerprint"),
+        likeness("f", "text", "e", "edited").alias("near_edited"),
+        likeness("f", "text", "next.f", "next.text").alias("near_next"),
     )

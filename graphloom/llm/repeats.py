@@ -271,7 +271,7 @@ def blocks_of(x: Extents, which: np.ndarray, spec: Spec, bucket: int) -> np.ndar
 
 def resolve(rows: DataFrame, spec: Spec, buckets: int, refine: bool) -> DataFrame:
     """Buckets to repeats (kind 0) and, if ``refine``, extents to compare in full (kind 1)."""
-    small_batches(rows.sparkSession, 200)
+    small_batches(rows.sparkSession)
     covered = lambda y: y["n"].astype(np.int64) + spec.window - 1
 
     def finish(bucket: int, parts: list[bytes]) -> list[tuple]:
@@ -379,7 +379,7 @@ def _refine_by_suffix_array(asked: DataFrame, docs: DataFrame, text: str, spec:
 def find_repeats(docs: DataFrame, text: str, spec: Spec) -> DataFrame:
     """(id, dk, blob): (place, items) pairs of every repeat; ``docs`` comes from ``keyed``."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark)
     buckets = 4 * partitions(spark)
 
     def run(batches):
@@ -418,7 +418,7 @@ def find_repeats(docs: DataFrame, text: str, spec: Spec) -> DataFrame:
 def with_repeats(docs: DataFrame, text: str, spec: Spec) -> DataFrame:
     """``docs`` (from ``keyed``) with ``__blobs``: the repeats of each row, null where it has none."""
     side, size = _gather(find_repeats(docs, text, spec))
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     return attach(docs, side, ["__id", "__dk"], "left", size)
 
 

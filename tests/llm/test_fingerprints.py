@@ -71,3 +71,86 @@ def test_few_terms_in_band_are_compared_over_all(spark):
     rows += [(1495, " ".join(common)), (55, " ".join(common[:9]))]
     got = {r.doc_id: r for r in F8.imatch(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1495].near_edited > 0.3 and got[55].near_edited > 0.3
+
+
+def brute(text, band, levels=61):
+    """Hashes of one text by plain loops; ``xx`` is Spark's own hash."""
+    import xxhash
+
+    def xx(*values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little", signed=True), h)
+        return signed(h)
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    def nth(t, r):  # r has 4 bytes
+        return signed(xxhash.xxh64_intdigest(r.to_bytes(4, "little"), xx(t) & (1 << 64) - 1)) | 1
+
+    every = sorted({xx(w.encode()) for w in text.replace("\n", " ").replace("\t", " ").split(" ") if w})
+    mine = [t for t in every if band(t)]
+    few = len(mine) < len(every) * F8.FEW_SHARE
+    out = []
+    for r in range(F8.ORDERS):
+        hashes = sorted(nth(t, r) for t in (every if few else mine))
+        marks = [(k << 61) - (1 << 63) for k in range(8)]
+        for b in range(8):
+            found = []
+            for width in (4, 2):
+                x = b // width * width
+                top = marks[x + width] if x + width < 8 else 1 << 63
+                run = sorted([h for h in hashes if marks[x] <= h < top] + marks[x : x + width])
+                found.append(run if len(run) > width else [])
+            for k in range(levels):
+                found.append([h for h in hashes if marks[b] <= h < marks[b] + (1 << 61 - k)])
+            out.append([xx(*x) & 0xFFF for x in found if x])
+    return few, out
+
+
+def test_fingerprints_against_plain_loops(spark):
+    rows = [(i, t) for i, t in corpus() if i is not None and t]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = F8.lexicon(docs)
+    mask = 64 * len(words.bitmap) - 1
+    band = lambda t: words.bitmap[(t & mask) >> 6] >> (t & mask & 63) & 1
+    got = F8.with_fingerprint(docs, "text", words, "f").collect()
+    for r in got:
+        assert (r.f_few, r.f_hashes) == brute(r.text, band)
+    from pyspark.sql import functions as F
+
+    a, b = got[0].f_hashes, got[1].f_hashes
+    pairs = spark.createDataFrame([(a, b), (a, a), (a, [[]] * F8.STREAMS), ([[]] * F8.STREAMS, [[]] * F8.STREAMS)], "p array<array<int>>, q array<array<int>>")
+    alike = lambda p, q: 1.0 if p == q else 1 - 2 ** (-sum(x == y for s, t in zip(p, q) for x, y in zip(s, t)) / F8.STREAMS)
+    for r in pairs.select("p", "q", F8.equal_share(F.col("p"), F.col("q")).alias("x")).collect():
+        assert abs(r.x - alike(r.p, r.q)) < 1e-12
+
+
+def test_likeness_estimates_the_terms_in_common(spark):
+    rng = random.Random(11)
+    rows = []
+    for k, share in enumerate([0.2, 0.5, 0.8]):
+        for n in (60, 400, 3000):
+            same = [f"s{k}x{n}x{i}" for i in range(int(n * share))]
+            other = lambda tag: [f"{tag}{k}x{n}x{i}" for i in range((n - len(same)) // 2)]  # noqa: E731,B023
+            rows.append((share, " ".join(rng.sample(x := same + other("a"), len(x))), " ".join(same + other("b"))))
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "share double, a string, b string")
+    for c in "ab":
+        df = df.withColumn(f"{c}_hashes", F8.prints(F8.terms(F.col(c)))).withColumn(f"{c}_few", F.lit(False))
+    got = df.select("share", F8.likeness("a", "a", "b", "b").alias("x")).collect()
+    for share in (0.2, 0.5, 0.8):
+        x = [r.x for r in got if r.share == share]
+        assert abs(sum(x) / len(x) - share) < 0.15
+
+
+def test_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(F8, "BUCKET_ROWS", 5)
+    rows = [(None, f"text number {i} of many") for i in range(60)] + [(i, f"known {i}") for i in range(5)]
+    got = F8.imatch(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    hashes = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+    tie = {r.text: r.h for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) h").collect()}
+    order = [t for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]), reverse=True)]
+    assert sorted(r.edited_sha256 for r in got) == sorted(hashes(t, order[(k + 1) % len(order)]) for k, t in enumerate(order))
