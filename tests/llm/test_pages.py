@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 from graphloom.llm import html as H
 from graphloom.llm import urls as U
 
@@ -39,8 +42,6 @@ def test_pages(spark):
 
 
 def test_runs_against_brute_force():
-    import random
-
     rng = random.Random(3)
     pages = [[" ".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) for _ in range(3)] for _ in range(12)]
     streams = [[w for b in p for w in b.split()] for p in pages]
@@ -53,6 +54,58 @@ def test_runs_against_brute_force():
         assert " ".join(page).split() == [w for i, w in enumerate(streams[p]) if i not in gone]
 
 
+def test_structure_goes_before_names():
+    page = """<article><div class="entry-header"><h1>Title</h1></div><p class="side-effect">Side effects are rare.</p><p>Body</p>
+    <p id="search-results">Found</p><div class="comment-list">No</div><div id="userComments">No</div><div role="navigation">No</div><div class="header"><h2>Part</h2></div></article>"""
+    assert H.blocks(page)[0] == ["Title", "Side effects are rare.", "Body", "Found", "Part"]
+    for empty in ("<nav>Menu</nav><article></article><p>Foot</p>", "<main><nav>x</nav></main><div>rest</div>"):
+        assert H.blocks(empty)[0] == []
+    for none in ("<!-- <article>no</article> --><p>Text</p>", "<script>'<article>'</script><p>Text</p>", "<aside><article>Teaser</article></aside><p>Text</p>"):
+        assert H.blocks(none) == (None, ["Text"])
+
+
+@pytest.mark.parametrize("host_chars", [1 << 20, 0])
+def test_generated_pages_against_plain_python(spark, monkeypatch, host_chars):
+    monkeypatch.setattr(H, "HOST_CHARS", host_chars)
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("abcdefghij") * 2 for _ in range(n))
+    hosts = {f"http://h{k}.example.com/": [say(12), say(9), say(20)] for k in range(12)}
+    rows, want = [], {}
+    for i in range(500):
+        url = rng.choice(list(hosts))
+        chrome = hosts[url]
+        body = [f"w{i} " + " ".join(f"w{i}x{k}" for k in range(rng.randrange(12))) for _ in range(rng.randrange(4))]
+        if i % 3 == 0:
+            body.append(rng.choice(chrome))
+        blocks = [*rng.sample(chrome, rng.randrange(3)), *body]
+        page = "".join(f"<div>{b}</div>" for b in blocks)
+        marked = i % 2 == 0
+        rows.append((i, f"{url}{i}", f"<nav>{say(4)}</nav><article>{page}</article><footer>f</footer>" if marked else page))
+        want[i] = (url, marked, [" ".join(b.split()) for b in blocks if b.strip()])
+    distinct = {}
+    for url, marked, blocks in want.values():
+        if not marked:
+            distinct.setdefault(url, set()).add("\n".join(blocks))
+    seen = {u: [p.split() for p in sorted(pages)] for u, pages in distinct.items()}
+    count = {}
+    for u, pages in seen.items():
+        for n, words in enumerate(pages):
+            for k in range(len(words) - H.LONG + 1):
+                count.setdefault((u, *words[k : k + H.LONG]), set()).add(n)
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    for i, (url, marked, blocks) in want.items():
+        if marked:
+            assert got[i] == "\n".join(blocks)
+            continue
+        words = " ".join(blocks).split()
+        gone = {p for k in range(len(words) - H.LONG + 1) if len(count[(url, *words[k : k + H.LONG])]) > 1 for p in range(k, k + H.LONG)}
+        kept, at = [], 0
+        for b in blocks:
+            kept.append(" ".join(w for k, w in enumerate(b.split(), at) if k not in gone))
+            at += len(b.split())
+        assert got[i] == "\n".join(k for k in kept if k)
+
+
 def test_repeats_of_a_large_host(spark):
     chrome, both = "home news about contact imprint terms privacy help jobs", "a passage that only two pages of all have here"
     filler = lambda i: " ".join(f"t{i}x{k}" for k in range(2000))
