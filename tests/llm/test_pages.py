@@ -153,3 +153,52 @@ def test_viterbi_is_the_best_split():
         cuts = [[run[i:j] for i, j in zip((0, *c), (*c, 5))] for k in range(5) for c in itertools.combinations(range(1, 5), k)]
         cost = lambda ws: sum(map(s._cost, ws))
         assert abs(cost(s(run)) - min(map(cost, cuts))) < 1e-9
+
+
+def urls_of(spark, urls):
+    return {r.url: r.verdict for r in U.judge(spark.createDataFrame([(u, "m", 1) for u in urls], "url string, method string, __blocked int")).collect()}
+
+
+def test_clashing_columns_are_kept(spark):
+    got = U.judge(spark.createDataFrame([(1, "http://casino-win.example.com/", "m", 7)], "page_id long, url string, method string, __blocked int")).first()
+    assert (got.method, got["__blocked"], got.verdict) == ("m", 7, "block")
+
+
+@pytest.mark.parametrize("limit", [1 << 20, -1])
+def test_verdicts_do_not_depend_on_how_often_a_name_is_used(spark, monkeypatch, limit):
+    monkeypatch.setattr(U, "BROADCAST_BYTES", limit)
+    clean = [f"http://{w}.example.com/{p}" for w in ("roads", "essex", "sussex", "threads", "heads", "therly", "tionble") for p in ("en", "x")] + ["http://a.com/x"]
+    spam = ["http://onlinecasino.example.com/", "http://m.cheappills.example.org/1", "http://freebets.example.com/", "http://mycasino.example.com/"]
+    few = urls_of(spark, clean + spam)
+    many = urls_of(spark, clean + spam + [f"http://{w}.h{'abcdefghij'[k % 10]}{'klmnop'[k % 6]}.example.com/" for w in ("onlinecasino", "essex", "roads") for k in range(60)])
+    assert {few[u] for u in clean} == {many[u] for u in clean} == {"allow"}
+    assert {few[u] for u in spam} == {many[u] for u in spam} == {"block"}
+
+
+def test_urls_against_plain_python(spark):
+    """All statistics by plain loops over a small table with very long and repeated runs."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(2)
+    words = [*U.labelled(U.BLOCK_NAMES), *U.labelled(U.ALLOW_NAMES), "ththon", "zz", "q"]
+    urls = [f"http://{rng.choice('wm')}.{''.join(rng.choice(words) for _ in range(rng.randrange(1, 4)))}.com/{rng.choice(words)}/{k % 7}" for k in range(150)] + ["http://h.com/" + "casinox" * 400]
+    parts = {u: plain(u)[:2] for u in urls}
+    runs = {u: re.findall("[a-z]+", "/".join(p).lower()) for u, p in parts.items()}
+    n = Counter(r for _, r in {(parts[u][0], r) for u in urls for r in runs[u]})
+    total, beforehand, bayes = sum(n.values()), U.name_shares(), U.Bayes()
+    b, a = U.labelled(U.BLOCK_NAMES), U.labelled(U.ALLOW_NAMES)
+    vocabulary = {w for w in {*a, *b} if len(w) >= U.SHORTEST} - set(U.COMMON.split())
+    for w in vocabulary:
+        odds = [math.log((x[w] + 0.1) / (sum(x[v] for v in vocabulary) + 0.1 * len(vocabulary))) for x in (b, a)]
+        assert abs(bayes.odds[w] - odds[0] + odds[1]) < 1e-9
+    got = urls_of(spark, urls)
+    for u in urls:
+        score = bayes.prior
+        for r in runs[u]:
+            shares = {w: 0.8 * c / total for w, c in n.items() if w in r and U.SHORTEST <= len(w) <= U.LONGEST and w != r}
+            for w, p in beforehand.items():
+                if w in r:
+                    shares[w] = shares.get(w, 0) + p
+            score += bayes.of(U.evidence(r, shares))
+        assert got[u] == ("block" if score > 0 else "allow"), u
