@@ -14,9 +14,13 @@ one anchor:
    in a third of all documents costs one entry per task, not per document.
 2. Bucket: equal extents collapse once more. Where one anchor has different
    extents that agree on the left or on the right of it (half of the window's
-   rest, as any shared window must), those left are asked for in full.
-3. Refine: the extents asked for are cut from their documents and compared
-   window by window. How is the caller's choice: by hash, or by suffix array.
+   rest, as any shared window must), those left are asked for in full. A bucket
+   of over ``BUCKET_EXTENTS`` extents (a seed in very many surroundings) is not held: its
+   extents collapse piece by piece and what is left is all asked for.
+3. Refine: the extents asked for are cut from their documents and brought
+   together by anchor, where the caller's ``in_block`` compares them: by extending
+   the seed both ways, or by suffix array. The contexts of an anchor that exceed a
+   block are split by the hashes of their windows instead; both ways are exact.
 
 Repeated windows are unions of whole items: overlapping and adjacent ones merge
 into maximal repeats. Documents and repeats are joined by id, broadcast only
@@ -43,6 +47,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 PLACE_BITS = 28
 #: Extents that a task holds before it collapses and sends them.
 FLUSH = 1 << 18
+#: Extents of one bucket that a task holds.
+BUCKET_EXTENTS = 1 << 20
 #: Contexts of one anchor, in items, up to which they are refined as one block; small anchors share blocks of about GROUP.
 BLOCK, GROUP = 1 << 16, 1 << 11
 
@@ -60,8 +66,10 @@ class Spec:
     values: Callable[[bytes], np.ndarray]
     #: True: an earlier start in the same document counts; false: only smaller ids do.
     within: bool
-    #: Refine by suffix array of each block rather than by window hashes.
-    by_suffix_array: bool = False
+    #: The contexts at (first item, items) pairs of a text.
+    cut_out: Callable[[bytes, list[tuple[int, int]]], list[bytes]]
+    #: Repeats, as rows of FOUND_SCHEMA, among contexts (id, dk, place, windows, context).
+    in_block: Callable[[list[tuple]], list[tuple]]
 
     @property
     def side(self) -> int:
@@ -104,15 +112,22 @@ class Sums:
 
 
 def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` hashes, the position of the least, the rightmost of equals."""
-    mask = U((1 << PLACE_BITS) - 1)
+    """For each run of ``width`` hashes, the position of the least, the rightmost of equals.
+
+    Positions are packed into PLACE_BITS bits, so longer texts go in overlapping parts.
+    """
+    size, runs = 1 << PLACE_BITS, len(hashes) - width + 1
+    if len(hashes) > size:
+        step = size - width + 1
+        return np.concatenate([winnow(hashes[lo : lo + size], width) + lo for lo in range(0, runs, step)])
+    mask = U(size - 1)
     packed = (hashes & ~mask) | (mask - np.arange(len(hashes), dtype=U))
     step, least = 1, packed
     while 2 * step <= width:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
     if step < width:
-        least = np.minimum(least[: len(hashes) - width + 1], least[width - step :])
+        least = np.minimum(least[:runs], least[width - step :])
     return (mask - (least & mask)).astype(np.int64)
 
 
@@ -258,38 +273,40 @@ def ask(x: Extents, spec: Spec) -> np.ndarray:
     return out
 
 
-def blocks_of(x: Extents, which: np.ndarray, spec: Spec, bucket: int) -> np.ndarray:
-    """Block numbers for the extents asked for: whole anchors, some to a block; -1 where one has over BLOCK items."""
+def blocks_of(x: Extents, which: np.ndarray, spec: Spec, bucket: int, most: int) -> np.ndarray:
+    """Block numbers for the extents asked for: whole anchors, some to a block; -1 where one has over ``most`` items."""
     at = np.flatnonzero(which)
     anchor, size = x["anchor"][at], x["n"][at].astype(np.int64) + spec.window
     new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     group = np.cumsum(new) - 1
     total = np.bincount(group, weights=size).astype(np.int64)
-    number = np.cumsum(np.where(total > BLOCK, 0, total)) // GROUP
-    return np.where(total > BLOCK, -1, (bucket << 32) + number)[group]
+    number = np.cumsum(np.where(total > most, 0, total)) // GROUP
+    return np.where(total > most, -1, (bucket << 32) + number)[group]
 
 
 def resolve(rows: DataFrame, spec: Spec, buckets: int, refine: bool) -> DataFrame:
     """Buckets to repeats (kind 0) and, if ``refine``, extents to compare in full (kind 1)."""
     small_batches(rows.sparkSession)
     covered = lambda y: y["n"].astype(np.int64) + spec.window - 1
+    limit, most = BUCKET_EXTENTS, BLOCK
 
-    def finish(bucket: int, parts: list[bytes]) -> list[tuple]:
+    def finish(bucket: int, parts: list[bytes], over: bool) -> list[tuple]:
+        """``over``: these are not all extents of the bucket, so all that do not collapse are asked for."""
         x, later = collapse(join_extents([unpack_extents(p) for p in parts]), spec.within)
         out = [(0, i, dk, -1, blob) for i, dk, blob in by_document(x, later, covered)]
         if refine:
             x = {f: c[~later] for f, c in x.items()}
-            which = ask(x, spec)
+            which = np.ones(len(x["anchor"]), bool) if over else ask(x, spec)
             if which.any():
                 block = np.full(len(which), -1)
-                if spec.by_suffix_array:
-                    block[which] = blocks_of(x, which, spec, bucket)
+                if not over:
+                    block[which] = blocks_of(x, which, spec, bucket, most)
                 for b in np.unique(block[which]).tolist():
                     out += [(1, i, dk, b, blob) for i, dk, blob in by_document(x, which & (block == b), lambda y: y["n"].astype(np.int64))]
         return out
 
     def run(batches):
-        bucket, parts = None, []
+        bucket, parts, held, over = None, [], 0, False
         for batch in batches:
             out = []
             for kind, b, i, dk, blob in zip(*(c.to_pylist() for c in batch.columns)):
@@ -298,12 +315,17 @@ def resolve(rows: DataFrame, spec: Spec, buckets: int, refine: bool) -> DataFram
                     continue
                 if b != bucket:
                     if parts:
-                        out += finish(bucket, parts)
-                    bucket, parts = b, []
+                        out += finish(bucket, parts, over)
+                    bucket, parts, held, over = b, [], 0, False
+                n = int.from_bytes(blob[:4], "little")
+                if refine and parts and held + n > limit:
+                    out += finish(bucket, parts, True)
+                    parts, held, over = [], 0, True
                 parts.append(blob)
+                held += n
             yield _batch(out, FOUND_SCHEMA)
         if parts:
-            yield _batch(finish(bucket, parts), FOUND_SCHEMA)
+            yield _batch(finish(bucket, parts, over), FOUND_SCHEMA)
 
     return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), FOUND_SCHEMA)
 
@@ -340,10 +362,8 @@ def _refine_by_hash(asked: DataFrame, docs: DataFrame, text: str, spec: Spec, bu
     return resolve(joined.mapInArrow(tidy(run), ROWS_SCHEMA), spec, buckets, refine=False)
 
 
-def _refine_by_suffix_array(asked: DataFrame, docs: DataFrame, text: str, spec: Spec) -> DataFrame:
-    """Contexts of each block, cut from their documents and brought together; ``repeats_in_block`` decides."""
-    from graphloom.llm.suffix_dedup import repeats_in_block
-
+def _refine_in_blocks(asked: DataFrame, docs: DataFrame, text: str, spec: Spec) -> DataFrame:
+    """Contexts of each block, cut from their documents and brought together; ``spec.in_block`` decides."""
     packed = asked.withColumn("blob", F.concat(F.expr("unhex(lpad(hex(block), 16, '0'))"), "blob"))
     side, size = _gather(packed)
     joined = attach(docs.select("__id", "__dk", F.col(text).alias("text")), side, ["__id", "__dk"], "inner", size)
@@ -353,9 +373,9 @@ def _refine_by_suffix_array(asked: DataFrame, docs: DataFrame, text: str, spec:
         for b in batches:
             rows = []
             for i, dk, t, blobs in zip(b.column("__id").to_pylist(), b.column("__dk").to_pylist(), texts(b.column("text")), b.column("__blobs").to_pylist()):
-                for blob in blobs:
-                    block = int.from_bytes(blob[:8], "big")
-                    rows += [(block, i, dk, p, n, t[p : p + n + spec.window - 1]) for p, n in unpack_pairs([blob[8:]]).tolist()]
+                pairs = [(int.from_bytes(blob[:8], "big"), p, n) for blob in blobs for p, n in unpack_pairs([blob[8:]]).tolist()]
+                found = spec.cut_out(t, [(p, n + spec.window - 1) for _, p, n in pairs])
+                rows += [(block, i, dk, p, n, context) for (block, p, n), context in zip(pairs, found)]
             yield _batch(rows, contexts)
 
     def run(batches):
@@ -365,17 +385,30 @@ def _refine_by_suffix_array(asked: DataFrame, docs: DataFrame, text: str, spec:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[0] != block:
                     if held:
-                        out += repeats_in_block(held, spec.window)
+                        out += spec.in_block(held)
                     block, held = row[0], []
                 held.append(row[1:])
             yield _batch(out, FOUND_SCHEMA)
         if held:
-            yield _batch(repeats_in_block(held, spec.window), FOUND_SCHEMA)
+            yield _batch(spec.in_block(held), FOUND_SCHEMA)
 
     moved = joined.mapInArrow(tidy(cut_out), contexts).repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "id", "place")
     return moved.mapInArrow(tidy(run), FOUND_SCHEMA)
 
 
+def merged(i: np.ndarray, dk: np.ndarray, at: np.ndarray, window: int) -> list[tuple]:
+    """Window starts as maximal repeats of each document."""
+    if not len(i):
+        return []
+    sort = np.lexsort((at, dk, i))
+    i, dk, at = i[sort], dk[sort], at[sort]
+    doc = np.concatenate([[True], (i[1:] != i[:-1]) | (dk[1:] != dk[:-1])])
+    new = np.flatnonzero(doc | np.concatenate([[True], at[1:] > at[:-1] + 1]))
+    length = at[np.append(new[1:], len(at)) - 1] - at[new] + window
+    cuts = np.flatnonzero(doc[new])
+    return [(0, int(i[new[a]]), int(dk[new[a]]), -1, pack_pairs(at[new[a:b]], length[a:b])) for a, b in zip(cuts, [*cuts[1:], len(new)])]
+
+
 def find_repeats(docs: DataFrame, text: str, spec: Spec) -> DataFrame:
     """(id, dk, blob): (place, items) pairs of every repeat; ``docs`` comes from ``keyed``."""
     spark = docs.sparkSession
@@ -407,8 +440,8 @@ def find_repeats(docs: DataFrame, text: str, spec: Spec) -> DataFrame:
     if not hashed.isEmpty():
         pieces.append(cut(_refine_by_hash(hashed, docs, text, spec, buckets), "refined", parts))
     blocked = asked.filter("block <> -1")
-    if spec.by_suffix_array and not blocked.isEmpty():
-        pieces.append(cut(_refine_by_suffix_array(blocked, docs, text, spec), "sorted", parts))
+    if not blocked.isEmpty():
+        pieces.append(cut(_refine_in_blocks(blocked, docs, text, spec), "sorted", parts))
     out = pieces[0]
     for p in pieces[1:]:
         out = out.unionByName(p)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import NO_ID, mix, ranges_to_index, texts, tidy
-from graphloom.llm.repeats import Spec, covered, keyed, pack_pairs, with_repeats
+from graphloom.llm.repeats import Spec, covered, keyed, merged, with_repeats
 from graphloom.llm.suffix_array import suffix_array
 
 WINDOW, SEED_BYTES = 100, 24
@@ -40,8 +40,15 @@ def byte_values(text: bytes) -> np.ndarray:
     return _VALUES[np.frombuffer(text, np.uint8)]
 
 
+def cut_out(text: bytes, at: list[tuple[int, int]]) -> list[bytes]:
+    return [text[p : p + n] for p, n in at]
+
+
 def spec(window: int = WINDOW) -> Spec:
-    return Spec(window=window, k=max(1, window * SEED_BYTES // WINDOW), values=byte_values, within=True, by_suffix_array=True)
+    return Spec(
+        window=window, k=max(1, window * SEED_BYTES // WINDOW), values=byte_values, within=True, cut_out=cut_out,
+        in_block=lambda rows: repeats_in_block(rows, window),
+    )
 
 
 def repeats_in_block(rows: list[tuple], window: int) -> list[tuple]:
@@ -69,19 +76,6 @@ def repeats_in_block(rows: list[tuple], window: int) -> list[tuple]:
     return merged(i[later], dk[later], at[later], window)
 
 
-def merged(i: np.ndarray, dk: np.ndarray, at: np.ndarray, window: int) -> list[tuple]:
-    """Window starts as repeats of each document."""
-    if not len(i):
-        return []
-    sort = np.lexsort((at, dk, i))
-    i, dk, at = i[sort], dk[sort], at[sort]
-    doc = np.concatenate([[True], (i[1:] != i[:-1]) | (dk[1:] != dk[:-1])])
-    new = np.flatnonzero(doc | np.concatenate([[True], at[1:] > at[:-1] + 1]))
-    length = at[np.append(new[1:], len(at)) - 1] - at[new] + window
-    cuts = np.flatnonzero(doc[new])
-    return [(0, int(i[new[a]]), int(dk[new[a]]), -1, pack_pairs(at[new[a:b]], length[a:b])) for a, b in zip(cuts, [*cuts[1:], len(new)])]
-
-
 def dedup_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     rows = with_repeats(keyed(docs.select(doc_id, text), doc_id, text), text, spec(window))

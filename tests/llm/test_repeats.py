@@ -83,6 +83,48 @@ def test_match_brute_force(spark, monkeypatch, seed, block):
     assert sorted(str(tuple(r)) for r in B.dedup_bytes(docs).collect()) == brute_bytes(rows)
 
 
+@pytest.mark.parametrize("bucket,block", [(R.BUCKET_EXTENTS, 0), (30, R.BLOCK)])
+def test_hot_seeds_against_brute_force(spark, monkeypatch, bucket, block):
+    """One seed in 400 surroundings, of which some agree on one side: by window hashes, and with buckets that are never held."""
+    monkeypatch.setattr(R, "BUCKET_EXTENTS", bucket)
+    monkeypatch.setattr(R, "BLOCK", block)
+    rng = random.Random(6)
+    say = lambda tag, n: " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(n))
+    seed, lefts, rights = say("s", 30), [say("l", 40) for _ in range(5)], [say("r", 40) for _ in range(5)]
+    rows = [(i, " ".join((rng.choice(lefts) if rng.random() < 0.2 else say("x", 25), seed, rng.choice(rights) if rng.random() < 0.2 else say("y", 25)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(str(tuple(r)) for r in W.dedup_substrings(docs).collect()) == brute_words(rows)
+    assert sorted(str(tuple(r)) for r in B.dedup_bytes(docs).collect()) == brute_bytes(rows)
+
+
+def test_a_bucket_is_held_in_parts(spark):
+    """The largest number of extents that ``collapse`` gets at once in a bucket with one seed in 100,000 surroundings."""
+    rng, s = np.random.default_rng(1), W.spec()
+    n = 100_000
+    x = {f: rng.integers(1, 60_000, n).astype(t) for f, t in R.FIELDS}
+    x["anchor"][:] = 7
+    x["id"][:] = x["extent"][:] = np.arange(n)
+    blobs = [R.pack_extents({f: c[lo : lo + 1000] for f, c in x.items()}) for lo in range(0, n, 1000)]
+    rows = spark.createDataFrame([(1, 7, None, None, bytearray(b)) for b in blobs], R.ROWS_SCHEMA)
+    old, R.BUCKET_EXTENTS = R.BUCKET_EXTENTS, 5_000
+    try:
+        got = R.resolve(rows, s, 16, True).collect()
+    finally:
+        R.BUCKET_EXTENTS = old
+    asked = [r for r in got if r.kind == 1]
+    assert {r.block for r in asked} == {-1} and sum(len(r.blob) // 8 for r in asked) == n
+
+
+def test_winnow_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    want = [max(range(i, i + 31), key=lambda p: (-int(hashes[p] >> np.uint64(28)), p)) for i in range(len(hashes) - 30)]
+    assert R.winnow(hashes, 31).tolist() == want
+    monkeypatch.setattr(R, "PLACE_BITS", 6)
+    want = [max(range(i, i + 31), key=lambda p: (-int(hashes[p] >> np.uint64(6)), p)) for i in range(len(hashes) - 30)]
+    assert R.winnow(hashes, 31).tolist() == want
+
+
 def test_shuffled_join(spark, monkeypatch):
     monkeypatch.setattr("graphloom.llm.common.BROADCAST_BYTES", 0)
     rows = corpus(3, 30)
