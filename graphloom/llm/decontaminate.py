@@ -1,16 +1,21 @@
 """Benchmark decontamination by a document-partitioned positional inverted index.
 
 Training documents are dealt into shards as they are scanned. Every shard keeps
-a positional posting list for each term of the test vocabulary (``build_index``
-stores them as a table; nothing is shuffled). A search sends the test windows to
-every shard: it starts with the postings of each window's rarest term in that
+a positional posting list for each of its terms (``build_index`` stores them as a
+table; nothing is shuffled). The test set is read in blocks of bounded size. One
+block at a time is broadcast and searched for in every shard, its hits are written, and its
+broadcast is given back before the next, so neither the driver nor a worker ever
+holds more than one block, however large the test set is.
+
+A search starts with the postings of each window's rarest term in the
 shard, shifts them by the term's offset, and intersects them with the shifted
-postings of the next rarest terms until only whole windows are left. ``slop``
-lets a term stand up to so many words from its place, which gives proximity
-matches; 0 gives exact phrases.
+postings of the next rarest terms until only whole windows are left.
 
-The test set is read in blocks of bounded size, so neither the driver nor a
-worker ever holds more than one block, however large the test set is.
+``slop`` gives proximity matches: the words of a window in order, with at most so
+many other words between two that follow each other. From each posting of the
+rarest term, all positions that such chains reach are followed to both ends; the
+widest of them is the run that is hit. All chains through a posting lie in that run, so
+the result depends neither on the term it began with nor on the shards.
 
 Defined results: null or wordless texts have no words and no hits; null or
 wordless items match nothing; items that share an id count as one item; items
@@ -20,16 +25,17 @@ Documents may carry any other columns; they are not read.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, ranges_to_index, small_batches, texts, tidy
+from graphloom.llm.common import BROADCAST_BYTES, cut, few, ranges_to_index, small_batches, texts, tidy
 
 #: Lower-cases A-Z; every ASCII byte that is no letter or digit becomes a space.
 WORD_TABLE = bytes(
@@ -42,8 +48,9 @@ STEP = 1 << 20
 #: Test text, in bytes, that one block of windows may hold.
 BLOCK_BYTES = 8 << 20
 
-INDEX_SCHEMA = "doc_ids array<bigint>, starts binary, terms array<binary>, counts binary, postings binary"
-HITS_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+INDEX_SCHEMA = "shard binary, doc_ids array<bigint>, dks array<bigint>, starts binary, terms binary, counts binary, postings binary"
+BLOCK_SCHEMA = "shard binary, row int, doc_id long, dk long, n_words long, runs binary, items array<string>"
+HIT_SCHEMA = "doc_id long, dk long, n_words long, n_hit long, items array<string>"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -99,11 +106,11 @@ def index_shard(docs: list[bytes], vocabulary: dict[bytes, int]) -> Shard:
     return Shard(np.array(starts), np.bincount(ids[at], minlength=len(vocabulary)), keys, span)
 
 
-def search(shard: Shard, windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window numbers, start positions) of all matches inside single documents."""
+def search(shard: Shard, windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window numbers, first positions, ends) of all matches inside single documents."""
     empty = np.zeros(0, np.int64)
     if not len(windows.lengths) or not len(shard.keys):
-        return empty, empty
+        return empty, empty, empty
     n = len(shard.counts)
     count = np.where(windows.terms >= 0, np.append(shard.counts, 0)[np.where(windows.terms >= 0, windows.terms, n)], 1 << 60)
     order = np.argsort(count, axis=1, kind="stable")
@@ -111,7 +118,7 @@ def search(shard: Shard, windows: Windows, slop: int = 0) -> tuple[np.ndarray, n
     first = windows.terms[live, order[live, 0]]
     begin = np.concatenate([[0], np.cumsum(shard.counts)])[first]
     size = shard.counts[first]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     total, bounds = np.cumsum(size), [0]
     while bounds[-1] < len(live):
         done = total[bounds[-1] - 1] if bounds[-1] else 0
@@ -120,34 +127,75 @@ def search(shard: Shard, windows: Windows, slop: int = 0) -> tuple[np.ndarray, n
         for lo in range(0, int(size[a:b].max()), STEP):  # a long list goes in several steps
             part = np.minimum(np.maximum(size[a:b] - lo, 0), STEP)
             which = np.repeat(live[a:b], part)
-            at = ranges_to_index(begin[a:b] + lo, part)
-            start = shard.keys[at] % shard.span - order[which, 0]
-            for k in range(1, windows.terms.shape[1]):
-                offset = order[which, k]
-                need = windows.terms[which, offset]
-                low = need * shard.span + start + offset
-                place = np.searchsorted(shard.keys, low - slop)
-                hit = shard.keys[np.minimum(place, len(shard.keys) - 1)]
-                ok = (need < 0) | ((hit >= low - slop) & (hit <= low + slop))
-                which, start = which[ok], start[ok]
-                if not len(which):
-                    break
-            if len(which):
+            at = shard.keys[ranges_to_index(begin[a:b] + lo, part)] % shard.span
+            if slop:
+                which, start, ends = _chains(shard, windows, which, at, order[which, 0], slop)
+            else:
+                which, start = _phrases(shard, windows, which, at - order[which, 0], order)
                 ends = start + windows.lengths[which]
-                doc = np.searchsorted(shard.starts, start, "right") - 1
-                ok = (start >= 0) & (ends <= shard.starts[np.minimum(doc + 1, len(shard.starts) - 1)])
-                found.append((which[ok], start[ok]))
+            doc = np.searchsorted(shard.starts, start, "right") - 1
+            ok = (start >= 0) & (ends <= shard.starts[np.minimum(doc + 1, len(shard.starts) - 1)])
+            found.append((which[ok], start[ok], ends[ok]))
     if not found:
-        return empty, empty
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        return empty, empty, empty
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _phrases(shard: Shard, windows: Windows, which: np.ndarray, start: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates (window, start) of which every term stands in its place, the rarest checked first."""
+    for k in range(1, windows.terms.shape[1]):
+        if not len(which):
+            break
+        offset = order[which, k]
+        need = windows.terms[which, offset]
+        key = need * shard.span + start + offset
+        place = np.searchsorted(shard.keys, key)
+        ok = (need < 0) | (shard.keys[np.minimum(place, len(shard.keys) - 1)] == key)
+        which, start = which[ok], start[ok]
+    return which, start
+
+
+def _chains(shard: Shard, windows: Windows, which: np.ndarray, at: np.ndarray, offset: np.ndarray, slop: int) -> tuple[np.ndarray, ...]:
+    """(window, first position, end) of the widest chain through each anchor that has one; chains stay in the anchor's document."""
+    doc = np.searchsorted(shard.starts, at, "right") - 1
+    floor, top = shard.starts[doc], shard.starts[doc + 1]
+    length = windows.lengths[which]
+
+    def reach(toward: int) -> np.ndarray:
+        """The farthest position that all remaining terms can be chained to; -1 where they cannot."""
+        out = np.full(len(which), -1)
+        who, here, step = np.arange(len(which)), at, offset.copy()
+        while len(who):
+            last = step[who] == (0 if toward < 0 else length[who] - 1)
+            if last.any():  # positions of one anchor are in ascending order
+                if toward > 0:
+                    out[who[last]] = here[last]
+                else:
+                    out[who[last][::-1]] = here[last][::-1]
+            who, here = who[~last], here[~last]
+            if not len(who):
+                break
+            step[np.unique(who)] += toward
+            low, high = (here + 1, here + 2 + slop) if toward > 0 else (here - 1 - slop, here)
+            low, high = np.maximum(low, floor[who]), np.minimum(high, top[who])
+            base = windows.terms[which[who], step[who]] * shard.span
+            x, y = np.searchsorted(shard.keys, base + low), np.searchsorted(shard.keys, base + np.maximum(high, low))
+            who, here = np.repeat(who, y - x), shard.keys[ranges_to_index(x, y - x)] % shard.span
+            pairs = np.unique(who * shard.span + here)
+            who, here = pairs // shard.span, pairs % shard.span
+        return out
+
+    left, right = reach(-1), reach(1)
+    ok = (left >= 0) & (right >= 0)
+    return which[ok], left[ok], right[ok] + 1
 
 
 def hits_of(shard: Shard, windows: Windows, slop: int = 0) -> Iterator[tuple[np.ndarray, list[str]]]:
     """For each document: merged hit word runs ``[[start, end), ...]`` and its items."""
-    which, start = search(shard, windows, slop)
+    which, start, ends = search(shard, windows, slop)
     doc = np.searchsorted(shard.starts, start, "right") - 1
     order = np.lexsort((start, doc))
-    which, start, doc = which[order], start[order], doc[order]
+    which, start, ends, doc = which[order], start[order], ends[order], doc[order]
     edges = np.searchsorted(doc, np.arange(len(shard.starts)))
     for d in range(len(shard.starts) - 1):
         a, b = edges[d], edges[d + 1]
@@ -155,7 +203,7 @@ def hits_of(shard: Shard, windows: Windows, slop: int = 0) -> Iterator[tuple[np.
             yield np.zeros((0, 2), np.int64), []
             continue
         s = start[a:b] - shard.starts[d]
-        e = np.maximum.accumulate(s + windows.lengths[which[a:b]])
+        e = np.maximum.accumulate(ends[a:b] - shard.starts[d])
         new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
         runs = np.stack([s[new], np.append(e[new[1:] - 1], e[-1])], 1)
         yield runs, sorted({x for w in np.unique(which[a:b]).tolist() for x in windows.items[w]})
@@ -174,128 +222,189 @@ def shards_of(batches: Iterable[pa.RecordBatch], text: str, limit: int = SHARD_B
             yield batch.slice(start), docs[start:]
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYTES) -> list[DataFrame]:
-    """The test set in blocks of about ``limit`` bytes, dealt by a hash of the item id."""
+def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int | None = None) -> Iterator[DataFrame]:
+    """The test set in blocks of about ``limit`` bytes, dealt by a hash of item id and text."""
+    limit = limit or BLOCK_BYTES
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + int(total) // limit
-    return [items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
+    for k in range(n):
+        yield items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
 
 
 def windows_of(block: DataFrame, window: int = WINDOW) -> Windows:
     return compile_windows(((r[0], (r[1] or "").encode()) for r in block.collect()), window)
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per shard: its documents, word counts, and postings of the vocabulary's terms.
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per shard: its documents (ids, hashes of their texts, where their words begin) and the postings of all its terms.
 
-    Postings are position lists in term order; ``counts`` tells their lengths.
+    Postings are position lists in the order of ``terms``; ``counts`` tells their lengths.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most BLOCK_BYTES of terms
 
     def run(batches):
-        vocabulary, names = shared.value, list(shared.value)
         for rows, data in shards_of(batches, "text"):
-            shard = index_shard(data, vocabulary)
-            have = np.flatnonzero(shard.counts)
-            raw = (shard.keys % shard.span).astype("<i4")
+            sizes, terms, counts, at = postings(data)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([uuid.uuid4().bytes], pa.binary()),
                     pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([shard.starts.astype("<i8").tobytes()], pa.binary()),
-                    pa.array([[names[t] for t in have.tolist()]], pa.list_(pa.binary())),
-                    pa.array([shard.counts[have].astype("<i4").tobytes()], pa.binary()),
-                    pa.array([len(raw).to_bytes(8, "little") + pa.compress(raw.tobytes(), "zstd", asbytes=True)], pa.binary()),
+                    pa.array([rows.column("dk").to_pylist()], pa.list_(pa.int64())),
+                    pa.array([np.append(0, np.cumsum(sizes)).astype("<i8").tobytes()], pa.binary()),
+                    pa.array([_pressed("\n".join(terms).encode())], pa.binary()),
+                    pa.array([_pressed(counts.astype("<i4").tobytes())], pa.binary()),
+                    pa.array([_pressed(_steps(at, counts).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary()),
                 ],
-                ["doc_ids", "starts", "terms", "counts", "postings"],
+                ["shard", "doc_ids", "dks", "starts", "terms", "counts", "postings"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), INDEX_SCHEMA)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("dk"), F.col(text).alias("text"))
+    return rows.mapInArrow(tidy(run), INDEX_SCHEMA)
+
+
+def postings(data: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Words of each text; the distinct terms; how often each occurs; the positions of each, one term after the other."""
+    clean = [t.translate(WORD_TABLE) for t in data]
+    offsets = np.append(0, np.cumsum([len(t) for t in clean])).astype(np.int64)
+    split = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(clean), pa.py_buffer(offsets), pa.py_buffer(b"".join(clean))))
+    flat = split.flatten()
+    inner = split.offsets.to_numpy()
+    word = pc.not_equal(flat, "")  # white space at the ends of a text leaves empty pieces
+    before = np.append(0, np.cumsum(word.to_numpy(zero_copy_only=False)))
+    coded = flat.filter(word).dictionary_encode()
+    ids = coded.indices.to_numpy(zero_copy_only=False)
+    return np.diff(before[inner]), coded.dictionary.to_pylist(), np.bincount(ids, minlength=len(coded.dictionary)), np.argsort(ids, kind="stable")
+
+
+def _steps(at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions as distances from the one before, in each list."""
+    out = np.diff(at, prepend=0)
+    first = (np.cumsum(counts) - counts)[counts > 0]
+    out[first] = at[first]
+    return out
+
+
+def _pressed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def _unpressed(blob: bytes) -> bytes:
+    n = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], n, "zstd", asbytes=True) if n else b""
 
 
 def read_shard(row: dict, vocabulary: dict[bytes, int]) -> Shard:
     """The stored shard, restricted and renumbered to ``vocabulary``."""
     starts = np.frombuffer(row["starts"], "<i8").astype(np.int64)
-    counts = np.frombuffer(row["counts"], "<i4").astype(np.int64)
-    n = int.from_bytes(row["postings"][:8], "little")
-    at = np.frombuffer(pa.decompress(row["postings"][8:], n * 4, "zstd", asbytes=True), "<i4").astype(np.int64) if n else np.zeros(0, np.int64)
-    term = np.repeat(np.array([vocabulary.get(bytes(t), -1) for t in row["terms"]], np.int64), counts)
+    counts = np.frombuffer(_unpressed(row["counts"]), "<i4").astype(np.int64)
+    raw = np.frombuffer(_unpressed(row["postings"]), np.uint8)
+    steps = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+    begin = np.cumsum(counts) - counts
+    run = np.cumsum(steps)
+    at = run - np.repeat(run[begin] - steps[begin], counts) if len(counts) else run
+    words = _unpressed(row["terms"]).split(b"\n") if len(counts) else []
+    term = np.repeat(np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words)), counts)
     ok = term >= 0
     span = int(starts[-1]) + 2 * WINDOW + 1
     keys = np.sort(term[ok] * span + at[ok])
     return Shard(starts, np.bincount(term[ok], minlength=len(vocabulary)), keys, span)
 
 
-def digest(n_words: int, runs: np.ndarray, items: list[str]) -> tuple:
-    n_hit = int((runs[:, 1] - runs[:, 0]).sum())
-    return n_words, n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0
-
-
-def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
-
-
-def search_index(index: DataFrame, parts: list[Windows], slop: int = 0) -> DataFrame:
-    """Hits of every indexed document, over all blocks of windows in turn."""
-    shared = [index.sparkSession.sparkContext.broadcast(w) for w in parts]
+def search_index(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
+    """Hits of one block of windows: a row for every indexed document, its runs and items."""
+    shared = index.sparkSession.sparkContext.broadcast(windows)  # compiled from at most BLOCK_BYTES of text
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 starts = np.frombuffer(row["starts"], "<i8")
-                runs = [[] for _ in row["doc_ids"]]
-                items: list[set[str]] = [set() for _ in row["doc_ids"]]
-                for w in shared:
-                    for d, (r, x) in enumerate(hits_of(read_shard(row, w.value.vocabulary), w.value, slop)):
-                        if x:
-                            runs[d].append(r)
-                            items[d].update(x)
-                rows = [(i, *digest(int(starts[d + 1] - starts[d]), merge_runs(runs[d]), sorted(items[d]))) for d, i in enumerate(row["doc_ids"])]
-                if rows:
-                    yield _emit(rows)
-
-    return index.mapInArrow(tidy(run), HITS_SCHEMA)
+                hits = list(hits_of(read_shard(row, shared.value.vocabulary), shared.value, slop))
+                n = len(hits)
+                columns = [
+                    pa.array([row["shard"]] * n, pa.binary()),
+                    pa.array(range(n), pa.int32()),
+                    pa.array(row["doc_ids"], pa.int64()),
+                    pa.array(row["dks"], pa.int64()),
+                    pa.array(np.diff(starts), pa.int64()),
+                    pa.array([r.astype("<i8").tobytes() for r, _ in hits], pa.binary()),
+                    pa.array([x for _, x in hits], pa.list_(pa.string())),
+                ]
+                if n:
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "row", "doc_id", "dk", "n_words", "runs", "items"])
+
+    hits = index.mapInArrow(tidy(run), BLOCK_SCHEMA)
+    hits._graphloom_broadcast = shared
+    return hits
 
 
 def merge_runs(parts: list[np.ndarray]) -> np.ndarray:
     if not parts:
         return np.zeros((0, 2), np.int64)
     r = np.concatenate(parts)
+    if not len(r):
+        return r
     r = r[np.argsort(r[:, 0], kind="stable")]
     e = np.maximum.accumulate(r[:, 1])
     new = np.flatnonzero(np.concatenate([[True], r[1:, 0] > e[:-1]]))
     return np.stack([r[new, 0], np.append(e[new[1:] - 1], e[-1])], 1)
 
 
+def all_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, slop: int = 0) -> DataFrame:
+    """doc_id, dk, n_words, n_hit, items of every document, over all blocks of the test set in turn."""
+    index = cut(build_index(docs, doc_id, text), "postings")
+    parts: list[DataFrame] = []
+    more = iter(blocks(benchmark, item_id, item_text))
+    block = next(more)
+    while block is not None:
+        hits, block = search_index(index, windows_of(block), slop), next(more, None)
+        if block is None and not parts:  # one block, as usual: its hits are all
+            return hits.mapInArrow(tidy(_summed), HIT_SCHEMA)
+        # the documents without a hit are told by the last block
+        parts.append(cut(hits if block is None else hits.filter("size(items) > 0"), "hits"))
+        hits._graphloom_broadcast.destroy()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    one = every.groupBy("shard", "row").agg(
+        *(F.first(c).alias(c) for c in ("doc_id", "dk", "n_words")), F.collect_list("runs").alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
+    return one.select("doc_id", "dk", "n_words", F.expr("aggregate(runs, cast('' as binary), (a, r) -> concat(a, r))").alias("runs"), "items").mapInArrow(tidy(_summed), HIT_SCHEMA)
+
+
+def _summed(batches):
+    for b in batches:
+        n_hit = []
+        for blob in b.column("runs").to_pylist():
+            runs = merge_runs([np.frombuffer(blob, "<i8").reshape(-1, 2)])
+            n_hit.append(int((runs[:, 1] - runs[:, 0]).sum()))
+        items = [sorted(x) for x in b.column("items").to_pylist()]
+        columns = [*(b.column(c) for c in ("doc_id", "dk", "n_words")), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "dk", "n_words", "n_hit", "items"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", slop: int = 0) -> DataFrame:
     """Store the index, search it for every test window, and return one row per document."""
-    parts = [windows_of(b) for b in blocks(benchmark, item_id, item_text)]
-    vocabulary: dict[bytes, int] = {}
-    for w in parts:
-        for t in w.vocabulary:
-            vocabulary.setdefault(t, len(vocabulary))
-    index = cut(build_index(docs, vocabulary, doc_id, text), "postings")
-    return search_index(index, parts, slop)
+    hits = all_hits(docs, benchmark, doc_id, text, item_id, item_text, slop)
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no test window, all columns kept.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no test window; all columns kept, whatever their names.
 
-    Shards are indexed and searched as the scan passes, so rows that stay are
-    handed on without a join.
+    The stored index is searched; rows go by their id and a hash of their text.
     """
-    small_batches(docs.sparkSession)
-    shared = [docs.sparkSession.sparkContext.broadcast(windows_of(b)) for b in blocks(benchmark, item_id, item_text)]
-
-    def run(batches):
-        for rows, data in shards_of(batches, text):
-            keep = np.ones(len(data), bool)
-            for w in shared:
-                shard = index_shard(data, w.value.vocabulary)
-                keep &= np.array([not x for _, x in hits_of(shard, w.value)], bool)
-            yield rows.filter(pa.array(keep))
-
-    return docs.mapInArrow(tidy(run), docs.schema)
+    hits = all_hits(docs, benchmark, doc_id, text, item_id, item_text)
+    gone = cut(hits.filter("n_hit > 0").select("doc_id", "dk").distinct(), "contaminated", few(docs.sparkSession))
+    small = gone.count() * 16 <= BROADCAST_BYTES
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("dk"), row.alias("row"))
+    same = marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["dk"] == gone["dk"])
+    return marked.join(F.broadcast(gone) if small else gone.hint("merge"), same, "left_anti").select("row.*")

@@ -109,13 +109,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .limit(max_rows)
     )
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # ids may repeat, so the rows are cut once more, in a fixed order
+    pairs = pairs.withColumn("tie", F.xxhash64("text")).orderBy("rank", "doc_id", "label", "tie").limit(max_rows)
 
     def run(batches):
         hasher, rows = Hasher(), []
         for b in batches:
             for rank, i, y, t in zip(b.column("rank").to_pylist(), b.column("doc_id").to_pylist(), b.column("label").to_pylist(), texts(b.column("text"))):
-                if len(rows) < max_rows:
-                    rows.append((rank, i, y, hasher(t)))
+                rows.append((rank, i, y, hasher(t)))
         rows.sort(key=lambda r: (r[0], r[1], r[2], len(r[3][0]), r[3][0].tobytes()))
         bias, weights = train([r[3] for r in rows], [r[2] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([float(bias)]), pa.array([weights.tobytes()], pa.binary())], ["bias", "weights"])

@@ -31,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from graphloom.llm.common import BROADCAST_BYTES, NO_ID, cut, few, small_batches, texts, tidy
 from graphloom.llm.components import components
@@ -133,14 +132,16 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, dk (a hash of the text) and fp (the fingerprint as a signed long) of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_signed(fingerprint(t)) for t in texts(b.column("text"))], pa.int64())], ["doc_id", "fp"])
+            fp = pa.array([_signed(fingerprint(t)) for t in texts(b.column("text"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("dk"), fp], ["doc_id", "dk", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("dk"), F.col(text).alias("text"))
+    return rows.mapInArrow(tidy(run), "doc_id long, dk long, fp long")
 
 
 def _keyed(nodes: DataFrame, deeper: bool = False) -> DataFrame:
@@ -221,16 +222,16 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (null ids count as the largest id) and keeper, the fingerprint of the document that stays."""
+    """doc_id, dk, fp, component_id (null ids count as the largest id) and keeper, the (doc_id, fp, dk) of the document that stays."""
     parts = few(docs.sparkSession)
     found = fingerprints(docs, doc_id, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    rows = cut(found.repartition(parts), "fingerprints")
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes", parts)
+    rows = cut(found, "fingerprints", parts)
+    nodes = cut(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "dk")).alias("first")), "nodes", parts)
     roots = components(links(nodes), "a", "b")
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("least"))
-    mapped = placed.join(least, "root").select("fp", F.col("least.first").alias("component_id"), F.col("least.fp").alias("keeper"))
-    return rows.join(mapped, "fp").select("doc_id", "fp", "component_id", "keeper")
+    least = placed.groupBy("root").agg(F.min("first").alias("keeper"))
+    mapped = placed.join(least, "root").select("fp", F.col("keeper.doc_id").alias("component_id"), "keeper")
+    return rows.join(mapped, "fp").select("doc_id", "dk", "fp", "component_id", "keeper")
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,25 +244,19 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each near-duplicate group, the one with the smallest id; all columns kept."""
+    """One row of each near-duplicate group, the one with the smallest id; all columns kept, whatever their names.
+
+    Rows are told apart by their id and a hash of their text, so the texts are
+    fingerprinted once. Of rows that repeat both, any one stays.
+    """
     groups = cut(near_duplicates(docs, doc_id, text), "groups", few(docs.sparkSession))
-    gone = groups.filter("doc_id <> component_id or fp <> keeper").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    again = not groups.groupBy("doc_id", "fp").count().filter("count > 1").isEmpty()
+    mine = F.struct("doc_id", "fp", "dk")
+    gone = groups.filter(mine != F.col("keeper")).select("doc_id", "dk").distinct()
+    again = not groups.groupBy("doc_id", "dk").count().filter("count > 1").isEmpty()
     small = gone.count() * 16 <= BROADCAST_BYTES
-    marked = _with_fp(docs, doc_id, text)
-    kept = marked.join(F.broadcast(gone) if small else gone.hint("merge"), ["__id", "__fp"], "left_anti")
-    if again:  # rows repeated under one id: any one of them stays
-        kept = kept.dropDuplicates(["__id", "__fp"])
-    return kept.select(*docs.columns)
-
-
-def _with_fp(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
-    small_batches(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            fp = pa.array([_signed(fingerprint(t)) for t in texts(b.column(text))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, "__fp"])
-
-    return docs.mapInArrow(tidy(run), schema).withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # one column, so that no name can clash
+    marked = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("dk"), row.alias("row"))
+    kept = marked.join(F.broadcast(gone) if small else gone.hint("merge"), ["doc_id", "dk"], "left_anti")
+    if again:
+        kept = kept.dropDuplicates(["doc_id", "dk"])
+    return kept.select("row.*")

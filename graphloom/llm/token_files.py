@@ -14,7 +14,7 @@ there. A document's global start is its file's base plus its place in the file;
 bases come from one total per file.
 
 Defined results: a null text is empty and has only the end id; null ids come
-after all others; rows that share an id are ordered by text; repeated rows are
+after all others, by a hash of their text; rows that share an id are ordered by text; repeated rows are
 written once each; an empty table writes nothing.
 """
 
@@ -26,13 +26,15 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NO_ID, chunks, cut, partitions, shared_dir, small_batches, texts, tidy
+from graphloom.llm.common import NO_ID, attach, chunks, cut, partitions, scratch, small_batches, texts, tidy
 from graphloom.llm.tokens import TOKENIZER, encoder, with_end
 
 LENGTH, ROWS, END = 2048, 64, 1
+#: Files whose totals are summed up together.
+BLOCK_PARTS = 1024
 INDEX_SCHEMA = "doc_id long, part int, file string, place long, n_tokens long"
 
 
@@ -112,13 +114,14 @@ class Reader:
         return self.ids[b][at : at + self.length], self.masks[b].slice(at, self.length)
 
 
-def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end: int = END, length: int = LENGTH) -> DataFrame:
-    """Write the files; returns their index (doc_id, part, file, place, n_tokens)."""
+def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end: int = END, length: int = LENGTH, folder: str | None = None) -> DataFrame:
+    """Write the files into ``folder`` (without one: the shared folder, until the driver ends); returns their index (doc_id, part, file, place, n_tokens)."""
     spark = docs.sparkSession
     small_batches(spark)
-    folder = f"{shared_dir(spark)}/graphloom/tokens-{uuid.uuid4().hex}"
+    folder = folder or scratch(spark, "tokens")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows without an id are dealt out and ordered by a hash of their text
+    ordered = rows.withColumn("tie", F.when(F.col("doc_id") == NO_ID, F.xxhash64("text")).otherwise(F.lit(0))).repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
 
     def run(batches):
         part, writer = TaskContext.get().partitionId(), None
@@ -146,23 +149,30 @@ def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
 
 def read_tokens(index: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    totals = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a file
-    base, bases = 0, {}
-    for r in totals:
-        bases[r.file] = base
-        base += r.n
+    totals = cut(index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(F.col("part") / BLOCK_PARTS)), "totals", 1)
+    # running sums in blocks of files, then of blocks: one row for BLOCK_PARTS files comes to the driver
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect()
+    sums, bases = 0, []
+    for r in blocks:
+        bases.append((r.block, sums))
+        sums += r.n
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    block_bases = index.sparkSession.createDataFrame(bases, "block long, block_base long")
+    files = totals.withColumn("inside", before).join(F.broadcast(block_bases), "block").select("part", "file", (F.col("inside") + F.col("block_base")).alias("base"))
+    size = totals.count() * 200
+    based = attach(index, files, ["part", "file"], "inner", size)
 
     def run(batches):
         file = reader = None
         for b in batches:
             out = []
-            for i, f, place, n in zip(*(b.column(c).to_pylist() for c in ("doc_id", "file", "place", "n_tokens"))):
+            for i, f, place, n, base in zip(*(b.column(c).to_pylist() for c in ("doc_id", "file", "place", "n_tokens", "base"))):
                 if f != file:
                     file, reader = f, Reader(f)
-                out.append((None if i == NO_ID else i, bases[f] + place, n, zlib.crc32(reader.run(place, n).astype("<u4").tobytes())))
+                out.append((None if i == NO_ID else i, base + place, n, zlib.crc32(reader.run(place, n).astype("<u4").tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return index.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:

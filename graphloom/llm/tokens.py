@@ -1,7 +1,8 @@
 """Token ids of many texts with a tokenizers file, each distinct word encoded once.
 
-The tokenizer drops white space, lower-cases, and never joins letters with
-punctuation, so a text's ids are the ids of its words in order. Words are split
+A tokenizer that drops white space, lower-cases, and never joins letters with
+punctuation (its file says so: ``BY_WORD``) gives a text the ids of its words in
+order. With any other file, whole texts are encoded as they are. Words are split
 at ASCII white space and ASCII letters lower-cased where that provably changes
 no id, and a closing ASCII punctuation mark is set apart from a letter or digit.
 Anything else is the tokenizer's own business. Ids of known words are gathered
@@ -11,6 +12,7 @@ has too many, keeps those it met first, which are mostly the frequent ones.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -32,6 +34,19 @@ _CLASS = np.array([1 if chr(b).isalnum() and b < 128 else 2 if 33 <= b <= 126 an
 MARK = b"\x01"
 
 
+# The normaliser and pre-tokenizer, as in the tokenizer's file, for which texts may be taken word by word.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def special(word: bytes) -> bool:
     """Whether a special token may be in it, or a combining mark that composes with an ASCII character (lead bytes CC and CD)."""
     return b"<|" in word or b"\xcc" in word or b"\xcd" in word
@@ -46,6 +61,9 @@ class Encoder:
             import public_tokenizers
 
             path = public_tokenizers.path(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.by_word = all(told.get(k) == v for k, v in BY_WORD.items())
         self.tokenizer, self.known, self.kept = Tokenizer.from_file(path), known, kept
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.wide = len(vocabulary) > 1 << 16
@@ -104,6 +122,10 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
+        if not self.by_word:
+            ids = self._ids(texts) if texts else []
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            return (np.concatenate(ids) if ids else np.zeros(0, np.int64)).astype(np.uint32), sizes
         odd = [i for i, t in enumerate(texts) if special(t)]
         if odd:
             texts = [t if special(t) else t.lower() for t in texts]

@@ -65,3 +65,61 @@ def test_proximity():
     shard = D.index_shard([b"alpha x beta gamma", b"alpha beta", b"gamma"], w.vocabulary)
     assert len(D.search(shard, w)[0]) == 0
     assert len(D.search(shard, w, slop=1)[0]) == 1
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    """With blocks of 1 KB: as many searches as blocks, and never two live broadcasts of windows."""
+    docs, items = case()
+    items = items + [(100 + k, " ".join(f"w{k}x{j}" for j in range(40))) for k in range(40)] + [(200, items[0][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    live, most, searches = set(), [0], [0]
+    real = D.search_index
+
+    def watched(index, windows, slop=0):
+        hits = real(index, windows, slop)
+        shared, searches[0] = hits._graphloom_broadcast, searches[0] + 1
+        live.add(shared)
+        most[0] = max(most[0], len(live))
+        end = shared.destroy
+        shared.destroy = lambda: (live.discard(shared), end())
+        return hits
+
+    monkeypatch.setattr(D, "search_index", watched)
+    monkeypatch.setattr(D, "BLOCK_BYTES", 1024)
+    got = sorted(str(tuple(r)) for r in D.contamination(frame, bench).collect())
+    assert got == sorted(map(str, brute(docs, items)))
+    assert searches[0] > 5 and most[0] == 1
+
+
+def chains(words, window, slop):
+    """Words inside any chain, by trying all of them."""
+    ends = {}
+
+    def follow(k, at):
+        if k == len(window):
+            return [at]
+        return [e for p in range(at + 1, min(at + 2 + slop, len(words))) if words[p] == window[k] for e in follow(k + 1, p)]
+
+    hit = set()
+    for p, w in enumerate(words):
+        if w == window[0]:
+            for e in follow(1, p):
+                hit.update(range(p, e + 1))
+    return hit
+
+
+def test_proximity_does_not_depend_on_shards(spark, monkeypatch):
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(i, say(rng.choice([2, 3, 4, 6]))) for i in range(15)]
+    docs = [(i, say(rng.randint(0, 80))) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for slop in (1, 3):
+        want = {}
+        for d, t in docs:
+            hits = [chains(toks(t), toks(x), slop) for _, x in items]
+            want[d] = (len(set().union(*hits)), sum(map(bool, hits)))
+        for shards in (1, 3, 50):
+            got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(shards), bench, slop=slop).collect()
+            assert {r.doc_id: (r.n_hit, r.n_items) for r in got} == want

@@ -36,3 +36,11 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in Q.quality_scores(frame, none).collect()] == [0.5]
     assert Q.quality_scores(frame.limit(0), none).count() == 0
+
+
+def test_repeated_ids_are_cut_in_a_fixed_order(spark):
+    rows = [(1, f"text {k} of one id" if k % 2 else "bad bad bad") for k in range(40)] + [(5, "good words here"), (3, "bad bad")]
+    labels = spark.createDataFrame([(1, 1), (5, 1), (3, 0)], "doc_id long, quality int")
+    frame = lambda n: spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+    models = [Q.fit(frame(n), labels, max_rows=7) for n in (1, 3, 8)]
+    assert len({(b, w.tobytes()) for b, w in models}) == 1

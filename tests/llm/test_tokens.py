@@ -122,3 +122,11 @@ def test_reduction_keeps_the_optimum(seed):
     patterns = P.plan(Counter(items), capacity)
     assert Counter(w for p, n in patterns for w in p * n) == Counter(items)
     assert all(sum(p) <= capacity for p, _ in patterns)
+
+
+def test_other_tokenizers_get_whole_texts():
+    data = ["Hello World  twice\n", "", "MIXED Case, don't  é <|endoftext|>"]
+    flat, sizes = Encoder("byte_bpe_50k.json")([x.encode() for x in data])
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [whole.encode(x, add_special_tokens=False).ids for x in data]
+    assert sizes.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
