@@ -99,16 +99,18 @@ def fused(rows: DataFrame, group: str, settings: Settings) -> Column:
 def best_match(queries: DataFrame, candidates: DataFrame, group: str, settings: Settings = Settings()) -> DataFrame:
     """Each query with its best candidate, the earliest of equals; queries of groups without candidates have none.
 
-    The best pair is found with one long per pair (signal to nine decimals, then
-    place), which aggregates by hash without a sort; only the chosen pairs get
+    The best pair is found with one decimal per pair (signal to nine decimals, then
+    place, up to 2**48), which aggregates by hash without a sort; only the chosen pairs get
     their texts and features again.
     """
     q, c = dealt(queries, group, "q", settings), dealt(candidates, group, "c", settings)
     every = scored(q.drop("q_text").join(c.drop("c_text").hint("shuffle_hash"), group))
     signal = F.round(fused(every, group, settings) + 0.06 * F.col("names") + 0.04 * F.greatest("nums", "years"), 9)
-    packed = (F.round(signal * 1e9).cast("long") * (1 << 24)) + ((1 << 24) - 1 - F.col("c_pos"))
-    best = every.select(group, "q_pos", packed.alias("m")).groupBy(group, "q_pos").agg(F.max("m").alias("m"))
-    best = best.select(group, "q_pos", ((1 << 24) - 1 - F.pmod("m", F.lit(1 << 24))).cast("long").alias("c_pos"), (F.floor(F.col("m") / F.lit(1 << 24)) / 1e9).alias("signal"))
+    span = 1 << 48
+    packed = F.round(signal * 1e9).cast("decimal(18,0)") * F.lit(span).cast("decimal(16,0)") + (F.lit(span - 1) - F.col("c_pos"))
+    best = every.select(group, "q_pos", packed.cast("decimal(36,0)").alias("m")).groupBy(group, "q_pos").agg(F.max("m").alias("m"))
+    rest = F.pmod("m", F.lit(span).cast("decimal(16,0)"))
+    best = best.select(group, "q_pos", (F.lit(span - 1) - rest).cast("long").alias("c_pos"), (((F.col("m") - rest) / F.lit(span).cast("decimal(16,0)")).cast("double") / 1e9).alias("signal"))
     chosen = scored(q.join(best, [group, "q_pos"]).join(c, [group, "c_pos"]))
     feats = ["tfidf", "char3", "names", "nums", "years"]
     out = chosen.select(group, F.col("q_pos").alias("pos"), F.col("q_text").alias("text"), "signal", F.col("c_pos").alias("best_pos"), "c_text", *feats)
@@ -200,14 +202,19 @@ def carry_years(sentences: DataFrame, doc: str) -> DataFrame:
 
 
 def min_max(df: DataFrame, metrics: dict[str, bool], within: list[str]) -> DataFrame:
-    """Each metric scaled to 0..1 inside its run, flipped where lower is better; 0.5 where constant or missing; ``nqi`` is 100 times their mean."""
-    w = Window.partitionBy(*within)
+    """Each metric scaled to 0..1 inside its run, flipped where lower is better; 0.5 where constant or missing; ``nqi`` is 100 times their mean.
+
+    The bounds of a run are one row, joined back: a run is never brought to one task.
+    """
+    bounds = df.groupBy(*(F.col(c).alias(f"__by_{i}") for i, c in enumerate(within))).agg(*(f(m).alias(f"__{n}_{m}") for m in metrics for n, f in (("low", F.min), ("high", F.max))))
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{i}")) for i, c in enumerate(within)]
+    joined = df.join(bounds, same, "left").drop(*(f"__by_{i}" for i in range(len(within))))
     cols = {}
     for m, higher in metrics.items():
-        low, high = F.min(m).over(w), F.max(m).over(w)
+        low, high = F.col(f"__low_{m}"), F.col(f"__high_{m}")
         scaled = F.when(high > low, (F.col(m) - low) / (high - low))
         cols[f"{m}_norm"] = F.coalesce(scaled if higher else 1 - scaled, F.lit(0.5))
-    out = df.withColumns(cols)
+    out = joined.withColumns(cols).drop(*(f"__{n}_{m}" for m in metrics for n in ("low", "high")))
     names = list(cols)
     return out.withColumn("nqi", 100 * sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names))
 

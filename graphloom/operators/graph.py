@@ -121,12 +121,11 @@ def top_edges_per_predicate(edges: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("src", "predicate", "dst", "weight")
 
 
-def betweenness(edges: DataFrame, max_nodes: int = 2000) -> DataFrame:
-    """(node, betweenness) of a small graph, counted exactly in one task; refuses graphs of more than ``max_nodes`` nodes."""
+def betweenness(edges: DataFrame, max_nodes: int = 2000, sources: DataFrame | None = None) -> DataFrame:
+    """(node, betweenness), exact: in one task up to ``max_nodes`` nodes, by ``betweenness_by_frontiers`` beyond or where ``sources`` are given."""
     links = both_ways(edges).filter("src <> dst").distinct()
-    n = links.select("src").distinct().count()
-    if n > max_nodes:
-        raise ValueError(f"{n} nodes; betweenness takes at most {max_nodes}")
+    if sources is not None or links.select("src").distinct().limit(max_nodes + 1).count() > max_nodes:
+        return betweenness_by_frontiers(links, sources)
 
     def run(pdf):
         import pandas as pd
@@ -154,3 +153,39 @@ def betweenness(edges: DataFrame, max_nodes: int = 2000) -> DataFrame:
         return pd.DataFrame({"node": list(score), "betweenness": list(score.values())})
 
     return links.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "node string, betweenness double")
+
+
+def betweenness_by_frontiers(links: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """The same for graphs of any size: shortest paths from all sources at once, level by level, and back.
+
+    ``links(src, dst)`` hold both directions, once each. A level is a join and a grouped sum, written to the
+    shared folder. Exact scores need a row for every connected pair of a source and a
+    node; ``sources(node)``, a sample of the nodes, bounds that: the scores are then
+    sums over those sources only, to be scaled by the caller.
+    """
+    links = cut(links.select("src", "dst"))
+    nodes = links.select(F.col("src").alias("node")).distinct()
+    start = nodes if sources is None else sources.select("node").distinct().join(nodes, "node", "left_semi")
+    level = cut(start.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("ways")))
+    levels = [level]
+    while True:
+        step = levels[-1].join(links, levels[-1]["node"] == links["src"]).groupBy("s", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
+        # neighbours lie on this level, the one before or the next: only the last two can have been seen
+        for old in levels[-2:]:
+            step = step.join(old.select("s", "node"), ["s", "node"], "left_anti")
+        step = cut(step)
+        if step.isEmpty():
+            break
+        levels.append(step)
+    share = levels[-1].select("s", "node", "ways", F.lit(0.0).alias("share"))
+    out = [share]
+    for upper in reversed(levels[:-1]):
+        back = share.select("s", F.col("node").alias("dst"), ((1 + F.col("share")) / F.col("ways")).alias("part")).join(links, "dst")
+        parts = back.groupBy("s", F.col("src").alias("node")).agg(F.sum("part").alias("part"))
+        share = cut(upper.join(parts, ["s", "node"], "left").select("s", "node", "ways", (F.col("ways") * F.coalesce("part", F.lit(0.0))).alias("share")))
+        out.append(share)
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    scores = every.filter("s <> node").groupBy("node").agg((F.sum("share") / 2).alias("betweenness"))
+    return nodes.join(scores, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))

@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is named (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Only a session on one machine (tests) may do without the setting."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder and read back: a lost executor costs a re-read."""
-    path = f"{shared_dir(df.sparkSession)}/graphloom/{uuid.uuid4().hex}"
+    """``df``, written to the shared folder and read back: a lost executor costs a re-read. Deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

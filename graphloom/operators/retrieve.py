@@ -42,7 +42,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
                 own = np.array([r[0] for r in rows], np.int64)
                 m = np.array([r[1] for r in rows], np.float64)
                 if metric == "l2":
-                    s = -np.sqrt(np.maximum(((q[:, None, :] - m[None, :, :]) ** 2).sum(2), 0)) if len(m) * len(q) * m.shape[1] < 1 << 24 else -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * q @ m.T, 0))
+                    # differences, not expanded squares: equal vectors are at distance zero whatever the batch; a few rows at a time
+                    s = np.concatenate([-np.sqrt(((q[lo : lo + 16, None, :] - m[None, :, :]) ** 2).sum(2)) for lo in range(0, len(q), 16)])
                 else:
                     size = q_norm[:, None] * np.linalg.norm(m, axis=1)[None]
                     s = np.divide(q @ m.T, size, out=np.zeros((len(q), len(m))), where=size > 0)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.queries import kg, scores, sparql, streams, text
+from graphloom.queries import kg, metrics, scores, sparql, streams, text
 
-MODULES = [sparql, kg, text, scores, streams]
+MODULES = [sparql, kg, text, scores, metrics, streams]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

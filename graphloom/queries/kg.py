@@ -26,26 +26,26 @@ def query(oracle: str | None = None):
     return register
 
 
-SMALL = ["region", "nation", "customer", "supplier", "part", "orders"]
+EVERY = list(STAR)
 #: Rows (predicate, table, column, extra condition) of the triples made from the tables above, for the oracles.
 _COUNTS = " UNION ALL ".join(
-    f"SELECT '{p}' AS p, count({c[0]}) AS n FROM {t}" for t in SMALL for p, c in STAR[t][2].items()
+    f"SELECT '{p}' AS p, count({c[0]}) AS n FROM {t}" for t in EVERY for p, c in STAR[t][2].items()
 )
 
 
 @query(f"SELECT p, CAST(sum(n) AS BIGINT) AS n FROM ({_COUNTS} UNION ALL SELECT '{T.SUBCLASS}', 5) GROUP BY p")
 def profile_predicates(spark, d):
-    return profile.predicate_counts(star_as_triples(spark, d, SMALL))
+    return profile.predicate_counts(star_as_triples(spark, d, EVERY))
 
 
-@query(" UNION ALL ".join(f"SELECT '{EX}{STAR[t][0]}' AS cls, count(*) AS n FROM {t}" for t in SMALL))
+@query(" UNION ALL ".join(f"SELECT '{EX}{STAR[t][0]}' AS cls, count(DISTINCT ({', '.join(STAR[t][1])},)) AS n FROM {t}" for t in EVERY))
 def profile_classes(spark, d):
-    return profile.class_counts(star_as_triples(spark, d, SMALL))
+    return profile.class_counts(star_as_triples(spark, d, EVERY))
 
 
-@query(" UNION ALL ".join(f"SELECT '{EX}{STAR[t][0]}' AS cls, '{p}' AS p, count({c[0]}) AS n FROM {t}" for t in SMALL for p, c in STAR[t][2].items()))
+@query(" UNION ALL ".join(f"SELECT '{EX}{STAR[t][0]}' AS cls, '{p}' AS p, count({c[0]}) AS n FROM {t}" for t in EVERY for p, c in STAR[t][2].items()))
 def profile_class_predicate(spark, d):
-    return profile.class_predicate_counts(star_as_triples(spark, d, SMALL))
+    return profile.class_predicate_counts(star_as_triples(spark, d, EVERY))
 
 
 def _typed(spark, d):
@@ -127,12 +127,19 @@ def structural_clusters(spark, d):
     return profile.structural_clusters(t)
 
 
+_TRIPLES = " + ".join(f"(SELECT count(*) + {' + '.join(f'count({c[0]})' for c in STAR[t][2].values())} FROM {t})" for t in EVERY)
+_DISTINCT = " + ".join(f"(SELECT count(DISTINCT ({', '.join(STAR[t][1])},)){''.join(f' + count(DISTINCT ({chr(44).join(STAR[t][1])}, {c[0]})) FILTER ({c[0]} IS NOT NULL)' for c in STAR[t][2].values())} FROM {t})" for t in EVERY)
+_IRI = lambda kind, keys: f"'{kind}/' || concat_ws('-', {', '.join(keys)})"
+_LINKED = " UNION ".join(f"SELECT {_IRI(c[1][1:], [c[0]])} AS o FROM {t} WHERE {c[0]} IS NOT NULL" for t in EVERY for c in STAR[t][2].values() if c[1].startswith("@"))
+_NODES = " UNION ".join(f"SELECT {_IRI(t, STAR[t][1])} FROM {t}" for t in EVERY)
+
+
 @query(
-    """SELECT (SELECT count(*) + count(n_name) + count(n_regionkey) FROM nation) AS triples, CAST(0 AS BIGINT) AS untyped_numbers, CAST(0 AS BIGINT) AS with_bnodes,
-       CAST(0 AS BIGINT) AS untyped_nodes, CAST(0 AS BIGINT) AS repeated, (SELECT count(DISTINCT n_regionkey) FROM nation) AS dangling"""
+    f"""SELECT CAST({_TRIPLES} AS BIGINT) AS triples, CAST(0 AS BIGINT) AS untyped_numbers, CAST(0 AS BIGINT) AS with_bnodes,
+       CAST(0 AS BIGINT) AS untyped_nodes, CAST(({_TRIPLES}) - ({_DISTINCT}) AS BIGINT) AS repeated, (SELECT count(*) FROM ({_LINKED} EXCEPT ({_NODES}))) AS dangling"""
 )
 def health_summary(spark, d):
-    return profile.health(star_as_triples(spark, d, ["nation"]).filter(F.col("p") != T.SUBCLASS))
+    return profile.health(star_as_triples(spark, d, EVERY).filter(F.col("p") != T.SUBCLASS))
 
 
 # --- validation ---
@@ -337,10 +344,10 @@ def lpa_communities(spark, d):
 
 
 @query(
-    f"""SELECT * FROM (VALUES ('{EX}Customer', '{EX}inNation', '{EX}Nation'), ('{EX}Supplier', '{EX}inNation', '{EX}Nation'), ('{EX}Nation', '{EX}inRegion', '{EX}Region'), ('{EX}Order', '{EX}placedBy', '{EX}Customer')) t(a, predicate, b)"""
+    f"""SELECT * FROM (VALUES ('{EX}Customer', '{EX}inNation', '{EX}Nation'), ('{EX}Supplier', '{EX}inNation', '{EX}Nation'), ('{EX}Nation', '{EX}inRegion', '{EX}Region'), ('{EX}Order', '{EX}placedBy', '{EX}Customer'), ('{EX}LineItem', '{EX}ofOrder', '{EX}Order'), ('{EX}LineItem', '{EX}item', '{EX}Part'), ('{EX}LineItem', '{EX}suppliedBy', '{EX}Supplier')) t(a, predicate, b)"""
 )
 def schema_outline(spark, d):
-    return graph.schema_outline(star_as_triples(spark, d, SMALL))
+    return graph.schema_outline(star_as_triples(spark, d, EVERY))
 
 
 @query(

@@ -105,9 +105,9 @@ def _scaled(m: str) -> str:
     return f"round(least(100.0, greatest(0.0, 100.0 * (CAST({_BANDS[m]} AS DOUBLE) - {low}) / ({high} - {low}))), 1)"
 
 
-@query("SELECT o_orderkey, round(" + " + ".join(_scaled(m) for m in _BANDS) + ", 1) AS nqi_sum FROM orders WHERE o_orderkey % 7 <> 0")
+@query("SELECT o_orderkey, round(" + " + ".join(_scaled(m) for m in _BANDS) + ", 1) AS nqi_sum FROM orders")
 def nqi_lite(spark, d):
-    rows = table(spark, d, "orders").filter("o_orderkey % 7 <> 0").select("o_orderkey", *(F.expr(f"CAST({e} AS DOUBLE)").alias(m) for m, e in _BANDS.items()))
+    rows = table(spark, d, "orders").select("o_orderkey", *(F.expr(f"CAST({e} AS DOUBLE)").alias(m) for m, e in _BANDS.items()))
     scored = narrative.nqi_lite(rows)
     return scored.select("o_orderkey", F.round(sum((F.col(f"{m}_score") for m in _BANDS), F.lit(0.0)), 1).alias("nqi_sum"))
 

@@ -52,9 +52,9 @@ def token_counts(spark, d):
     return per.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
-@query(r"SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})\b'), '|') AS names FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})\b'), '|') AS names FROM documents")
 def proper_nouns(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", F.array_join(X.proper_nouns(F.col("text")), "|").alias("names"))
 
 
