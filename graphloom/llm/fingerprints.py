@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import BROADCAST_BYTES, cut, partitions, release
 
 #: Random orders of the lexicon, paths of halvings in each, and their product.
-ORDERS, BRANCHES = 2, 8
+ORDERS, BRANCHES = 4, 8
 STREAMS = ORDERS * BRANCHES
 #: Band of document frequency, as shares of all distinct texts.
 MAX_SHARE, MIN_SHARE = 0.02, 0.001
