@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, fingerprints, html, packing, quality, simhash, substring_dedup, suffix_dedup, token_files, urls
+from graphloom.llm import decontaminate, filter_audit, fingerprints, html, packing, quality, simhash, substring_dedup, suffix_dedup, token_files, urls
 from graphloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_urls": op10_urls,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,4 +102,18 @@ keep AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a)
 part AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, CAST(2 * since + 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a) AS head FROM keep JOIN d USING (doc_id) GROUP BY 1)
 SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256 FROM d LEFT JOIN part USING (doc_id)""",
+    "op11_filter_audit": r"""
+WITH f AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^ \x09-\x0D]+'), []) AS w FROM documents),
+d AS (SELECT f.doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * len(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(f.doc_id > min(f.doc_id) OVER (PARTITION BY t), false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM f LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1) USING (doc_id)),
+l AS (SELECT unnest(range(1, 6)) AS x),
+o AS (SELECT row_number() OVER () AS o, [a.x, b.x, c.x, d.x, e.x] AS xs FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, xs, unnest(range(1, 6)) AS k FROM o),
+e AS (SELECT part, o, xs, k, xs[k] AS x, fails, good, toxic, fails[xs[k]] AS failed, len(list_filter(xs[:k - 1], lambda y: fails[y])) > 0 AS gone FROM d, s),
+g AS (SELECT part, o, xs, k, x, count(*) FILTER (NOT gone AND NOT failed) AS kept, count(*) FILTER (NOT gone AND failed) AS removed, count(*) FILTER (gone AND failed) AS redundant,
+    count(*) FILTER (failed AND len(list_filter(fails, lambda y: y)) = 1) AS unique_fails, count(*) FILTER (NOT gone AND failed AND good) AS good_lost, count(*) FILTER (NOT gone AND failed AND toxic) AS toxic_lost
+  FROM e GROUP BY ALL)
+SELECT part, list_aggregate(list_transform(xs, lambda y: substr('ABCDE', y, 1)), 'string_agg', '') AS filter_order, CAST(k AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM g""",
 }
