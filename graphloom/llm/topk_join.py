@@ -80,7 +80,7 @@ def make_pivots(sample: list[list[float]], count: int = PIVOTS) -> np.ndarray:
         x[i, : len(row)] = row
     x = np.unique(x, axis=0)
     centres = x[:: max(1, len(x) // count)][:count].copy()
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS if len(x) else 0):
         near = np.argmin((centres**2).sum(1)[None] - 2 * (x @ centres.T), axis=1)
         for j in np.unique(near):
             centres[j] = x[near == j].mean(0)
