@@ -20,11 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder and read back: a lost executor costs a re-read. Deleted when the driver ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read back: a lost executor costs a re-read. Deleted when the driver ends."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,76 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
+from graphloom.operators.vectors import nearest as nearest
 
-#: Query vectors that one pass over the table compares with; more go in further passes.
-QUERY_BLOCK = 2048
 #: Query terms up to which their table is broadcast.
 TERM_BOUND = 200_000
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): exact nearest neighbours of each query among all vectors, itself left out.
-
-    ``metric`` cosine ranks by descending cosine, l2 by ascending distance; ties by
-    id. Query vectors go out in blocks; each task keeps the best ``k`` per query of
-    what it reads, so what is shuffled is ``k`` rows a query and task.
-    """
-    wanted = queries.select(F.col(id_column).alias("q"), F.col(vector).alias("v")).filter("v is not null").orderBy("q").toLocalIterator()
-    out, block = None, []
-
-    def search(block: list) -> DataFrame:
-        ids = np.array([r.q for r in block], np.int64)
-        matrix = np.array([r.v for r in block], np.float64)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def run(batches):
-            ids, q = shared.value
-            q_norm = np.linalg.norm(q, axis=1)
-            best_s = np.full((len(ids), 0), 0.0)
-            best_i = np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                rows = [(i, v) for i, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist()) if i is not None and v is not None]
-                if not rows:
-                    continue
-                own = np.array([r[0] for r in rows], np.int64)
-                m = np.array([r[1] for r in rows], np.float64)
-                if metric == "l2":
-                    # differences, not expanded squares: equal vectors are at distance zero whatever the batch; a few rows at a time
-                    s = np.concatenate([-np.sqrt(((q[lo : lo + 16, None, :] - m[None, :, :]) ** 2).sum(2)) for lo in range(0, len(q), 16)])
-                else:
-                    size = q_norm[:, None] * np.linalg.norm(m, axis=1)[None]
-                    s = np.divide(q @ m.T, size, out=np.zeros((len(q), len(m))), where=size > 0)
-                s = np.round(s, 12)
-                s[ids[:, None] == own[None]] = -np.inf
-                best_s = np.concatenate([best_s, s], 1)
-                best_i = np.concatenate([best_i, np.broadcast_to(own, s.shape)], 1)
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            keep = np.isfinite(best_s)
-            sign = -1 if metric == "l2" else 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(best_i[keep]), pa.array(sign * best_s[keep])], ["query_id", "id", "score"])
-
-        found = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(run, "query_id long, id long, score double")
-        order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))
-        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-    for r in wanted:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
-    if block or out is None:
-        last = search(block) if block else vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-        out = last if out is None else out.unionByName(last)
-    return out
-
-
 def post_filtered(found: DataFrame, attributes: DataFrame, condition: Column, k: int) -> DataFrame:
     """Of neighbours fetched without the filter, the best ``k`` per query that pass it; order is kept."""
     ok = found.join(attributes, "id").filter(condition)

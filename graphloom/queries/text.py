@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import sequential
 from graphloom.functions import text as X
 from graphloom.functions import web
-from graphloom.operators import evaluate, retrieve
+from graphloom.operators import evaluate, retrieve, vectors
+from graphloom.operators.lineage import scratch
 from graphloom.sources.star import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,6 +222,36 @@ def knn_cosine_topk(spark, d):
     return retrieve.nearest(e, e.filter("vec_id % 100 = 0"), 10).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query(
+    f"""WITH q AS ({_Q}), s AS (SELECT q.q AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.v, CAST(e.embedding AS DOUBLE[])), 9) AS score FROM q JOIN embeddings e ON e.vec_id <> q.q)
+    SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
+)
+def knn_ivf_all_cells(spark, d):
+    e = table(spark, d, "embeddings")
+    index = vectors.build(e, scratch(spark))
+    found = vectors.search(index, e.filter("vec_id % 100 = 0"), 10, index.cells)
+    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(
+    f"""WITH q AS ({_Q}), s AS (SELECT q.q AS query_id, e.vec_id AS id, round(list_inner_product(q.v, CAST(e.embedding AS DOUBLE[])), 9) AS score FROM q JOIN embeddings e ON e.vec_id <> q.q)
+    SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
+)
+def knn_ip_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return vectors.nearest(e, e.filter("vec_id % 100 = 0"), 10, "ip").withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query()
+def knn_ivf_recall(spark, d):
+    """Per query: how many of its 10 exact neighbours the index finds with the probes it was measured to need."""
+    e = table(spark, d, "embeddings")
+    asked = e.filter("vec_id % 100 = 0")
+    index = vectors.build(e, scratch(spark))
+    found = vectors.search(index, asked, 10, vectors.probes_for(index, spark, 10))
+    return vectors.recall_of(found, vectors.nearest(e, asked, 10))
+
+
 @query(
     f"""WITH q AS ({_Q}), s AS (SELECT q.q AS query_id, e.vec_id AS id, e.label, round(list_distance(q.v, CAST(e.embedding AS DOUBLE[])), 9) AS score FROM q JOIN embeddings e ON e.vec_id <> q.q),
     f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM s) WHERE rank <= 50)
