@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import sequential
 from graphloom.functions import text as X
 from graphloom.functions import web
-from graphloom.operators import evaluate, retrieve, vectors
+from graphloom.operators import evaluate, leaders, retrieve, vectors
 from graphloom.operators.lineage import scratch
 from graphloom.sources.star import table
 
@@ -264,6 +264,24 @@ def knn_l2_postfilter(spark, d):
     return out.select("query_id", "id", F.col("place").cast("bigint").alias("place"))
 
 
+_CLOSE = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    p AS (SELECT b.id, a.id AS near, round(list_cosine_similarity(a.v, b.v), 9) AS cosine FROM v a JOIN v b ON a.id < b.id AND round(list_cosine_similarity(a.v, b.v), 9) >= 0.4)"""
+
+
+@query(f"WITH {_CLOSE} SELECT id, near, round(cosine, 6) AS cosine FROM p WHERE near IN (SELECT min(id) FROM v GROUP BY v) AND id IN (SELECT min(id) FROM v GROUP BY v)")
+def similar_pairs(spark, d):
+    return leaders.similar_pairs(table(spark, d, "embeddings"), 0.4).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    f"""WITH RECURSIVE {_CLOSE}, n AS (SELECT id, list(near) AS near FROM p GROUP BY id), r AS (SELECT id, near, row_number() OVER (ORDER BY id) AS r FROM v LEFT JOIN n USING (id)),
+    g AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS led UNION ALL SELECT r.r, CASE WHEN len(list_intersect(r.near, led)) > 0 THEN led ELSE list_append(led, r.id) END FROM g JOIN r ON r.r = g.r + 1)
+    SELECT id, coalesce(list_min(list_intersect(near, (SELECT led FROM g ORDER BY r DESC LIMIT 1))), id) AS leader FROM r"""
+)
+def question_dedupe(spark, d):
+    return leaders.leaders(table(spark, d, "embeddings"), 0.4)
+
+
 _BM25 = f"""d AS (SELECT doc_id, {toks('text')} AS w FROM documents), l AS (SELECT doc_id, greatest(len(w), 1) AS len FROM d), a AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
   tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   q AS (SELECT item_id AS query_id, unnest(list_distinct({toks('text')})) AS term FROM benchmark), i AS (SELECT term, greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1e-9)) AS idf FROM df, a),
