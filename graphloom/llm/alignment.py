@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ from graphloom.llm.common import BATCH_BYTES, chunks, cut, ranges_to_index, smal
 BYTES_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Distinct cuts remembered by one worker, and bytes of those.
 KNOWN, KNOWN_BYTES = 200_000, 16 << 20
+#: Cuts learned at once, and encoded as one text.
+LEARN, TOGETHER = 8192, 512
 #: Before a single space or line feed between visible characters.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Runs of white space, or white space that is neither space nor line feed.
@@ -100,20 +103,24 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.mark = self.b.piece_to_id("▁")
+        self.signs = [f"{i}{c}" for t, signs in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for i in range(len(t)) for c in signs]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         plain = "ByteLevel(add_prefix_space=False" in str(self.a.pre_tokenizer) and "use_regex=True" in str(self.a.pre_tokenizer) and self.a.normalizer is None
         self.by_cut = plain and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         self.links, self.known = links, known
+        self.number = {}
         self.forget()
 
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.held = 0
-        #: Of each known cut: its groups as text, tokens of A and B, groups, links; the links' pairs one after the other.
-        self.told: list[str] = []
-        self.counts = np.zeros((0, 4), np.int64)
-        self.begin = np.zeros(0, np.int64)
-        self.pairs = np.zeros(0, np.int64)
+    def forget(self, kept: int = 0) -> None:
+        """Keep the cuts met first, which are mostly the frequent ones."""
+        self.number: dict[str, int] = dict(zip(islice(self.number, kept), range(kept)))
+        n = len(self.number)
+        self.held = sum(map(len, self.number))
+        #: Of each known cut: its groups as text, each with a semicolon after it; tokens of A and B, groups, links; the links' pairs one after the other.
+        self.told: list[str] = self.told[:n] if n else []
+        self.counts = self.counts[:n].copy() if n else np.zeros((0, 4), np.int64)
+        self.begin = self.begin[:n].copy() if n else np.zeros(0, np.int64)
+        self.pairs = self.pairs[: int(self.begin[-1] + self.counts[-1, 3])].copy() if n else np.zeros(0, np.int64)
 
     def cuts(self, text: str) -> list[str]:
         """The cuts of space + text."""
@@ -124,51 +131,72 @@ class Aligner:
         out = text.replace("\n", " \n").split(" ")
         return [x if x[0] == "\n" else " " + x for x in out]
 
-    def _encode(self, surfaces: list[str]) -> None:
-        """Learn cuts: bytes compared, ends joined into one long line of bytes, aligned at once."""
-        ids_a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(surfaces, add_special_tokens=False)]
+    def _ids_b(self, surfaces: list[str]) -> list[list[int]]:
+        """The mark that B sets before a text stands for a leading space; before a line feed it goes."""
         found = self.b.encode([s[1:] if s[0] == " " else s for s in surfaces], num_threads=1)
-        ids_b = [np.array(i[1:] if s[0] == "\n" and i[:1] == [self.mark] else i, np.int64) for s, i in zip(surfaces, found, strict=True)]
-        fine = np.zeros(len(surfaces), bool)
-        for i, s in enumerate(surfaces):
-            own = s.encode()
-            fine[i] = b"".join([self.bytes_a[t] for t in ids_a[i]]) == own == b"".join([self.bytes_b[t] for t in ids_b[i]])
-        none = np.zeros(0, np.int64)
-        ids_a, ids_b = ([x if ok else none for x, ok in zip(ids, fine.tolist(), strict=True)] for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.concatenate([none, *ids]) for ids in (ids_a, ids_b))
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        of_a, of_b, closes = intervals(np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b]))
+        return [i[1:] if s[0] == "\n" and i[:1] == [self.mark] else i for s, i in zip(surfaces, found, strict=True)]
+
+    def _tokens(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of A, all of B, and which cuts keep their bytes; those that don't have none."""
+        ids_a, ids_b = ([e.ids for e in self.a.encode_batch_fast(surfaces, add_special_tokens=False)], self._ids_b(surfaces))
+        own = [s.encode() for s in surfaces]
+        fine = np.array([b"".join([self.bytes_a[t] for t in x]) == o == b"".join([self.bytes_b[t] for t in y]) for x, y, o in zip(ids_a, ids_b, own, strict=True)], bool)
+        flat = lambda ids: np.fromiter(chain.from_iterable(x for x, ok in zip(ids, fine, strict=True) if ok), np.int64)
+        return flat(ids_a), flat(ids_b), fine
+
+    def _joined(self, surfaces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for cuts that any text could hold one after the other: encoded as one text, so long as that keeps its bytes."""
+        text = "".join(surfaces)
+        ids_a, ids_b = self.a.encode(text, add_special_tokens=False).ids, self._ids_b([text])[0]
+        own = text.encode()
+        if b"".join([self.bytes_a[t] for t in ids_a]) == own == b"".join([self.bytes_b[t] for t in ids_b]):
+            return np.array(ids_a, np.int64), np.array(ids_b, np.int64), np.ones(len(surfaces), bool)
+        return self._tokens(surfaces)
+
+    def _encode(self, surfaces: list[str]) -> None:
+        """Learn cuts: their ends joined into one long line of bytes, aligned at once."""
+        whole = [self.by_cut and len(s) > 1 and not s[1].isspace() and not s[-1].isspace() and "▁" not in s for s in surfaces]
+        plain, other = [s for s, w in zip(surfaces, whole, strict=True) if w], [s for s, w in zip(surfaces, whole, strict=True) if not w]
+        surfaces = plain + other
+        found = [self._joined(plain[lo : lo + TOGETHER]) for lo in range(0, len(plain), TOGETHER)] + ([self._tokens(other)] if other else [])
+        flat_a, flat_b, fine = (np.concatenate(x) for x in zip(*found, strict=True))
+        ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        ends = np.cumsum(np.where(fine, np.fromiter((len(s.encode()) for s in surfaces), np.int64, len(surfaces)), 0))
+        of_a, of_b, closes = intervals(ends_a, ends_b)
         link_a, link_b = linked(of_a, of_b, closes, self.links)
-        pairs = flat_a[link_a] << 32 | flat_b[link_b]
-        word = np.repeat(np.arange(len(surfaces)), n_a)  # of each token of A
-        n_links = np.bincount(word[link_a], minlength=len(surfaces))
-        last_a, last_b = of_a[closes], of_b[closes]
-        n_groups = np.bincount(word[last_a], minlength=len(surfaces))
-        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        groups, at_a, at_b = [], 0, 0
-        for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
-            groups.append(f"{','.join(text_a[at_a:x])}|{','.join(text_b[at_b:y])}")
-            at_a, at_b = x, y
-        ends = np.cumsum(n_groups)
-        self.told += [";".join(groups[hi - n : hi]) for hi, n in zip(ends.tolist(), n_groups.tolist(), strict=True)]
+        word_a, word_b = (np.searchsorted(ends, e) for e in (ends_a, ends_b))  # the first cut that reaches the token's end: never one without bytes
+        n_a, n_b = (np.bincount(w, minlength=len(surfaces)) for w in (word_a, word_b))
+        n_links = np.bincount(word_a[link_a], minlength=len(surfaces))
+        n_groups = np.bincount(word_a[of_a[closes]], minlength=len(surfaces))
+        # tokens in the order of the groups' text: A's of a group, then B's; each with the sign after it
+        last_a, last_b = (np.zeros(len(x), bool) for x in (flat_a, flat_b))
+        last_a[of_a[closes]] = last_b[of_b[closes]] = True
+        group_a, group_b = (np.cumsum(x) - x for x in (last_a, last_b))
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        code = np.concatenate([2 * flat_a + last_a, 2 * len(self.bytes_a) + 2 * flat_b + last_b])[order]
+        text = [self.signs[c] for c in code.tolist()]
+        told_to = np.cumsum(n_a + n_b)
+        self.told += ["".join(text[hi - n : hi]) for hi, n in zip(told_to.tolist(), (n_a + n_b).tolist(), strict=True)]
         counts = np.stack([np.where(fine, n_a, -1), n_b, n_groups, n_links], axis=1)
         self.begin = np.concatenate([self.begin, len(self.pairs) + np.cumsum(n_links) - n_links])
-        self.counts, self.pairs = np.concatenate([self.counts, counts]), np.concatenate([self.pairs, pairs])
+        self.counts, self.pairs = np.concatenate([self.counts, counts]), np.concatenate([self.pairs, flat_a[link_a] << 32 | flat_b[link_b]])
         self.number.update(zip(surfaces, range(len(self.number), len(self.number) + len(surfaces)), strict=True))
         self.held += sum(map(len, surfaces))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Of each text: n_a, n_b, n_groups, n_links; the digest; and (text, pair) of every link, pairs as A's id times 2^32 plus B's."""
-        if len(self.number) > self.known or self.held > KNOWN_BYTES:
+        if len(self.number) > self.known:
+            self.forget(self.known // 2)
+        if self.held > KNOWN_BYTES:
             self.forget()
         parts = [self.cuts(t) if t else [] for t in texts]
-        new = sorted({c for p in parts for c in p if c not in self.number})
-        for lo in range(0, len(new), 4096):
-            self._encode(new[lo : lo + 4096])
+        new = sorted(set(chain.from_iterable(parts)).difference(self.number))
+        for lo in range(0, len(new), LEARN):
+            self._encode(new[lo : lo + LEARN])
         number = self.number
         numbers = [[number[c] for c in p] for p in parts]
         sizes = np.array([len(p) for p in parts], np.int64)
-        at = np.fromiter((n for p in numbers for n in p), np.int64, int(sizes.sum()))
+        at = np.fromiter(chain.from_iterable(numbers), np.int64, int(sizes.sum()))
         of = np.repeat(np.arange(len(texts)), sizes)
         broken = np.unique(of[self.counts[at, 0] < 0]) if len(at) else np.zeros(0, np.int64)
         keep = ~np.isin(of, broken)
@@ -176,7 +204,7 @@ class Aligner:
         totals = np.stack([np.bincount(of, self.counts[at, i], len(texts)) for i in range(4)], axis=1).astype(np.int64) if len(texts) else np.zeros((0, 4), np.int64)
         bad = set(broken.tolist())
         told = self.told
-        digests = ["" if not p or i in bad else hashlib.sha256(";".join([told[n] for n in p]).encode()).hexdigest() for i, p in enumerate(numbers)]
+        digests = ["" if not p or i in bad else hashlib.sha256("".join([told[n] for n in p])[:-1].encode()).hexdigest() for i, p in enumerate(numbers)]
         n = self.counts[at, 3] if len(at) else np.zeros(0, np.int64)
         return totals, digests, np.repeat(of, n), self.pairs[ranges_to_index(self.begin[at], n)]
 
