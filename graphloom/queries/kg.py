@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom import terms as T
-from graphloom.operators import closure, curate, graph, profile, validate
+from graphloom.operators import closure, collections, curate, graph, profile, rules, validate
 from graphloom.sources.star import NAME, STAR, node, star_as_triples, table
 from graphloom.terms import EX, XSD
 
@@ -220,6 +220,79 @@ def unknown_vocabulary(spark, d):
     return validate.unknown_vocabulary(star_as_triples(spark, d, ["orders"]), _schema(spark), [T.RDF, T.RDFS, T.OWL])
 
 
+_RULES = [
+    (EX + "inNation", T.RDFS + "domain", "_:parties"), ("_:parties", T.OWL + "unionOf", "_:l1"), ("_:l1", T.RDF + "first", EX + "Customer"), ("_:l1", T.RDF + "rest", "_:l2"),
+    ("_:l2", T.RDF + "first", EX + "Supplier"), ("_:l2", T.RDF + "rest", T.RDF + "nil"), (EX + "inNation", T.RDFS + "range", EX + "Nation"),
+    (EX + "balance", T.SCHEMA + "domainIncludes", EX + "Client"), (EX + "Client", T.OWL + "equivalentClass", EX + "Customer"), (EX + "balance", T.SCHEMA + "rangeIncludes", XSD + "double"),
+    (EX + "segment", T.SCHEMA + "domainIncludes", EX + "Party"), (EX + "segment", T.SCHEMA + "rangeIncludes", T.SCHEMA + "Text"), (NAME, T.SCHEMA + "rangeIncludes", T.SCHEMA + "URL"),
+    (EX + "status", T.RDFS + "domain", EX + "Order"), (EX + "status", T.RDFS + "range", XSD + "integer"), (EX + "totalPrice", T.SUBPROPERTY, EX + "amount"), (EX + "amount", T.RDFS + "domain", EX + "Invoice"),
+    (EX + "totalPrice", T.RDFS + "range", T.RDFS + "Literal"), (EX + "placedBy", T.RDFS + "domain", EX + "Order"), (EX + "placedBy", T.SCHEMA + "rangeIncludes", EX + "Supplier"), (EX + "placedBy", T.RDFS + "range", EX + "Nation"),
+    (EX + "Customer", T.SUBCLASS, EX + "Party"), (EX + "Supplier", T.SUBCLASS, EX + "Party"),
+]
+
+
+def _rules(spark):
+    df = spark.createDataFrame(_RULES, "a string, b string, c string")
+    kind = lambda c: F.when(F.col(c).startswith("_:"), F.lit("bnode")).otherwise(F.lit("iri"))
+    bare = lambda c: F.regexp_replace(c, "^_:", "")
+    return df.select(bare("a").alias("s"), F.col("b").alias("p"), bare("c").alias("o"), kind("a").alias("s_kind"), kind("c").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+
+
+_ISSUES = f"""SELECT 'error' AS severity, 'domain_mismatch' AS code, '{EX}balance' AS property, '{EX}supplier/' || s_suppkey AS subject, CAST(s_acctbal AS VARCHAR) AS object, '{EX}Supplier' AS subject_types, '' AS object_types, '' AS object_datatype, '{EX}Client' AS expected FROM supplier WHERE s_acctbal IS NOT NULL
+    UNION ALL SELECT 'warn', 'object_untyped', '{EX}inNation', '{EX}supplier/' || s_suppkey, '{EX}nation/' || s_nationkey, '', '', '', '{EX}Nation' FROM supplier WHERE s_nationkey IS NOT NULL
+    UNION ALL SELECT 'warn', 'object_untyped', '{EX}inNation', '{EX}customer/' || c_custkey, '{EX}nation/' || c_nationkey, '', '', '', '{EX}Nation' FROM customer WHERE c_nationkey IS NOT NULL
+    UNION ALL SELECT 'info', 'domain_unknown', '{NAME}', '{EX}supplier/' || s_suppkey, s_name, '', '', '', '' FROM supplier WHERE s_name IS NOT NULL
+    UNION ALL SELECT 'info', 'domain_unknown', '{NAME}', '{EX}customer/' || c_custkey, c_name, '', '', '', '' FROM customer WHERE c_name IS NOT NULL
+    UNION ALL SELECT 'error', 'range_mismatch_literal', '{NAME}', '{EX}supplier/' || s_suppkey, s_name, '', '', '{XSD}string', 'http://schema.org/URL' FROM supplier WHERE s_name IS NOT NULL
+    UNION ALL SELECT 'error', 'range_mismatch_literal', '{NAME}', '{EX}customer/' || c_custkey, c_name, '', '', '{XSD}string', 'http://schema.org/URL' FROM customer WHERE c_name IS NOT NULL
+    UNION ALL SELECT 'error', 'range_mismatch_literal', '{EX}status', '{EX}orders/' || o_orderkey, o_orderstatus, '', '', '{XSD}string', '{XSD}integer' FROM orders WHERE o_orderstatus IS NOT NULL
+    UNION ALL SELECT 'error', 'domain_mismatch', '{EX}totalPrice', '{EX}orders/' || o_orderkey, CAST(o_totalprice AS VARCHAR), '{EX}Order', '', '', '{EX}Invoice' FROM orders WHERE o_totalprice IS NOT NULL
+    UNION ALL SELECT 'error', 'range_mismatch_iri', '{EX}placedBy', '{EX}orders/' || o_orderkey, '{EX}customer/' || o_custkey, '', '{EX}Customer', '', '{EX}Nation|{EX}Supplier' FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'warn', 'object_untyped', '{EX}placedBy', '{EX}orders/' || o_orderkey, '{EX}customer/' || o_custkey, '', '', '', '{EX}Nation|{EX}Supplier' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'info', c, '{EX}priority', '{EX}orders/' || o_orderkey, o_orderpriority, '', '', '', '' FROM orders, (VALUES ('domain_unknown'), ('range_unknown')) t(c) WHERE o_orderpriority IS NOT NULL
+    UNION ALL SELECT 'info', c, '{EX}orderDate', '{EX}orders/' || o_orderkey, strftime(o_orderdate, '%Y-%m-%d'), '', '', '', '' FROM orders, (VALUES ('domain_unknown'), ('range_unknown')) t(c) WHERE o_orderdate IS NOT NULL"""
+
+
+def _judged(spark, d):
+    return rules.check(star_as_triples(spark, d, ["customer", "supplier", "orders"]), _rules(spark))
+
+
+@query(_ISSUES)
+def schema_rules(spark, d):
+    return _judged(spark, d)
+
+
+@query(f"SELECT property, code, count(*) AS \"count\" FROM ({_ISSUES}) GROUP BY ALL")
+def checklist_overview(spark, d):
+    return rules.checklists(_judged(spark, d))["overview"]
+
+
+@query(f"SELECT property, split_part(code, '_', 1) AS missing, count(*) AS triples FROM ({_ISSUES}) WHERE code LIKE '%unknown' GROUP BY ALL")
+def checklist_missing_schema(spark, d):
+    return rules.checklists(_judged(spark, d))["missing_schema"]
+
+
+@query(f"SELECT code, property, 'object' AS who, object AS node, expected FROM ({_ISSUES}) WHERE code = 'object_untyped'")
+def checklist_untyped_nodes(spark, d):
+    return rules.checklists(_judged(spark, d))["untyped_nodes"]
+
+
+def _order_lists(spark, d):
+    """Every customer's orders as a collection: (triples, heads)."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    cell = F.concat(F.lit(EX + "cell/"), F.col("o_orderkey").cast("string"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", cell.alias("cell"), F.lead(cell).over(w).alias("next"), F.row_number().over(w).alias("r"))
+    triples = T.statement(orders, F.col("cell"), collections.FIRST, node("orders", "o_orderkey")).unionByName(T.statement(orders, F.col("cell"), collections.REST, F.coalesce("next", F.lit(collections.NIL))))
+    return triples, orders.filter("r = 1").select(F.col("cell").alias("head"))
+
+
+@query(
+    f"""SELECT '{EX}cell/' || min(o_orderkey) OVER (PARTITION BY o_custkey) AS head, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, '{EX}orders/' || o_orderkey AS item FROM orders"""
+)
+def list_members(spark, d):
+    return collections.members(*_order_lists(spark, d)).select("head", "pos", "item")
+
+
 # --- curation ---
 
 
