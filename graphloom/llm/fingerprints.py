@@ -16,10 +16,11 @@ is hashed over all of a document's distinct in-band terms in it, sorted. Large
 sub-lexicons tell texts of few terms apart, small ones survive edits of texts of
 many.
 
-Likeness: of U terms in either text and D in only one, about STREAMS * log2(U)
-sub-lexicons hold any and STREAMS * log2(D) differ. So ``1 - 2 ** (-E / STREAMS)``,
-with E the number of equal hashes, estimates the share of terms in common; equal
-fingerprints have 1.
+Likeness: each stream is one observation, its smallest sub-lexicon that holds a
+term of either text. The more terms they share, the likelier it is the same in
+both; the share of such streams estimates the share of terms in common, and no
+single common term counts in more than one stream of an order. Equal fingerprints
+have 1.
 
 In-band terms say little of a text that has hardly any among its terms (under
 ``FEW_SHARE``). Such a text is fingerprinted over all its terms, and two texts of
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import BROADCAST_BYTES, cut, partitions, release
 
 #: Random orders of the lexicon, paths of halvings in each, and their product.
-ORDERS, BRANCHES = 4, 8
+ORDERS, BRANCHES = 6, 8
 STREAMS = ORDERS * BRANCHES
 #: Band of document frequency, as shares of all distinct texts.
 MAX_SHARE, MIN_SHARE = 0.02, 0.001
@@ -174,10 +175,17 @@ def likeness(x: str, x_text: str, y: str, y_text: str) -> Column:
 
 
 def equal_share(p: Column, q: Column) -> Column:
-    """From 0 to 1: the estimated share of terms in common, of two arrays of hashes."""
-    counts = F.zip_with(p, q, lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda i, j: i == j), lambda e: e)))
-    equal = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
-    return F.when(p == q, F.lit(1.0)).otherwise(1 - F.pow(F.lit(2.0), -equal / STREAMS)).cast("double")
+    """From 0 to 1: the estimated share of terms in common, of two arrays of hashes.
+
+    A stream's smallest sub-lexicon that holds a term of either text holds n of
+    their terms with probability 1 / (n 2**n ln 2). At a share s in common it is
+    the same in both texts with probability -log2(1 - s / 2), whose inverse is
+    applied to the share of such streams among those that hold any term.
+    """
+    told = F.zip_with(p, q, lambda a, b: F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(None)).otherwise((F.size(a) == F.size(b)) & (F.element_at(a, F.lit(-1)) == F.element_at(b, F.lit(-1)))))
+    count = lambda keep: F.size(F.filter(told, keep))
+    share = count(lambda x: x) / F.greatest(F.lit(1), count(lambda x: x.isNotNull()))
+    return F.when(p == q, F.lit(1.0)).otherwise(2 * (1 - F.pow(F.lit(2.0), -share))).cast("double")
 
 
 def as_text(name: str) -> Column:

@@ -154,3 +154,25 @@ def test_rows_without_an_id(spark, monkeypatch):
     tie = {r.text: r.h for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) h").collect()}
     order = [t for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]), reverse=True)]
     assert sorted(r.edited_sha256 for r in got) == sorted(hashes(t, order[(k + 1) % len(order)]) for k, t in enumerate(order))
+
+
+def test_bias_and_spread_at_true_shares(spark):
+    rng = random.Random(12)
+    rows = []
+    for share in (0.0, 0.1, 0.5, 0.9):
+        for k in range(60):
+            n = rng.choice([80, 300, 900])
+            same = [f"s{share}x{k}x{i}" for i in range(int(n * share))]
+            rest = (n - len(same)) // 2
+            rows.append((share, " ".join(same + [f"a{share}x{k}x{i}" for i in range(rest)]), " ".join(same + [f"b{share}x{k}x{i}" for i in range(rest)])))
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "share double, a string, b string").repartition(8)
+    for c in "ab":
+        df = df.withColumn(f"{c}_hashes", F8.prints(F8.terms(F.col(c))))
+    got = df.select("share", F8.equal_share(F.col("a_hashes"), F.col("b_hashes")).alias("x")).collect()
+    for share, most in ((0.0, 0.1), (0.1, 0.35), (0.5, 0.85), (0.9, 1.0)):
+        x = [r.x for r in got if r.share == share]
+        mean = sum(x) / len(x)
+        spread = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
+        assert len(x) == 60 and abs(mean - share) < 0.04 and spread < 0.12 and max(x) <= most
