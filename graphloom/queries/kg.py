@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom import terms as T
-from graphloom.operators import closure, collections, curate, graph, profile, rules, validate
+from graphloom.operators import closure, collections, context, curate, graph, profile, rules, validate
 from graphloom.sources.star import NAME, STAR, node, star_as_triples, table
 from graphloom.terms import EX, XSD
 
@@ -449,3 +449,44 @@ def timeline_years(spark, d):
 @query()
 def betweenness_small(spark, d):
     return graph.betweenness(graph.edges_of(star_as_triples(spark, d, ["nation", "supplier"], {EX + "inNation", EX + "inRegion"})))
+
+
+# --- context of many sections ---
+
+
+def _by_nation(spark, d):
+    """Edges of nations, their people and orders; each nation is a section of itself and its region."""
+    t = star_as_triples(spark, d, ["nation", "customer", "supplier", "orders"]).filter(F.col("p") != T.SUBCLASS)
+    nations = table(spark, d, "nation").select(node("nation", "n_nationkey").alias("section"), F.explode(F.array(node("nation", "n_nationkey"), node("region", "n_regionkey"))).alias("node"))
+    return t, graph.edges_of(t), nations
+
+
+@query(
+    f"""WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), v AS (SELECT c_nationkey AS n, '{EX}customer/' || c_custkey AS node, 1 + 0.1 * (1 + coalesce(o.n, 0)) AS score FROM customer LEFT JOIN o ON o_custkey = c_custkey
+      UNION ALL SELECT s_nationkey, '{EX}supplier/' || s_suppkey, 1.1 FROM supplier UNION ALL SELECT a.n_nationkey, '{EX}nation/' || b.n_nationkey, 1 + 0.1 * (1 + (SELECT count(*) FROM customer WHERE c_nationkey = b.n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = b.n_nationkey))
+      FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey),
+    r AS (SELECT '{EX}nation/' || n AS section, node, round(score, 6) AS score, row_number() OVER (PARTITION BY n ORDER BY round(score, 9) DESC, node) AS rank FROM v)
+    SELECT * FROM r WHERE rank <= 5"""
+)
+def section_frontiers(spark, d):
+    _, edges, sections = _by_nation(spark, d)
+    return context.frontiers(edges, sections, 5).select("section", "node", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    f"""WITH v AS (SELECT s_nationkey AS n, s_name AS subject, 'inNation' AS predicate, n_name AS object FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT n_nationkey, n_name, 'inRegion', r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+    r AS (SELECT '{EX}nation/' || n AS section, row_number() OVER (PARTITION BY n ORDER BY subject, predicate, object) AS place, subject, predicate, object FROM v)
+    SELECT * FROM r WHERE place <= 4"""
+)
+def section_triples(spark, d):
+    t = star_as_triples(spark, d, ["region", "nation", "supplier"]).filter(F.col("p") != T.SUBCLASS)
+    own = table(spark, d, "supplier").select(node("nation", "s_nationkey").alias("section"), node("supplier", "s_suppkey").alias("node"))
+    sections = own.unionByName(_by_nation(spark, d)[2])
+    return context.section_triples(graph.edges_of(t), graph.labels_of(t), sections, 4).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query()
+def section_growth(spark, d):
+    """Every nation grown by up to 60 nodes, each claimed by one; the tests hold it against a plain loop."""
+    _, edges, sections = _by_nation(spark, d)
+    return context.grow(edges, sections, 60, 20)
