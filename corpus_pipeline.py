@@ -4,6 +4,13 @@
 returns the rows it keeps. ``run`` applies them in order, each stage's rows
 written to the shared folder and read back, so a lost executor never reaches
 further back than one stage.
+
+Defined results: null texts are empty ones; empty and wordless texts are alike, so
+one of them at most stays after near-dedup. Rows without an id sort after all
+others and are never taken for labelled rows. Of rows that repeat, the first
+stays. Columns beyond those of documents are kept by all stages but the last,
+whatever their names. Without labels of both kinds the first stage keeps all
+rows; without test items the fourth does. Empty documents give no rows.
 """
 
 from __future__ import annotations

@@ -109,6 +109,12 @@ def attach(docs: DataFrame, side: DataFrame, keys: list[str], how: str, side_byt
     return docs.join(side.hint("merge"), keys, how)
 
 
+def whole_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """Those columns, as doc_id and text, and ``row``, a struct of all: no name of ``docs`` can clash with one that an operator adds."""
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return docs.select(*(named(c).alias(n) for c, n in zip(columns, ("doc_id", "text"))), F.struct(*map(named, docs.columns)).alias("row"))
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` for mapInArrow, after which the worker gives unused memory back.
 

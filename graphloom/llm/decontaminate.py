@@ -18,8 +18,9 @@ widest of them is the run that is hit. All chains through a posting lie in that
 the result depends neither on the term it began with nor on the shards.
 
 Defined results: null or wordless texts have no words and no hits; null or
-wordless items match nothing; items that share an id count as one item; items
-without an id are left out. Repeated document rows each get their own row.
+wordless items match nothing; items that share an id count as one item, and so do
+all items without an id, which add nothing to the list of ids. Repeated item rows
+are one. Repeated document rows each get their own row.
 Documents may carry any other columns; they are not read.
 """
 
@@ -45,7 +46,9 @@ WINDOW = 10
 SHARD_BYTES = 8 << 20
 #: Candidates that one step of a search holds.
 STEP = 1 << 20
-#: Test text, in bytes, that one block of windows may hold.
+#: Windows that one step of a search writes out.
+SOME = 1 << 16
+#: Test text, in bytes, that one block of windows may hold: at most half as many windows.
 BLOCK_BYTES = 8 << 20
 
 INDEX_SCHEMA = "shard binary, doc_ids array<bigint>, dks array<bigint>, starts binary, terms binary, counts binary, postings binary"
@@ -58,29 +61,82 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
 
+class Vocabulary:
+    """Distinct words, numbered from 0, as one Arrow array."""
+
+    def __init__(self, terms: pa.Array):
+        self.terms = terms
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def numbers(self, found: list[bytes] | pa.Array) -> np.ndarray:
+        """The number of each word; -1 where it has none."""
+        if not len(found):
+            return np.zeros(0, np.int64)
+        found = pa.array(found, pa.large_binary()) if isinstance(found, list) else found
+        return pc.index_in(found, value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 @dataclass
 class Windows:
-    """Distinct test windows: term numbers (-1 pads), lengths, and the items of each."""
+    """Test windows, as places in one stream of term numbers.
 
-    vocabulary: dict[bytes, int]
-    terms: np.ndarray
+    ``stream`` holds the terms of all distinct texts; a window is ``lengths`` terms
+    from ``begins`` on; ``owner`` is its text, and a text's items are
+    ``names[bounds[t]:bounds[t + 1]]`` (null: items without an id). About 13 bytes a window.
+    """
+
+    vocabulary: Vocabulary
+    stream: np.ndarray
+    begins: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
+    owner: np.ndarray
+    bounds: np.ndarray
+    names: pa.Array
+
+    def terms_of(self, which: np.ndarray) -> np.ndarray:
+        """The term numbers of those windows; -1 pads."""
+        step = np.arange(WINDOW if not len(self.lengths) else int(self.lengths.max()))
+        at = self.begins[which][:, None] + step[None]
+        return np.where(step[None] < self.lengths[which][:, None], self.stream[np.minimum(at, max(len(self.stream) - 1, 0))].astype(np.int64), -1)
+
+    def items_of(self, which: np.ndarray) -> list[str | None]:
+        """The items of those windows, each once and sorted; items without an id are one, the last."""
+        found = {x for t in np.unique(self.owner[which]).tolist() for x in self.names[int(self.bounds[t]) : int(self.bounds[t + 1])].to_pylist()}
+        return sorted(found, key=lambda x: (x is None, x or ""))
 
 
 def compile_windows(items: Iterable[tuple[object, bytes]], window: int = WINDOW) -> Windows:
-    vocabulary: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[str]] = {}
-    for item_id, text in items:
-        if item_id is None:
-            continue
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
-        for i in range(max(1, len(ids) - window + 1) if ids else 0):
-            found.setdefault(tuple(ids[i : i + window]), set()).add(str(item_id))
-    terms = np.full((len(found), window), -1, np.int64)
-    for i, w in enumerate(found):
-        terms[i, : len(w)] = w
-    return Windows(vocabulary, terms, (terms >= 0).sum(1), [sorted(x) for x in found.values()])
+    """Windows of the distinct texts; repeated rows count once."""
+    given = list(items)
+    ids = pa.array([None if i is None else str(i) for i, _ in given], pa.string())
+    return compiled(ids, pa.array([t for _, t in given], pa.large_binary()), window)
+
+
+def compiled(ids: pa.Array, data: pa.Array, window: int = WINDOW) -> Windows:
+    """The same of Arrow columns: nothing is held as Python objects but one text at a time."""
+    coded = data.dictionary_encode()
+    texts_, text_of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    order = pa.table({"t": pa.array(text_of), "i": ids}).group_by(["t", "i"]).aggregate([]).sort_by([("t", "ascending"), ("i", "ascending")])
+    bounds = np.searchsorted(order.column("t").to_numpy(), np.arange(len(texts_) + 1))
+    clean = [x.as_py().translate(WORD_TABLE) for x in texts_]
+    split = pc.ascii_split_whitespace(pa.array([x.decode("utf-8", "replace") for x in clean], pa.large_string())) if clean else pa.array([], pa.list_(pa.large_string()))
+    del clean
+    flat, inner = split.flatten().cast(pa.large_binary()), np.asarray(split.offsets).astype(np.int64) if len(split) else np.zeros(1, np.int64)
+    word = pc.not_equal(flat, b"") if len(flat) else pa.array([], pa.bool_())
+    before = np.append(0, np.cumsum(word.to_numpy(zero_copy_only=False))).astype(np.int64)
+    terms = flat.filter(word).dictionary_encode()
+    del flat, split
+    ends = before[inner]
+    n_words = np.diff(ends)
+    n_windows = np.where(n_words > 0, np.maximum(n_words - window + 1, 1), 0)
+    owner = np.repeat(np.arange(len(n_words), dtype=np.int32), n_windows)
+    begins = ranges_to_index(ends[:-1], n_windows).astype(np.int32)
+    lengths = np.minimum(n_words, window)[owner].astype(np.uint8 if window < 256 else np.int32)
+    stream = np.asarray(terms.indices).astype(np.int32)
+    names = order.column("i").combine_chunks()
+    return Windows(Vocabulary(terms.dictionary), stream, begins, lengths, owner, bounds, names)
 
 
 @dataclass
@@ -93,10 +149,10 @@ class Shard:
     span: int
 
 
-def index_shard(docs: list[bytes], vocabulary: dict[bytes, int]) -> Shard:
-    get, parts, starts = vocabulary.get, [], [0]
+def index_shard(docs: list[bytes], vocabulary: Vocabulary) -> Shard:
+    parts, starts = [], [0]
     for text in docs:
-        parts.append(np.fromiter((get(w, -1) for w in words(text)), np.int64))
+        parts.append(vocabulary.numbers(words(text)))
         starts.append(starts[-1] + len(parts[-1]))
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     at = np.flatnonzero(ids >= 0)
@@ -106,19 +162,43 @@ def index_shard(docs: list[bytes], vocabulary: dict[bytes, int]) -> Shard:
     return Shard(np.array(starts), np.bincount(ids[at], minlength=len(vocabulary)), keys, span)
 
 
+@dataclass
+class _Some:
+    """A few windows with their terms written out."""
+
+    terms: np.ndarray
+    lengths: np.ndarray
+
+
 def search(shard: Shard, windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window numbers, first positions, ends) of all matches inside single documents."""
     empty = np.zeros(0, np.int64)
     if not len(windows.lengths) or not len(shard.keys):
         return empty, empty, empty
+    present = np.append(shard.counts, 0) > 0
+    found: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(windows.lengths), SOME):
+        which = np.arange(lo, min(lo + SOME, len(windows.lengths)))
+        terms = windows.terms_of(which)
+        live = (present[terms] | (terms < 0)).all(axis=1)  # number -1 is the last: not present, but padding
+        if live.any():
+            some = _Some(terms[live], windows.lengths[which[live]].astype(np.int64))
+            got = _search(shard, some, slop)
+            found += [(which[live][w], start, ends) for w, start, ends in got]
+    if not found:
+        return empty, empty, empty
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _search(shard: Shard, windows: _Some, slop: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Matches of windows whose terms all occur in the shard, from the rarest term of each on."""
     n = len(shard.counts)
     count = np.where(windows.terms >= 0, np.append(shard.counts, 0)[np.where(windows.terms >= 0, windows.terms, n)], 1 << 60)
     order = np.argsort(count, axis=1, kind="stable")
-    live = np.flatnonzero(count.min(1) > 0)
+    live = np.arange(len(count))
     first = windows.terms[live, order[live, 0]]
     begin = np.concatenate([[0], np.cumsum(shard.counts)])[first]
     size = shard.counts[first]
-    found: list[tuple[np.ndarray, ...]] = []
     total, bounds = np.cumsum(size), [0]
     while bounds[-1] < len(live):
         done = total[bounds[-1] - 1] if bounds[-1] else 0
@@ -135,13 +215,10 @@ def search(shard: Shard, windows: Windows, slop: int = 0) -> tuple[np.ndarray, n
                 ends = start + windows.lengths[which]
             doc = np.searchsorted(shard.starts, start, "right") - 1
             ok = (start >= 0) & (ends <= shard.starts[np.minimum(doc + 1, len(shard.starts) - 1)])
-            found.append((which[ok], start[ok], ends[ok]))
-    if not found:
-        return empty, empty, empty
-    return tuple(np.concatenate(x) for x in zip(*found))
+            yield which[ok], start[ok], ends[ok]
 
 
-def _phrases(shard: Shard, windows: Windows, which: np.ndarray, start: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _phrases(shard: Shard, windows: _Some, which: np.ndarray, start: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The candidates (window, start) of which every term stands in its place, the rarest checked first."""
     for k in range(1, windows.terms.shape[1]):
         if not len(which):
@@ -155,7 +232,7 @@ def _phrases(shard: Shard, windows: Windows, which: np.ndarray, start: np.ndarra
     return which, start
 
 
-def _chains(shard: Shard, windows: Windows, which: np.ndarray, at: np.ndarray, offset: np.ndarray, slop: int) -> tuple[np.ndarray, ...]:
+def _chains(shard: Shard, windows: _Some, which: np.ndarray, at: np.ndarray, offset: np.ndarray, slop: int) -> tuple[np.ndarray, ...]:
     """(window, first position, end) of the widest chain through each anchor that has one; chains stay in the anchor's document."""
     doc = np.searchsorted(shard.starts, at, "right") - 1
     floor, top = shard.starts[doc], shard.starts[doc + 1]
@@ -206,7 +283,7 @@ def hits_of(shard: Shard, windows: Windows, slop: int = 0) -> Iterator[tuple[np.
         e = np.maximum.accumulate(ends[a:b] - shard.starts[d])
         new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
         runs = np.stack([s[new], np.append(e[new[1:] - 1], e[-1])], 1)
-        yield runs, sorted({x for w in np.unique(which[a:b]).tolist() for x in windows.items[w]})
+        yield runs, windows.items_of(which[a:b])
 
 
 def shards_of(batches: Iterable[pa.RecordBatch], text: str, limit: int = SHARD_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -223,17 +300,19 @@ def shards_of(batches: Iterable[pa.RecordBatch], text: str, limit: int = SHARD_B
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int | None = None) -> Iterator[DataFrame]:
-    """The test set in blocks of about ``limit`` bytes, dealt by a hash of item id and text."""
+    """The test set in blocks of about ``limit`` bytes, dealt by a hash of item id and text; repeated rows are one."""
     limit = limit or BLOCK_BYTES
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text"))
+    items = cut(items.filter("text is not null").dropDuplicates(["item_id", "text"]), "items", few(benchmark.sparkSession))
+    total = items.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     n = 1 + int(total) // limit
     for k in range(n):
         yield items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
 
 
 def windows_of(block: DataFrame, window: int = WINDOW) -> Windows:
-    return compile_windows(((r[0], (r[1] or "").encode()) for r in block.collect()), window)
+    table = block.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).toArrow().combine_chunks()
+    return compiled(*(table.column(c).combine_chunks().cast(t) for c, t in (("item_id", pa.string()), ("text", pa.large_binary()))), window)
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,7 +373,7 @@ def _unpressed(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], n, "zstd", asbytes=True) if n else b""
 
 
-def read_shard(row: dict, vocabulary: dict[bytes, int]) -> Shard:
+def read_shard(row: dict, vocabulary: Vocabulary) -> Shard:
     """The stored shard, restricted and renumbered to ``vocabulary``."""
     starts = np.frombuffer(row["starts"], "<i8").astype(np.int64)
     counts = np.frombuffer(_unpressed(row["counts"]), "<i4").astype(np.int64)
@@ -304,7 +383,7 @@ def read_shard(row: dict, vocabulary: dict[bytes, int]) -> Shard:
     run = np.cumsum(steps)
     at = run - np.repeat(run[begin] - steps[begin], counts) if len(counts) else run
     words = _unpressed(row["terms"]).split(b"\n") if len(counts) else []
-    term = np.repeat(np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words)), counts)
+    term = np.repeat(vocabulary.numbers(words), counts)
     ok = term >= 0
     span = int(starts[-1]) + 2 * WINDOW + 1
     keys = np.sort(term[ok] * span + at[ok])
@@ -378,7 +457,7 @@ def _summed(batches):
         for blob in b.column("runs").to_pylist():
             runs = merge_runs([np.frombuffer(blob, "<i8").reshape(-1, 2)])
             n_hit.append(int((runs[:, 1] - runs[:, 0]).sum()))
-        items = [sorted(x) for x in b.column("items").to_pylist()]
+        items = [sorted(x, key=lambda i: (i is None, i or "")) for x in b.column("items").to_pylist()]
         columns = [*(b.column(c) for c in ("doc_id", "dk", "n_words")), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "dk", "n_words", "n_hit", "items"])
 

@@ -26,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from graphloom.llm.common import mix, small_batches, texts, tidy
+from graphloom.llm.common import mix, small_batches, texts, tidy, whole_rows
 
 #: Labelled rows that training reads at most.
 MAX_TRAIN_ROWS = 8_000
@@ -156,12 +157,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that the classifier accepts, all columns kept."""
-    score = scorer(docs, fit(docs, labels, text=text))
+    """The rows that the classifier accepts, all columns kept, whatever their names.
+
+    Without labels of both kinds there is nothing to learn from: all rows are kept.
+    """
+    model = fit(docs, labels, text=text)
+    if not model[1].any():
+        return docs
+    score = scorer(docs, model)
+    rows = whole_rows(docs, "doc_id", text).select("text", "row")
 
     def run(batches):
         hasher = Hasher()
         for b in batches:
-            yield b.filter(pa.array(score(texts(b.column(text)), hasher) >= threshold))
+            yield pa.RecordBatch.from_arrays([b.column("row")], ["row"]).filter(pa.array(score(texts(b.column("text")), hasher) >= threshold))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return rows.mapInArrow(tidy(run), StructType([StructField("row", docs.schema)])).select("row.*")

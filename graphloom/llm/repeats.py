@@ -339,7 +339,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _gather(found: DataFrame) -> tuple[DataFrame, int]:
     size = found.agg(F.sum(F.octet_length("blob") + 48)).first()[0] or 0
-    return found.groupBy(F.col("id").alias("__id"), F.col("dk").alias("__dk")).agg(F.collect_list("blob").alias("__blobs")), size
+    return found.groupBy(F.col("id").alias("__id"), F.col("dk").alias("__dk")).agg(F.collect_set("blob").alias("__blobs")), size
 
 
 def _refine_by_hash(asked: DataFrame, docs: DataFrame, text: str, spec: Spec, buckets: int) -> DataFrame:

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from graphloom.llm.common import NO_ID, mix, ranges_to_index, texts, tidy
+from graphloom.llm.common import NO_ID, mix, ranges_to_index, texts, tidy, whole_rows
 from graphloom.llm.repeats import Spec, covered, keyed, merged, with_repeats
 from graphloom.llm.suffix_array import suffix_array
 
@@ -100,14 +101,17 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
 
     What a cut leaves of a multi-byte character is dropped with it. ``n_chars``,
     where there is such a column, is brought up to date in the rows that change.
+    All columns are kept, whatever their names: a row travels as one struct.
     """
-    rows = with_repeats(keyed(docs, doc_id, text), text, spec(window))
-    names, schema = docs.columns, docs.schema
+    names = docs.columns
+    rows = whole_rows(docs, doc_id, text)
+    rows = with_repeats(keyed(rows, "doc_id", "text"), "text", spec(window)).select("row", "__blobs")
 
     def run(batches):
         for b in batches:
-            data, keep = b.column(text).to_pylist(), []
-            sizes = b.column(n_chars).to_pylist() if n_chars in names else None
+            columns = dict(zip(names, b.column("row").flatten()))
+            data, keep = columns[text].to_pylist(), []
+            sizes = columns[n_chars].to_pylist() if n_chars in names else None
             for k, blobs in enumerate(b.column("__blobs").to_pylist()):
                 keep.append(True)
                 if blobs:
@@ -116,7 +120,11 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
                     keep[-1] = bool(data[k].strip())
                     if sizes:
                         sizes[k] = len(data[k])
-            columns = [pa.array(data, b.column(c).type) if c == text else pa.array(sizes, b.column(c).type) if c == n_chars else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
-
-    return rows.select(*(F.col(c) for c in names), "__blobs").mapInArrow(tidy(run), schema)
+            columns[text] = pa.array(data, columns[text].type)
+            if sizes:
+                columns[n_chars] = pa.array(sizes, columns[n_chars].type)
+            fields = [pa.field(f.name, columns[f.name].type) for f in b.column("row").type]
+            row = pa.StructArray.from_arrays([columns[c] for c in names], fields=fields)
+            yield pa.RecordBatch.from_arrays([row], ["row"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(tidy(run), StructType([StructField("row", docs.schema)])).select("row.*")

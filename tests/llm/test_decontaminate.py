@@ -16,8 +16,7 @@ def brute(docs, items):
     for i, t in items:
         w = toks(t)
         for k in range(max(1, len(w) - 9) if w else 0):
-            if i is not None:
-                windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(None if i is None else str(i))
     out = []
     for d, t in docs:
         w, hit, found = toks(t), set(), set()
@@ -26,7 +25,7 @@ def brute(docs, items):
                 if tuple(w[k : k + len(win)]) == win:
                     hit.update(range(k, k + len(win)))
                     found |= ids
-        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), bool(hit)))
     return out
 
 
@@ -46,7 +45,7 @@ def test_matches_brute_force(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(map(str, brute(docs, items)))
     assert sorted(str(tuple(r)) for r in D.contamination(frame, bench).collect()) == want
-    monkeypatch.setattr(D, "blocks", lambda b, i, t: [b.filter("pmod(item_id, 2) = 0"), b.filter("pmod(item_id, 2) = 1")])
+    monkeypatch.setattr(D, "blocks", lambda b, i, t: [b.filter("pmod(coalesce(item_id, 0), 2) = 0"), b.filter("pmod(item_id, 2) = 1")])
     assert sorted(str(tuple(r)) for r in D.contamination(frame, bench).collect()) == want
     kept = D.drop_contaminated(frame, bench)
     assert kept.columns == frame.columns
@@ -123,3 +122,39 @@ def test_proximity_does_not_depend_on_shards(spark, monkeypatch):
         for shards in (1, 3, 50):
             got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(shards), bench, slop=slop).collect()
             assert {r.doc_id: (r.n_hit, r.n_items) for r in got} == want
+
+
+def test_items_without_an_id_are_found(spark):
+    bench = spark.createDataFrame([(None, "alpha beta"), (None, "gamma"), (7, "gamma")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta y"), (2, "gamma"), (3, "x")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.contamination(docs, bench).collect()}
+    ids = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (2, 1, ids(""), True), 2: (1, 2, ids("7"), True), 3: (0, 0, ids(""), False)}
+    assert [r.doc_id for r in D.drop_contaminated(docs, bench).collect()] == [3]
+
+
+def test_a_block_of_windows_is_small():
+    import pickle
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    vocab = [f"word{i}" for i in range(150_000)]
+    data = [" ".join(rng.choice(vocab) for _ in range(400)) for _ in range(2200)]
+    assert sum(map(len, data)) > 8_000_000
+    ids, texts = pa.array([str(i) for i in range(len(data))]), pa.array([t.encode() for t in data], pa.large_binary())
+    begin = pa.total_allocated_bytes()
+    tracemalloc.start()
+    w = D.compiled(ids, texts)
+    python, kept = tracemalloc.get_traced_memory()[1], pa.total_allocated_bytes() - begin
+    tracemalloc.stop()
+    sent = len(pickle.dumps(w))
+    assert len(w.lengths) > 800_000 and python < 100 << 20 and kept < 50 << 20 and sent < 40 << 20
+
+
+def test_equal_rows_are_one_small_block(spark):
+    text = " ".join(f"t{i}" for i in range(500))
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string").crossJoin(spark.range(10_000)).drop("id")
+    parts = list(D.blocks(bench, "item_id", "text"))
+    assert len(parts) == 1 and len(D.windows_of(parts[0]).lengths) == 491

@@ -115,3 +115,40 @@ def check_packing(rows, docs):
         used[r.sequence_id].append((r.offset, r.length))
     for places in used.values():
         assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+
+
+def test_columns_of_any_name_pass_every_stage(spark, tables):
+    folder, docs, items = tables
+    names = ["__blobs", "__id", "__dk", "a.b", "row", "fp", "score", "shard"]
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    plain_rows = {tuple(r) for r in frame.collect()}
+    wide = frame.selectExpr("*", *(f"concat('{k}', doc_id) AS `{n}`" for k, n in enumerate(names)))
+    assert plain_rows
+    narrow = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        narrow, wide_out = stage(spark, narrow, folder), stage(spark, wide, folder)
+        assert wide_out.columns == wide.columns, name
+        rows = [tuple(r) for r in wide_out.collect()]
+        assert sorted((r[: len(frame.columns)] for r in rows), key=str) == sorted(map(tuple, narrow.collect()), key=str), name
+        assert all(r[len(frame.columns) + k] == (None if r[0] is None else f"{k}{r[0]}") for r in rows for k in range(len(names))), name
+        wide = spark.createDataFrame(rows, wide.schema)
+        narrow = spark.createDataFrame([r[: len(frame.columns)] for r in rows], frame.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, folder).count() > 0
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_an_empty_table(spark, tables, tmp_path, empty):
+    folder, docs, items = tables
+    for name in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{folder}/{name}.parquet")
+        (df.limit(0) if name == empty else df).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    if empty == "documents":
+        assert got == []
+    else:
+        assert len({r.doc_id for r in got}) > 20
+    frame = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    if empty == "labels":  # nothing to learn from: all rows are kept
+        assert corpus_pipeline.quality_filter(spark, frame, f"file://{tmp_path}").count() == len(docs)
+    if empty == "benchmark":
+        assert corpus_pipeline.decontamination(spark, frame, f"file://{tmp_path}").count() == len(docs)
