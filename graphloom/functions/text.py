@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Function words left out of content tokens.
 STOPWORDS = """
 a an the and or for of in on at to from by with as is are was were be been being
-that this those these it its their his her their them they we you i our your not but so
+that this those these it its their his her they them we you i our your not but so
 because therefore however though although while when where which who whom whose
 into over under without within if then also just very really more most much
 """.split()

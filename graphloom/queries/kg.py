@@ -95,7 +95,7 @@ def coverage_rows(spark, d):
 def void_counts(spark, d):
     t = star_as_triples(spark, d, ["region", "nation"])
     place = T.statement(spark.createDataFrame([(EX + "Region",), (EX + "Nation",)], "a string"), F.col("a"), T.SUBCLASS, F.lit(EX + "Place"))
-    return profile.void_counts(t.filter((F.col("p") != T.SUBCLASS) | F.lit(True)).unionByName(place).dropDuplicates())
+    return profile.void_counts(t.unionByName(place).dropDuplicates())
 
 
 @query(

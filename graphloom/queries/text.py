@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import sequential
 from graphloom.functions import text as X
-from graphloom.functions import web
+from graphloom.functions import variants, web
 from graphloom.operators import evaluate, leaders, retrieve, vectors
 from graphloom.operators.lineage import scratch
 from graphloom.sources.star import table
@@ -433,3 +433,32 @@ def spelled_numbers(spark, d):
 def near_lines(spark, d):
     lines = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("lines"))
     return lines.select("conv_id", F.size("lines").alias("n"), F.size(sequential.drop_near_lines("lines", 0.85)).alias("kept"))
+
+
+# --- JSON at any depth ---
+
+
+def _talks(spark, d):
+    """Every conversation as one nested JSON text."""
+    turn = F.struct("turn", "role", F.struct("text", F.length("text").alias("chars"), (F.length("text") > 200).alias("long")).alias("said"))
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return talks.select("conv_id", F.to_json(F.struct("turns")).alias("json"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, turn, text FROM conversations)
+    SELECT key, 'turns[' || i || '].turn' AS path, CAST(turn AS DOUBLE) AS value FROM c WHERE turn IS NOT NULL UNION ALL SELECT key, 'turns[' || i || '].said.chars', length(text) FROM c WHERE text IS NOT NULL
+    UNION ALL SELECT key, 'turns[' || i || '].said.long', CAST(length(text) > 200 AS INT) FROM c WHERE text IS NOT NULL
+    UNION ALL SELECT event_id, 'k', CAST(props ->> 'k' AS DOUBLE) FROM events WHERE props ->> 'k' IS NOT NULL"""
+)
+def json_numbers(spark, d):
+    events = table(spark, d, "events").select("event_id", "props")
+    return variants.flat_numbers(_talks(spark, d), "conv_id", "json").unionByName(variants.flat_numbers(events, "event_id", "props"))
+
+
+@query(
+    """WITH s AS (SELECT conv_id AS key, unnest([role, text]) AS t FROM conversations), e AS (SELECT key, trim(regexp_replace(t, '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS text FROM s)
+    SELECT DISTINCT key, text FROM e WHERE text <> ''"""
+)
+def json_texts(spark, d):
+    return variants.texts(_talks(spark, d), "conv_id", "json").select("key", "text")
