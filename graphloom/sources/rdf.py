@@ -21,27 +21,39 @@ from graphloom.terms import TRIPLE_FIELDS, TRIPLE_SCHEMA, n3, object_term, term
 class Turtle(Parser):
     """Statements of a Turtle document, with the grammar of triple patterns."""
 
+    def directive(self) -> bool:
+        """Take a prefix or base declaration, if one comes."""
+        text = self.peek()[1]
+        if text.lower() not in ("@prefix", "prefix", "@base", "base"):
+            return False
+        self.at += 1
+        if text.lower().endswith("prefix"):
+            prefix = self.next()[1]
+            self.prefixes[prefix[:-1]] = self.iri()
+        else:
+            self.base = self.next()[1][1:-1]
+        self.take(".")
+        return True
+
+    def statement(self, out: list[Triple]) -> None:
+        """A subject and what is said of it."""
+        start = self.at
+        s = self.node(out)
+        if not (self.tokens[start][1] in "[(" and self.peek()[1] in (".", "}")):
+            self.properties(s, out)
+
+    def checked(self, found) -> None:
+        for t in found:
+            if not isinstance(t.p, Path) or t.p.op != "pred":
+                raise QueryError("syntax", "a predicate must be an IRI")
+
     def triples(self) -> list[Triple]:
         out: list[Triple] = []
         while self.peek()[0] != "end":
-            kind, text = self.peek()
-            if text.lower() in ("@prefix", "prefix", "@base", "base"):
-                self.at += 1
-                if text.lower().endswith("prefix"):
-                    prefix = self.next()[1]
-                    self.prefixes[prefix[:-1]] = self.iri()
-                else:
-                    self.base = self.next()[1][1:-1]
-                self.take(".")
-                continue
-            start = self.at
-            s = self.node(out)
-            if not (self.tokens[start][1] in "[(" and self.peek()[1] == "."):
-                self.properties(s, out)
-            self.need(".")
-        for t in out:
-            if not isinstance(t.p, Path) or t.p.op != "pred":
-                raise QueryError("syntax", "a predicate must be an IRI")
+            if not self.directive():
+                self.statement(out)
+                self.need(".")
+        self.checked(out)
         return out
 
 
