@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import sequential
 from graphloom.functions import text as X
 from graphloom.functions import variants, web
-from graphloom.operators import evaluate, leaders, retrieve, vectors
+from graphloom.operators import evaluate, leaders, retrieve, search, vectors
 from graphloom.operators.lineage import scratch
 from graphloom.sources.star import table
 
@@ -462,3 +462,11 @@ def json_numbers(spark, d):
 )
 def json_texts(spark, d):
     return variants.texts(_talks(spark, d), "conv_id", "json").select("key", "text")
+
+
+@query()
+def keyword_search(spark, d):
+    """The ten best documents of every test item by stems; the tests hold it against scoring everything."""
+    index = search.build(table(spark, d, "documents").select("doc_id", "text"), scratch(spark))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.search(index, items, 10)[0]
