@@ -129,24 +129,37 @@ def prints(found: Column) -> Column:
         hashes = F.transform(found, lambda t: F.xxhash64(t, r).bitwiseOR(1))  # odd: never a mark
         return F.sort_array(F.concat(hashes, marks))
 
-    def branch(run: Column, at: Column, b: Column) -> Column:
-        def upper(width: int) -> Column:
-            first = b.bitwiseAND(-width)
+    def upper(run: Column, at: Column, width: int) -> Column:
+        """The entry of each sub-lexicon that ``width`` branches share."""
+
+        def entry(k: Column) -> Column:
+            first = k * width
             n = F.get(at, first + width) - F.get(at, first)
             return F.when(n > width, F.array(digest(F.slice(run, F.get(at, first), n)))).otherwise(F.array().cast("array<int>"))
 
+        return F.transform(F.sequence(F.lit(0), F.lit(BRANCHES // width - 1)), entry)
+
+    def branch(run: Column, at: Column, b: Column, halves: Column, quarters: Column) -> Column:
         def lower(v: Column) -> Column:
             least = F.get(v, F.lit(0)) - F.get(marks, b)
             depth = F.greatest(F.lit(0), 60 - F.floor(F.log2(least.cast("double"))).cast("int"))
-            bounds = F.transform(F.sequence(F.lit(0), depth), lambda k: F.get(marks, b) + (F.call_function("shiftright", eighth, k) - 1))
-            return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(F.transform(bounds, lambda last: digest(F.filter(v, lambda h: h <= last))))
+            bounds = F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda k: F.get(marks, b) + F.call_function("shiftright", eighth, k))
+
+            def levels(bounds: Column) -> Column:
+                # sorted in with the hashes, a level's bound (even: never a hash) tells how many lie below it
+                both = F.sort_array(F.concat(v, bounds))
+                return _let(both, lambda x: F.transform(bounds, lambda bound, k: digest(F.slice(v, 1, F.array_position(x, bound).cast("int") - F.size(bounds) + k))))
+
+            below = F.when(depth > 0, _let(bounds, levels)).otherwise(F.array().cast("array<int>"))
+            return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(F.concat(F.array(digest(v)), below))
 
         mine = F.slice(run, F.get(at, b) + 1, F.get(at, b + 1) - F.get(at, b) - 1)
-        return F.concat(upper(4), upper(2), _let(mine, lower))
+        return F.concat(F.get(halves, F.shiftright(b, 2)), F.get(quarters, F.shiftright(b, 1)), _let(mine, lower))
 
     def streams(run: Column) -> Column:
         begins = F.concat(F.transform(marks, lambda m: F.array_position(run, m).cast("int")), F.array(F.size(run) + 1))
-        return _let(begins, lambda at: F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda b: branch(run, at, b)))
+        every = F.sequence(F.lit(0), F.lit(BRANCHES - 1))
+        return _let(begins, lambda at: _let(upper(run, at, 4), lambda h: _let(upper(run, at, 2), lambda q: F.transform(every, lambda b: branch(run, at, b, h, q)))))
 
     return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), order), streams))
 
