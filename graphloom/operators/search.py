@@ -34,7 +34,11 @@ BANDS = 32
 PART, BUCKETS = 4096, 64
 #: Rounds that each read half as far down; the one after reads everything.
 ROUNDS = 6
-FOUND = "query_id long, doc_id long, score double, rank int"
+TABLES = {
+    "heads": "term string, band int, n long, best double, parts int",
+    "blocks": "term string, band int, part int, postings array<struct<doc_id: bigint, w: double>>",
+    "forward": "doc_id long, term string, w double, bucket int",
+}
 
 
 class Index:
@@ -44,12 +48,12 @@ class Index:
         self.path, self.n, self.mean = path, n, mean
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{name}")
+        return spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
 
 
 def _weights(docs: DataFrame, mean: float | None) -> tuple[DataFrame, int, float]:
     """(doc_id, term, w) of all documents, how many there are, and their mean length."""
-    once = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.coalesce("text", F.lit("")), F.struct(F.length("text"), F.col("text"))).alias("text"))
+    once = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").groupBy("doc_id").agg(F.max_by(F.coalesce("text", F.lit("")), F.struct(F.length("text"), F.col("text"))).alias("text"))
     words = cut(once.select("doc_id", stems(tokens(F.col("text"))).alias("terms")).withColumn("len", F.size("terms")))
     n, average = words.agg(F.count("*"), F.avg("len")).first()
     mean = mean or float(average or 1) or 1.0
