@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from graphloom.operators.lineage import cut
 
 
+#: Hops after which the pairs so far are written as one table.
+FOLD = 8
+
+
 def reachable(edges: DataFrame, seeds: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
     """(start, node, hops): every node that ``edges(src, dst)`` lead to in one hop or more, with the fewest hops.
 
@@ -26,7 +30,7 @@ def reachable(edges: DataFrame, seeds: DataFrame | None = None, max_hops: int |
         hops += 1
         step = new.select("start", F.col("node").alias("src")).join(edges, "src").select("start", F.col("dst").alias("node")).distinct()
         new = cut(step.join(known, ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)))
-        known = known.unionByName(new)
+        known = known.unionByName(new) if hops % FOLD else cut(known.unionByName(new))
     return known
 
 
