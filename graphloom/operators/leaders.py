@@ -6,7 +6,8 @@ That is the lexicographically first independent set of the similarity graph, so
 it depends only on each row's earlier neighbours:
 
 * Neighbours meet in buckets: bands of signs on random hyperplanes, so many that a pair at the threshold shares none with probability ``MISS``;
-  cosines are then computed exactly. Equal vectors are one row from the start.
+  cosines are then computed exactly. Where bands would cost more than they save (few rows, or
+  a low threshold) all rows are one bucket. Equal vectors are one row from the start.
 * A bucket is never compared pair by pair. Its rows are dealt into blocks that
   each meet the bucket's ``head``, its smallest undecided or leading ids, and a
   row keeps its ``KEEP`` smallest neighbours. Up to its *horizon* a row then
@@ -45,16 +46,25 @@ KEEP = 16
 LOCAL_EDGES = 1_000_000
 #: Rounds after which what was decided is written as one table.
 FOLD = 8
+#: Comparisons that cost as much as dealing a row into one more bucket (it is shuffled, read and written).
+DEAL = 1000
+#: Where all rows are one bucket: blocks that they are dealt into at least, and bytes of a block's vectors.
+SPREAD, BLOCK_BYTES = 8, 32 << 20
+#: Cosines computed at once, in single precision; components of the pairs that are then computed in double.
+AT_ONCE, EXACT = 1 << 22, 1 << 22
 #: Stands for "all": larger than every id.
 ALL = (1 << 63) - 1
 STATE = "id long, leader long"
 
 
 def bands_for(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
-    """Bits of a band and the number of bands: as many as leave at most ``miss`` at the threshold, with the bits that cost least (rows dealt, and unlike rows of a bucket compared)."""
+    """Bits of a band and the number of bands: as many as leave at most ``miss`` at the threshold, with the bits that cost least (rows dealt, and unlike rows of a bucket compared).
+
+    No bits: one bucket of all rows.
+    """
     same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    bands = lambda bits: 1 if same >= 1 else math.ceil(math.log(miss) / math.log1p(-(same**bits)))
-    bits = min(range(4, 21), key=lambda b: bands(b) * (1 + n / 2**b / 64))
+    bands = lambda bits: 1 if same >= 1 or not bits else math.ceil(math.log(miss) / math.log1p(-(same**bits)))
+    bits = min([0, *range(4, 21)], key=lambda b: bands(b) * (1 + n / 2**b / DEAL))
     return bits, bands(bits)
 
 
@@ -79,6 +89,31 @@ def banded(rows: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, id long, v array<double>")
 
 
+def buckets_of(once: DataFrame, n: int, threshold: float, seed: int) -> tuple[DataFrame, bool]:
+    """(bucket, id, v), and whether all rows are one bucket."""
+    bits, count = bands_for(n, threshold)
+    return (cut(banded(once, bits, count, seed)), False) if bits else (once.select(F.lit(0).cast("long").alias("bucket"), "id", "v"), True)
+
+
+def _close(m: np.ndarray, h: np.ndarray, threshold: float):
+    """(rows of ``m``, rows of ``h``, cosine) of pairs of unit vectors at the threshold, some rows of ``m`` a time; ordered by both.
+
+    Single precision leaves out what is below the threshold by more than its error; the rest is computed in double.
+    """
+    width = m.shape[1]
+    m32, h32 = m.astype(np.float32), h.astype(np.float32).T
+    least = np.float32(threshold - (width + 4) * 2.0**-23)
+    for lo in range(0, len(m), max(1, AT_ONCE // len(h))):
+        at = np.flatnonzero(m32[lo : lo + max(1, AT_ONCE // len(h))] @ h32 >= least)
+        r, c = at // len(h) + lo, at % len(h)
+        s = np.empty(len(at))
+        for k in range(0, len(at), max(1, EXACT // width)):
+            part = slice(k, k + max(1, EXACT // width))
+            s[part] = np.einsum("ij,ij->i", m[r[part]], h[c[part]])
+        s = np.round(s, 9)
+        yield r[s >= threshold], c[s >= threshold], s[s >= threshold]
+
+
 def _compare(threshold: float, keep: int):
     """Of one block of a bucket: (id, near) for the ``keep`` smallest earlier neighbours in the head, and (id, null, horizon)."""
 
@@ -88,32 +123,40 @@ def _compare(threshold: float, keep: int):
             ids, first = (np.asarray(t.column("id").combine_chunks()) for t in (block, head))
             whole = bool(head.column("whole")[0].as_py())
             order = np.argsort(first)
-            first, h = first[order], matrix(head.column("v"))[order]
-            m = matrix(block.column("v"))
-            for lo in range(0, len(ids), 256):
-                mine = ids[lo : lo + 256]
-                close = (np.round(m[lo : lo + 256] @ h.T, 9) >= threshold) & (first[None] < mine[:, None])
-                n = np.cumsum(close, axis=1)
-                row, at = np.nonzero(close & (n <= keep))
-                out.append((mine[row], first[at], np.full(len(row), ALL)))
-                total = n[:, -1]
-                last = np.where(total >= keep, first[np.argmax(n >= keep, axis=1)], ALL)
-                seen = np.where(whole | (mine <= first[-1]), ALL, first[-1])
-                out.append((mine, np.full(len(mine), ALL), np.minimum(last, seen)))
+            first, h = first[order], unit(matrix(head.column("v")))[order]
+            last = np.full(len(ids), ALL)
+            for r, c, _ in _close(unit(matrix(block.column("v"))), h, threshold):
+                earlier = first[c] < ids[r]
+                r, c = r[earlier], c[earlier]
+                nth = np.arange(len(r)) - np.searchsorted(r, r)
+                r, c, nth = r[nth < keep], c[nth < keep], nth[nth < keep]
+                out.append((ids[r], first[c], np.full(len(r), ALL)))
+                last[r[nth == keep - 1]] = first[c[nth == keep - 1]]
+            seen = np.where(whole | (ids <= first[-1]), ALL, first[-1])
+            out.append((ids, np.full(len(ids), ALL), np.minimum(last, seen)))
         a, b, c = map(np.concatenate, zip(*out, strict=True))
         return pa.table({"id": a, "near": pa.array(b, mask=b == ALL), "horizon": c})
 
     return run
 
 
-def neighbours(live: DataFrame, asked: DataFrame, head: int, threshold: float, keep: int) -> DataFrame:
-    """(id, near, horizon) rows of every asked row in every bucket that it shares."""
-    size = live.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / head).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-    heads = live.withColumn("r", rank).filter(F.col("r") <= head).drop("r").join(size, "bucket")
+def neighbours(live: DataFrame, asked: DataFrame, head: int, threshold: float, keep: int, single: bool = False) -> DataFrame:
+    """(id, near, horizon) rows of every asked row in every bucket that it shares; ``single``: all rows are one bucket."""
     again = [F.col(c).alias(c) for c in ("bucket", "id", "v")]  # names of their own: both sides come from one table
-    heads = heads.select(*again, (F.col("n") <= head).alias("whole"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    blocks = asked.join(size, "bucket").select("bucket", "id", "v", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    if single:
+        # the head by its largest id: no task sorts the bucket
+        first = live.select("id").orderBy("id").limit(head + 1)
+        n, upto = first.count(), first.limit(head).agg(F.max("id")).first()[0]
+        rows = asked.count()
+        blocks = max(1, -(-rows // head), min(2 * SPREAD, -(-rows // HEAD)))
+        heads = live.filter(F.col("id") <= F.lit(upto)).select(*again, F.lit(n <= head).alias("whole"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        blocks = asked.select("bucket", "id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    else:
+        size = live.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / head).cast("int"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+        heads = live.withColumn("r", rank).filter(F.col("r") <= head).drop("r").join(size, "bucket")
+        heads = heads.select(*again, (F.col("n") <= head).alias("whole"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        blocks = asked.join(size, "bucket").select("bucket", "id", "v", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     return blocks.groupBy("bucket", "block").cogroup(heads.groupBy("bucket", "block")).applyInArrow(_compare(threshold, keep), "id long, near long, horizon long")
 
 
@@ -173,20 +216,28 @@ def _decide(edges: DataFrame, state: DataFrame, local_edges: int) -> DataFrame:
     return cut(state.unionByName(new))
 
 
+def _given(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
+    """(id, v): the smallest usable vector of each id; components stay floats where they were given as such."""
+    given = usable(rows, id_column, vector).filter(F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
+    return given.withColumn("v", F.col("v").cast("array<float>")) if rows.schema[vector].dataType.simpleString() == "array<float>" else given
+
+
+def _once(given: DataFrame) -> DataFrame:
+    """(id, v): of equal vectors the one of the smallest id."""
+    return given.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+
+
 def leaders(rows: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", vector: str = "embedding", seed: int = 5, head: int = HEAD, keep: int = KEEP, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, leader) of every id."""
     ids = rows.select(F.col(id_column).cast("long").alias("id")).filter("id is not null").distinct()
-    given = usable(rows, id_column, vector).filter(F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
-    given = cut(given)
-    once = given.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
-    n = once.count()
-    bits, count = bands_for(n, threshold)
-    buckets = cut(banded(once, bits, count, seed))
+    given = cut(_given(rows, id_column, vector))
+    once = cut(_once(given))
+    buckets, single = buckets_of(once, once.count(), threshold, seed)
     spark = rows.sparkSession
     state, left = spark.createDataFrame([], STATE), None
     live = asked = buckets
     while left is None or left.take(1):
-        found = cut(neighbours(live, asked, head, threshold, keep))
+        found = cut(neighbours(live, asked, head, threshold, keep, single))
         horizon = found.groupBy("id").agg(F.min("horizon").alias("horizon"))
         near = found.filter("near is not null").select("id", "near").distinct()
         edges = cut(horizon.join(near, "id", "left").select("id", "near", "horizon"))
@@ -194,8 +245,10 @@ def leaders(rows: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec
         alone = (once if left is None else left).select("id").join(horizon.select("id"), "id", "left_anti").select("id", F.col("id").alias("leader"))
         state = _decide(edges, cut(state.unionByName(alone)), local_edges)
         left = once.select("id").join(state.select("id"), "id", "left_anti")
-        live = buckets.join(state.filter("leader <> id").select("id"), "id", "left_anti")
-        asked = buckets.join(left, "id", "left_semi")
+        live = buckets.join(state.filter("leader <> id").select("id"), "id", "left_anti").select("bucket", "id", "v")
+        asked = buckets.join(left, "id", "left_semi").select("bucket", "id", "v")
+        if single:  # far fewer rows than there were
+            live, asked = cut(live), cut(asked)
         head *= 4
     same = given.join(once.select("v", F.col("id").alias("rep")), "v").select("id", "rep")
     led = same.join(state.select(F.col("id").alias("rep"), "leader"), "rep").select("id", "leader")
@@ -206,27 +259,36 @@ def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, id_column: str
     """(id, near, cosine) of all pairs of different vectors at the threshold or above, near < id: the self-join itself, for sets whose pairs may be listed.
 
     Every bucket is compared block by block, so its size bounds no task; equal vectors are not paired.
+    Two blocks meet once. Where all rows are one bucket their blocks are as large as ``BLOCK_BYTES``
+    allow, so a row is sent to ``SPREAD`` + 1 tasks until rows are more than that many blocks hold.
     """
-    given = cut(usable(rows, id_column, vector).filter(F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v")).groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
-    bits, count = bands_for(given.count(), threshold)
-    buckets = cut(banded(given, bits, count, seed))
-    size = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / HEAD).cast("int").alias("blocks"))
-    dealt = buckets.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = dealt.select("bucket", "block", every.alias("other"), "id", "v")
-    b = dealt.select(F.col("bucket").alias("bucket"), every.alias("block"), F.col("block").alias("other"), F.col("id").alias("id"), F.col("v").alias("v"))
-
-    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+    given = cut(_once(_given(rows, id_column, vector)))
+    n, width = given.agg(F.count("*"), F.max(F.size("v"))).first()
+    buckets, single = buckets_of(given, n, threshold, seed)
+    if single:
+        blocks = max(-(-n * 8 * (width or 1) // BLOCK_BYTES), min(SPREAD, -(-n // HEAD)), 1)
+        dealt = buckets.withColumn("blocks", F.lit(blocks))
+    else:
+        size = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / HEAD).cast("int").alias("blocks"))
+        dealt = buckets.join(size, "bucket")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    a = dealt.select("bucket", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), "id", "v")
+    b = dealt.select(F.col("bucket").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("block").alias("other"), F.col("id").alias("id"), F.col("v").alias("v"))
+
+    def run(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if x.num_rows and y.num_rows:
             i, j = (np.asarray(t.column("id").combine_chunks()) for t in (x, y))
-            s = np.round(matrix(x.column("v")) @ matrix(y.column("v")).T, 9)
-            r, c = np.nonzero((s >= threshold) & (j[None] < i[:, None]))
-            out.append((i[r], j[c], s[r, c]))
+            own = key[1] == key[2]
+            for r, c, s in _close(unit(matrix(x.column("v"))), unit(matrix(y.column("v"))), threshold):
+                p, q = i[r], j[c]
+                once = (q < p) | (not own)  # a block meets itself: each pair twice
+                out.append((np.maximum(p, q)[once], np.minimum(p, q)[once], s[once]))
         return pa.table(dict(zip(["id", "near", "cosine"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     keys = ["bucket", "block", "other"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, "id long, near long, cosine double").dropDuplicates(["id", "near"])
+    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, "id long, near long, cosine double")
+    return found if single else found.dropDuplicates(["id", "near"])
 
 
 def unique_questions(questions: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

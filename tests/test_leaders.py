@@ -76,3 +76,31 @@ def test_unique_questions(spark):
     kept, members = L.unique_questions(q, v)
     assert sorted(map(tuple, kept.collect())) == [(1, "who sang?", 3, "Emma; Luca", "a; c"), (3, "where?", 1, "", "b")]
     assert {r.id: r.leader for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_a_low_threshold_deals_no_row_into_hundreds_of_buckets(spark, monkeypatch):
+    assert L.bands_for(100_000, 0.4) == (0, 1) and L.bands_for(1_000_000, 0.4) == (0, 1)
+    bits, bands = L.bands_for(1_000_000, 0.92)
+    assert bits and bands < 200
+    monkeypatch.setattr(L, "BLOCK_BYTES", 64 * 8 * 50)
+    monkeypatch.setattr(L, "AT_ONCE", 1000)
+    monkeypatch.setattr(L, "EXACT", 640)
+    m = np.random.default_rng(6).normal(size=(700, 64)).astype(np.float32).astype(float)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    close = np.round(u @ u.T, 9)
+    df = spark.createDataFrame([(i, [float(x) for x in v], "x") for i, v in enumerate(m)], SCHEMA.replace("double", "float"))
+    found = L.similar_pairs(df, 0.4).collect()
+    assert len(found) == len({(r.id, r.near) for r in found})
+    assert {(r.id, r.near) for r in found} == {(i, j) for i in range(700) for j in range(i) if close[i, j] >= 0.4}
+    assert {r.id: r.leader for r in L.leaders(df, 0.4, head=40, keep=3).collect()} == greedy(m, 0.4)
+
+
+def test_buckets_of_bands_still_find_all(spark, monkeypatch):
+    monkeypatch.setattr(L, "bands_for", lambda n, threshold: (6, 60))
+    monkeypatch.setattr(L, "HEAD", 30)
+    m = chained(600, seed=4, centres=40)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    close = np.round(u @ u.T, 9)
+    df = spark.createDataFrame([(i, [float(x) for x in v], "x") for i, v in enumerate(m)], SCHEMA)
+    assert {(r.id, r.near) for r in L.similar_pairs(df).collect()} == {(i, j) for i in range(600) for j in range(i) if close[i, j] >= 0.92}
+    assert run(spark, m, head=20, keep=2) == greedy(m, 0.92)
