@@ -122,10 +122,61 @@ def top_edges_per_predicate(edges: DataFrame, k: int) -> DataFrame:
 
 
 def betweenness(edges: DataFrame, max_nodes: int = 2000, sources: DataFrame | None = None) -> DataFrame:
-    """(node, betweenness), exact: in one task up to ``max_nodes`` nodes, by ``betweenness_by_frontiers`` beyond or where ``sources`` are given."""
+    """(node, betweenness), exact: in one task up to ``max_nodes`` nodes.
+
+    Beyond, ends of trees are folded into the nodes they hang on (``fold_leaves``), which gives the scores of
+    what is folded by counting; the core that is left takes one task or ``betweenness_by_frontiers``.
+    ``sources``: see there.
+    """
     links = both_ways(edges).filter("src <> dst").distinct()
-    if sources is not None or links.select("src").distinct().limit(max_nodes + 1).count() > max_nodes:
+    if sources is not None:
         return betweenness_by_frontiers(links, sources)
+    if links.select("src").distinct().limit(max_nodes + 1).count() <= max_nodes:
+        return _brandes(links.withColumn("w", F.lit(1.0))).select("node", "betweenness")
+    nodes, links, folded = fold_leaves(links, max_nodes)
+    weighted = links.join(nodes.select(F.col("node").alias("src"), "w"), "src")
+    if links.select("src").distinct().limit(max_nodes + 1).count() <= max_nodes:
+        core = _brandes(weighted)
+    else:
+        core = betweenness_by_frontiers(weighted, weighted=True)
+    # a node that is left alone is all of its component
+    core = nodes.join(core, "node", "left").select("node", "own", "pairs", F.coalesce("betweenness", F.lit(0.0)).alias("core"), F.coalesce("total", "w").alias("total"))
+    known = cut(core)
+    for part in reversed(folded):
+        totals = known.select(F.col("node").alias("to"), "total")
+        known = cut(known.unionByName(part.join(totals, "to").select("node", "own", "pairs", F.lit(0.0).alias("core"), "total")))
+    return known.select("node", (F.col("pairs") + F.col("own") * (F.col("total") - 1 - F.col("own")) + F.col("core")).alias("betweenness"))
+
+
+def fold_leaves(links: DataFrame, enough: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Fold nodes with one neighbour into it, round by round, until ``enough`` nodes are left or a round folds under a hundredth of them.
+
+    Gives nodes(node, w, own, pairs) and links(src, dst) that are left, and per round (node, to, own, pairs) of
+    what was folded. ``own``: nodes folded into the node; ``w``: itself and those; ``pairs``: pairs of those
+    that only the node connects.
+    """
+    links = cut(links.select("src", "dst"))
+    nodes = cut(links.select(F.col("src").alias("node")).distinct().select("node", F.lit(1.0).alias("w"), F.lit(0.0).alias("own"), F.lit(0.0).alias("pairs")))
+    folded: list[DataFrame] = []
+    while (n := nodes.count()) > enough:
+        ends = cut(links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("to")).filter("n = 1").select("node", "to"))
+        # of two nodes with only each other the smaller stays
+        last = ends.join(ends.select(F.col("to").alias("node"), F.col("node").alias("to")), ["node", "to"], "left_semi").filter(F.col("node") < F.col("to"))
+        gone = cut(ends.join(last.select("node"), "node", "left_anti").join(nodes, "node"))
+        if gone.count() * 100 < n:
+            break
+        gained = gone.groupBy(F.col("to").alias("node")).agg(F.sum("w").alias("a"), F.sum(F.col("w") * F.col("w")).alias("q"))
+        a = F.coalesce("a", F.lit(0.0))
+        more = F.col("own") * a + (a * a - F.coalesce("q", F.lit(0.0))) / 2
+        left = nodes.join(gone.select("node"), "node", "left_anti").join(gained, "node", "left")
+        nodes = cut(left.select("node", (F.col("w") + a).alias("w"), (F.col("own") + a).alias("own"), (F.col("pairs") + more).alias("pairs")))
+        links = cut(links.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        folded.append(gone.select("node", "to", "own", "pairs"))
+    return nodes, links, folded
+
+
+def _brandes(links: DataFrame) -> DataFrame:
+    """(node, betweenness, total) in one task; ``links`` hold (src, dst, w), the nodes that src stands for; ``total`` of its component."""
 
     def run(pdf):
         import pandas as pd
@@ -133,7 +184,8 @@ def betweenness(edges: DataFrame, max_nodes: int = 2000, sources: DataFrame | No
         out: dict[str, list[str]] = {}
         for a, b in zip(pdf["src"], pdf["dst"]):
             out.setdefault(a, []).append(b)
-        score = dict.fromkeys(out, 0.0)
+        weight = dict(zip(pdf["src"], pdf["w"]))
+        score, total = dict.fromkeys(out, 0.0), {}
         for s in out:
             seen, ways, order, before = {s: 0}, {s: 1.0}, [s], {}
             for v in order:
@@ -144,27 +196,29 @@ def betweenness(edges: DataFrame, max_nodes: int = 2000, sources: DataFrame | No
                     if seen[w] == seen[v] + 1:
                         ways[w] += ways[v]
                         before.setdefault(w, []).append(v)
+            total[s] = sum(weight[v] for v in order)
             share = dict.fromkeys(order, 0.0)
             for w in reversed(order):
                 for v in before.get(w, ()):
-                    share[v] += ways[v] / ways[w] * (1 + share[w])
+                    share[v] += ways[v] / ways[w] * (weight[w] + share[w])
                 if w != s:
-                    score[w] += share[w] / 2
-        return pd.DataFrame({"node": list(score), "betweenness": list(score.values())})
+                    score[w] += weight[s] * share[w] / 2
+        return pd.DataFrame({"node": list(score), "betweenness": list(score.values()), "total": [total[s] for s in score]})
 
-    return links.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "node string, betweenness double")
+    return links.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "node string, betweenness double, total double")
 
 
-def betweenness_by_frontiers(links: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def betweenness_by_frontiers(links: DataFrame, sources: DataFrame | None = None, weighted: bool = False) -> DataFrame:
     """The same for graphs of any size: shortest paths from all sources at once, level by level, and back.
 
     ``links(src, dst)`` hold both directions, once each. A level is a join and a grouped sum, written to the
     shared folder. Exact scores need a row for every connected pair of a source and a
     node; ``sources(node)``, a sample of the nodes, bounds that: the scores are then
-    sums over those sources only, to be scaled by the caller.
+    sums over those sources only, to be scaled by the caller. ``weighted``: links have ``w``, the nodes
+    that src stands for, and ``total`` of each node's component is given too.
     """
-    links = cut(links.select("src", "dst"))
-    nodes = links.select(F.col("src").alias("node")).distinct()
+    links = cut(links.select("src", "dst", *(["w"] if weighted else [F.lit(1.0).alias("w")])))
+    nodes = links.groupBy(F.col("src").alias("node")).agg(F.first("w").alias("w"))
     start = nodes if sources is None else sources.select("node").distinct().join(nodes, "node", "left_semi")
     level = cut(start.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("ways")))
     levels = [level]
@@ -179,13 +233,20 @@ def betweenness_by_frontiers(links: DataFrame, sources: DataFrame | None = None)
         levels.append(step)
     share = levels[-1].select("s", "node", "ways", F.lit(0.0).alias("share"))
     out = [share]
+    back_links = links.join(nodes.select(F.col("node").alias("dst"), F.col("w").alias("to_w")), "dst").select("src", "dst", "to_w") if weighted else links.select("src", "dst", F.lit(1.0).alias("to_w"))
+    back_links = cut(back_links)
     for upper in reversed(levels[:-1]):
-        back = share.select("s", F.col("node").alias("dst"), ((1 + F.col("share")) / F.col("ways")).alias("part")).join(links, "dst")
+        back = share.select("s", F.col("node").alias("dst"), "share", "ways").join(back_links, "dst").select("s", "src", ((F.col("to_w") + F.col("share")) / F.col("ways")).alias("part"))
         parts = back.groupBy("s", F.col("src").alias("node")).agg(F.sum("part").alias("part"))
         share = cut(upper.join(parts, ["s", "node"], "left").select("s", "node", "ways", (F.col("ways") * F.coalesce("part", F.lit(0.0))).alias("share")))
         out.append(share)
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
-    scores = every.filter("s <> node").groupBy("node").agg((F.sum("share") / 2).alias("betweenness"))
-    return nodes.join(scores, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    from_ = nodes.select(F.col("node").alias("s"), F.col("w").alias("from_w"))
+    scored = every.filter("s <> node").join(from_, "s") if weighted else every.filter("s <> node").withColumn("from_w", F.lit(1.0))
+    scores = scored.groupBy("node").agg((F.sum(F.col("share") * F.col("from_w")) / 2).alias("betweenness"))
+    result = nodes.join(scores, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    if not weighted:
+        return result
+    return result.join(every.join(nodes, "node").groupBy("s").agg(F.sum("w").alias("total")).withColumnRenamed("s", "node"), "node")
