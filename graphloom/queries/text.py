@@ -11,7 +11,7 @@ from graphloom.functions import sequential
 from graphloom.functions import text as X
 from graphloom.functions import variants, web
 from graphloom.operators import evaluate, leaders, retrieve, search, vectors
-from graphloom.operators.lineage import scratch
+from graphloom.operators.lineage import cut, scratch
 from graphloom.sources.star import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,7 +304,7 @@ def bm25_topk(spark, d):
     SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM o UNION ALL SELECT * FROM z) GROUP BY 1, 2"""
 )
 def rrf_fusion(spark, d):
-    one = _bm25(spark, d, 20).select("query_id", "doc_id", "rank")
+    one = cut(_bm25(spark, d, 20).select("query_id", "doc_id", "rank"))
     two = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
     return retrieve.rrf([one, two], ["query_id", "doc_id"])
 
