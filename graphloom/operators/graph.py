@@ -63,12 +63,24 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     All nodes change at once, from their own ids as labels: the result does not depend on any order.
     """
     links = cut(both_ways(edges).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n")))
-    labels = links.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    # numbers in the order of the names stand for them: groups of longs take a fraction of the memory
+    names = cut(links.select(F.col("src").alias("node")).distinct().orderBy("node").withColumn("id", F.monotonically_increasing_id()))
+    numbered = links.join(names.select(F.col("node").alias("src"), F.col("id").alias("a")), "src").join(names.select(F.col("node").alias("dst"), F.col("id").alias("b")), "dst")
+    links = cut(numbered.select("a", "b", "n"))
+    labels = names.select(F.col("id").alias("a"), F.col("id").alias("label"))
+    # the most votes, then the smallest label, as one number: max() of it needs no sort
+    span = F.lit(_SPAN).cast("decimal(20,0)")
+    packed = (F.col("n").cast("decimal(18,0)") * span).cast("decimal(38,0)") + (F.lit(_SPAN - 1) - F.col("label")).cast("decimal(20,0)")
     for _ in range(rounds):
-        votes = links.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("n").alias("n"))
-        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("community"))
-        labels = cut(best.select(F.col("src").alias("node"), "community"))
-    return labels
+        votes = links.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("n").alias("n"))
+        best = votes.select("a", packed.cast("decimal(38,0)").alias("m")).groupBy("a").agg(F.max("m").alias("m"))
+        labels = cut(best.select("a", (F.lit(_SPAN - 1) - F.pmod("m", span).cast("long")).alias("label")))
+    named = labels.join(names.select(F.col("id").alias("a"), "node"), "a").join(names.select(F.col("id").alias("label"), F.col("node").alias("community")), "label")
+    return named.select("node", "community")
+
+
+#: Above every number of a node: a partition's rows are numbered below 1 << 33, and partitions are fewer than 1 << 20.
+_SPAN = 1 << 53
 
 
 def keep_seed_community(labels: DataFrame, seeds: DataFrame) -> DataFrame:
