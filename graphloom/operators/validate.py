@@ -79,9 +79,13 @@ def range_violation(data: DataFrame, schema: DataFrame) -> DataFrame:
 
 
 def functional_violation(data: DataFrame, predicates: list[str] | DataFrame) -> DataFrame:
-    """Nodes with more than one value of a functional predicate."""
+    """Nodes with more than one value of a functional predicate.
+
+    Values are dealt by node over all shuffle partitions, once: no task holds groups before that, and the two groupings need no other shuffle.
+    """
     used = data.filter(F.col("p").isin(predicates)) if isinstance(predicates, list) else data.join(predicates.select("p").distinct(), "p", "left_semi")
-    many = used.select("s", "p", "o", "o_kind", "o_dt", "o_lang").distinct().groupBy("s", "p").agg(F.count("*").alias("n")).filter("n > 1")
+    n = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = used.select("s", "p", "o", "o_kind", "o_dt", "o_lang").repartition(n, "s").distinct().groupBy("s", "p").agg(F.count("*").alias("n")).filter("n > 1")
     return issues(many, "FUNCTIONAL_VIOLATION", F.col("s"), F.col("p"), F.col("n"))
 
 
