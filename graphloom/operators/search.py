@@ -54,10 +54,13 @@ class Index:
 def _weights(docs: DataFrame, mean: float | None) -> tuple[DataFrame, int, float]:
     """(doc_id, term, w) of all documents, how many there are, and their mean length."""
     once = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").groupBy("doc_id").agg(F.max_by(F.coalesce("text", F.lit("")), F.struct(F.length("text"), F.col("text"))).alias("text"))
-    words = cut(once.select("doc_id", stems(tokens(F.col("text"))).alias("terms")).withColumn("len", F.size("terms")))
-    n, average = words.agg(F.count("*"), F.avg("len")).first()
+    words = once.select("doc_id", stems(tokens(F.col("text"))).alias("terms")).withColumn("len", F.size("terms"))
+    # only counted terms are written; a document's first term (or none) stands for it
+    places = words.select("doc_id", "len", F.posexplode_outer("terms").alias("pos", "term"))
+    counted = cut(places.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"), F.coalesce(F.min("pos"), F.lit(0)).alias("pos")))
+    n, average = counted.filter("pos = 0").agg(F.count("*"), F.avg("len")).first()
     mean = mean or float(average or 1) or 1.0
-    tf = words.select("doc_id", "len", F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    tf = counted.filter("term is not null")
     w = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
     return tf.select("doc_id", "term", F.round(w, 9).alias("w")), n, mean
 
@@ -66,15 +69,16 @@ def _blocked(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, band, part, docs, ws) and (term, band, n, parts, best)."""
     banded = postings.withColumn("band", F.least(F.floor(F.col("w") * BANDS / (K1 + 1)).cast("int"), F.lit(BANDS - 1)))
     heads = cut(banded.groupBy("term", "band").agg(F.count("*").alias("n"), F.max("w").alias("best")).withColumn("parts", F.ceil(F.col("n") / PART).cast("int")))
-    dealt = banded.join(heads.select("term", "band", "parts"), ["term", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    many = cut(heads.filter("parts > 1").select("term", "band", "parts"))  # few: a row for every PART postings at most
+    dealt = banded.join(many, ["term", "band"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int"))
     blocks = dealt.groupBy("term", "band", "part").agg(F.collect_list(F.struct("doc_id", "w")).alias("postings"))
     return blocks, heads
 
 
 def _write(index: Index, postings: DataFrame, blocks: DataFrame, heads: DataFrame) -> Index:
     spark = postings.sparkSession
-    # by range of terms, so that a query's terms are few row groups
-    blocks.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", "band", "part").sortWithinPartitions("term", "band").write.parquet(f"{index.path}/blocks")
+    # as they were grouped: a file holds its terms in order
+    blocks.sortWithinPartitions("term", "band").write.parquet(f"{index.path}/blocks")
     heads.write.parquet(f"{index.path}/heads")
     postings.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")).repartition("bucket").sortWithinPartitions("doc_id").write.partitionBy("bucket").parquet(f"{index.path}/forward")
     spark.createDataFrame([(json.dumps({"n": index.n, "mean": index.mean}),)], "value string").coalesce(1).write.text(f"{index.path}/about")
@@ -84,7 +88,6 @@ def _write(index: Index, postings: DataFrame, blocks: DataFrame, heads: DataFram
 def build(docs: DataFrame, path: str) -> Index:
     """Index ``docs`` (doc_id, text) below a new path."""
     postings, n, mean = _weights(docs, None)
-    postings = cut(postings)
     return _write(Index(path, n, mean), postings, *_blocked(postings))
 
 

@@ -78,3 +78,10 @@ def test_empty(spark):
     none, q = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "query_id long, text string")
     index = search.build(none, lineage.scratch(spark))
     assert search.search(index, q, 3)[0].collect() == [] == search.exhaustive(index, q, 3).collect()
+
+
+def test_documents_without_words_count_in_the_mean(spark):
+    d = spark.createDataFrame([(1, "cat dog dog"), (2, ""), (3, None), (4, "dog"), (4, "dog pig")], "doc_id long, text string").repartition(3)
+    postings, n, mean = search._weights(d, None)
+    assert (n, mean) == (4, 5 / 4)
+    assert {(r.doc_id, r.term) for r in postings.collect()} == {(1, "cat"), (1, "dog"), (4, "dog"), (4, "pig")}
