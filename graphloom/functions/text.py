@@ -113,16 +113,20 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.when(all_ == 0, F.lit(empty)).otherwise(both / all_)
 
 
-def char_grams(c: Column, n: int = 3, pad: bool = True) -> Column:
-    """Distinct character n-grams of the lower-case text, with a space at either end where ``pad``; linear in its length."""
+def _windows(c: Column, n: int, pad: bool) -> Column:
     t = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     t = F.concat(F.lit(" "), t, F.lit(" ")) if pad else t
-    chars = F.regexp_extract_all(t, F.lit("(?s)."), 0)
-    last = F.greatest(F.char_length(t) - (n - 1), F.lit(0))
-    out = F.slice(chars, F.lit(1), last)
-    for k in range(1, n):
-        out = F.zip_with(out, F.slice(chars, F.lit(k + 1), last), lambda x, y: F.concat(x, y))
-    return F.array_distinct(out)
+    return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), 1)  # looks ahead from every character
+
+
+def char_grams(c: Column, n: int = 3, pad: bool = True) -> Column:
+    """Distinct character n-grams of the lower-case text, with a space at either end where ``pad``; linear in its length."""
+    return F.array_distinct(_windows(c, n, pad))
+
+
+def gram_hashes(c: Column, n: int = 3, pad: bool = True) -> Column:
+    """``char_grams`` as hashes of 64 bits, which intersect without boxing."""
+    return F.array_distinct(F.transform(_windows(c, n, pad), lambda x: F.xxhash64(x)))
 
 
 def count_map(toks: Column) -> Column:

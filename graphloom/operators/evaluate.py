@@ -184,13 +184,24 @@ def narrative(df: DataFrame, text: str) -> DataFrame:
     }).drop("__s", "__w", "__k1", "__k2", "__k3", "__c", "__j", "__y")
 
 
-def repeat_streak(sentences: DataFrame, doc: str, threshold: float) -> DataFrame:
-    """Per document the longest run of adjacent near-equal sentences; input has ``doc``, pos, text."""
-    w = Window.partitionBy(doc).orderBy("pos")
-    grams = sentences.withColumn("g", X.char_grams(F.col("text"), pad=False))
-    new = grams.withColumn("new", F.coalesce(X.jaccard(F.col("g"), F.lag("g").over(w), 1.0) < threshold, F.lit(True)).cast("int"))
-    runs = new.withColumn("run", F.sum("new").over(w)).groupBy(doc, "run").agg(F.count("*").alias("n"))
-    return runs.groupBy(doc).agg(F.max("n").alias("streak"))
+def repeat_streak(docs: DataFrame, doc: str, text: str, threshold: float) -> DataFrame:
+    """Per document with sentences the longest run of adjacent near-equal ones, found inside its row; repeated ids give their longest."""
+    rows = docs.select(doc, F.transform(X.sentences(F.col(text)), lambda x: X.gram_hashes(x, pad=False)).alias("g")).filter(F.size("g") > 0)
+
+    def near(i: Column) -> Column:
+        a, b = F.get("g", i), F.get("g", i + 1)
+        least, most = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+        # shared over all is at most the smaller over the larger
+        return F.when(most == 0, F.lit(1.0 >= threshold)).when(least / most < threshold, F.lit(False)).otherwise(X.jaccard(a, b, 1.0) >= threshold)
+
+    rows = rows.select(doc, F.transform(F.slice("g", F.lit(2), F.size("g")), lambda _, i: near(i)).alias("near"))
+    start = F.struct(F.lit(1).cast("long").alias("run"), F.lit(1).cast("long").alias("most"))
+
+    def longer(s: Column, near: Column) -> Column:
+        run = F.when(near, s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
+    return rows.groupBy(doc).agg(F.max(F.aggregate("near", start, longer)["most"]).alias("streak"))
 
 
 def carry_years(sentences: DataFrame, doc: str) -> DataFrame:

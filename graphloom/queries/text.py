@@ -125,7 +125,7 @@ def adjacent_overlap(spark, d):
     SELECT doc_id, max(c) AS streak FROM (SELECT doc_id, run, count(*) AS c FROM r GROUP BY 1, 2) GROUP BY 1"""
 )
 def repeat_streak(spark, d):
-    return evaluate.repeat_streak(_sentence_rows(spark, d), "doc_id", 0.8)
+    return evaluate.repeat_streak(table(spark, d, "documents"), "doc_id", "text", 0.8)
 
 
 # --- support and coverage ---

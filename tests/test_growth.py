@@ -3,7 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
-from graphloom.operators import graph, profile, validate
+from graphloom.operators import evaluate, graph, profile, validate
 from graphloom.terms import EX, TYPE
 
 TRIPLE = "s string, p string, o string, s_kind string, o_kind string, o_dt string, o_lang string"
@@ -64,3 +64,11 @@ def test_class_predicates_and_functional_values_are_dealt_once(spark):
             values[r[0], r[1]].add((r[2], *r[4:]))
     assert {(r.s, r.p): int(r.detail) for r in bad.collect()} == {k: len(v) for k, v in values.items() if len(v) > 1}
     assert plan(bad).count("Exchange hashpartitioning") == 1
+
+
+def test_repeat_streak_stays_in_its_row(spark):
+    texts = {1: "One two three four five. One two three four five! Other words here. One two three four fivE. One two three four five. One two three four five.", 2: "aa. aa", 3: "", 4: "x. y. z?", 5: None, 6: "Only one"}
+    docs = spark.createDataFrame([*texts.items(), (2, "ab")], "doc_id long, text string")
+    df = evaluate.repeat_streak(docs, "doc_id", "text", 0.8)
+    assert {r.doc_id: r.streak for r in df.collect()} == {1: 3, 2: 1, 4: 3, 6: 1}
+    assert "Window" not in plan(df)
