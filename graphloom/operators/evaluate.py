@@ -33,17 +33,20 @@ def featured(lines: DataFrame, text: str, settings: Settings) -> DataFrame:
     """What comparing needs of each line: hashed tokens and 3-grams, names, numbers, years.
 
     Hashes of 64 bits stand for the strings: arrays of longs intersect without
-    boxing. ``plain`` says that no token repeats.
+    boxing. ``reps`` holds the tokens that repeat with their counts,
+    ``squares`` the sum of all counts squared.
     """
     hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
     lines = lines.withColumn("tok", hashed(X.tokens(X.strip_noise(F.col(text))))).withColumn("kinds", F.array_distinct("tok"))
+    counted = F.when(F.size("tok") > F.size("kinds"), F.filter(X.count_map(F.col("tok")), lambda r: r["n"] > 1)).otherwise(F.array().cast("array<struct<t:bigint,n:int>>"))
+    lines = lines.withColumn("reps", counted)
     return lines.withColumns({
-        "plain": F.size("tok") == F.size("kinds"), "gram": hashed(X.char_grams(F.col(text))), "names": X.proper_nouns(F.col(text)),
-        "nums": X.numbers(F.col(text)), "years": X.years(F.col(text), settings.compat_years),
+        "squares": F.size("kinds") + F.aggregate("reps", F.lit(0), lambda a, r: a + r["n"] * r["n"] - 1),
+        "gram": X.gram_hashes(F.col(text)), "names": X.proper_nouns(F.col(text)), "nums": X.numbers(F.col(text)), "years": X.years(F.col(text), settings.compat_years),
     })
 
 
-FEATURES = ["tok", "kinds", "plain", "gram", "names", "nums", "years"]
+FEATURES = ["kinds", "reps", "squares", "gram", "names", "nums", "years"]
 
 
 def dealt(lines: DataFrame, group: str, side: str, settings: Settings) -> DataFrame:
@@ -59,17 +62,28 @@ def dealt(lines: DataFrame, group: str, side: str, settings: Settings) -> DataFr
 def scored(both: DataFrame) -> DataFrame:
     """Adds tfidf, char3, names, nums, years to rows with both sides' features.
 
-    Where no token repeats in either line, the TF-IDF cosine needs only how many they share.
+    The TF-IDF cosine (``pair_tfidf_cosine``) is counted from the kinds of tokens both lines share:
+    each adds one to the product and to both squares, and only the few that repeat add more.
     """
-    both = both.withColumns({"__t": F.size(F.array_intersect("q_kinds", "c_kinds")), "__g": F.size(F.array_intersect("q_gram", "c_gram"))})
+    both = both.withColumns({"__s": F.array_intersect("q_kinds", "c_kinds"), "__g": F.size(F.array_intersect("q_gram", "c_gram"))})
     hit = lambda f: F.when((F.size(f"q_{f}") > 0) & (F.size(f"c_{f}") > 0) & F.arrays_overlap(f"q_{f}", f"c_{f}"), 1.0).otherwise(0.0)
     grams = F.size("q_gram") + F.size("c_gram") - F.col("__g")
     char3 = F.when((F.size("q_gram") == 0) | (F.size("c_gram") == 0), F.lit(0.0)).otherwise(F.col("__g") / grams)
-    alone = (math.log(1.5) + 1) ** 2
-    norm = lambda side: F.sqrt(F.col("__t") + alone * (F.size(f"{side}_kinds") - F.col("__t"))) + 1e-9
-    quick = F.when(F.col("__t") == 0, F.lit(0.0)).otherwise(F.col("__t") / (norm("q") * norm("c")))
-    tfidf = F.when(F.col("q_plain") & F.col("c_plain"), quick).otherwise(X.pair_tfidf_cosine(F.col("q_tok"), F.col("c_tok")))
-    return both.withColumns({"tfidf": tfidf, "char3": char3, "names": hit("names"), "nums": hit("nums"), "years": hit("years")}).drop("__t", "__g")
+    repeated = lambda side: F.filter(f"{side}_reps", lambda r: F.array_contains("__s", r["t"]))
+    none = F.array().cast("array<struct<t:bigint,n:int>>")
+    both = both.withColumns({"__t": F.size("__s"), **{f"__{x}": F.when((F.size("__s") > 0) & (F.size(f"{x}_reps") > 0), repeated(x)).otherwise(none) for x in "qc"}})
+    add = lambda reps, f: F.aggregate(reps, F.lit(0), lambda a, r: a + f(r))
+    # a token that repeats in both adds n * m - 1; of those sums n - 1 and m - 1 are in what it adds as repeating in either
+    twice = add("__q", lambda r: F.aggregate("__c", F.lit(0), lambda a, x: a + F.when(x["t"] == r["t"], (r["n"] - 1) * (x["n"] - 1)).otherwise(0)))
+    dot = F.col("__t") + add("__q", lambda r: r["n"] - 1) + add("__c", lambda r: r["n"] - 1) + twice
+    alone = (math.log(1.5) + 1) * (math.log(1.5) + 1)
+
+    def norm(side: str) -> Column:
+        shared = F.col("__t") + add(f"__{side}", lambda r: r["n"] * r["n"] - 1)
+        return F.sqrt(shared + (F.col(f"{side}_squares") - shared) * F.lit(alone)) + 1e-9
+
+    tfidf = F.when(F.col("__t") == 0, F.lit(0.0)).otherwise(dot / (norm("q") * norm("c")))
+    return both.withColumns({"tfidf": tfidf, "char3": char3, "names": hit("names"), "nums": hit("nums"), "years": hit("years")}).drop("__s", "__t", "__g", "__q", "__c")
 
 
 def pairs(queries: DataFrame, candidates: DataFrame, group: str, settings: Settings) -> DataFrame:

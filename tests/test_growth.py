@@ -3,6 +3,9 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as X
 from graphloom.operators import evaluate, graph, profile, validate
 from graphloom.terms import EX, TYPE
 
@@ -72,3 +75,14 @@ def test_repeat_streak_stays_in_its_row(spark):
     df = evaluate.repeat_streak(docs, "doc_id", "text", 0.8)
     assert {r.doc_id: r.streak for r in df.collect()} == {1: 3, 2: 1, 4: 3, 6: 1}
     assert "Window" not in plan(df)
+
+
+def test_pairs_count_repeated_tokens(spark):
+    lines = ["the cat and the dog and the cow", "the the the", "a dog", "", "and the end", "dog dog cow", "the cat and the dog and the cow"]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "g int, pos long, text string")
+    s = evaluate.Settings()
+    both = evaluate.scored(evaluate.dealt(rows, "g", "q", s).join(evaluate.dealt(rows, "g", "c", s), "g"))
+    assert "q_reps" in both.columns  # pairs need no token lists
+    words = lambda c: F.transform(X.tokens(F.col(c)), lambda x: F.xxhash64(x))
+    got = both.select("tfidf", X.pair_tfidf_cosine(words("q_text"), words("c_text")).alias("want")).collect()
+    assert len(got) == 49 and all(r.tfidf == r.want for r in got) and len({r.want for r in got}) > 8
