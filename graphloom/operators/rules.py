@@ -64,13 +64,21 @@ def literal_fits(datatype: Column, value: Column, wants: Column) -> Column:
 
 def check(data: DataFrame, schema: DataFrame) -> DataFrame:
     """Issue rows of every triple that is judged; a triple may have one about its subject and one about its object."""
-    used = data.filter(~F.col("p").isin(ABOUT)).select("s", "p", "o", "o_kind", "o_dt", "o_lang").distinct()
+    n = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = cut(expectations(schema, DOMAIN).withColumnRenamed("wants", "domains").join(expectations(schema, RANGE).withColumnRenamed("wants", "ranges"), "p", "full"))
-    own = types(data).select("s", "cls").distinct()
-    above = cut(fitting(schema, own.select("cls").distinct()))
+    # dealt by node once: repeats, classes and subjects meet in the same partitions
+    own = types(data).select("s", "cls").repartition(n, "s").distinct()
+    above = cut(fitting(schema, types(data).select("cls").distinct()))
     nodes = own.join(above, "cls").groupBy("s").agg(F.array_sort(F.collect_set("cls")).alias("types"), F.collect_set("above").alias("fits"))
-    told = used.join(wanted, "p", "left").join(nodes.select("s", F.col("types").alias("s_types"), F.col("fits").alias("s_fits")), "s", "left")
-    told = told.join(nodes.select(F.col("s").alias("o"), F.col("types").alias("o_types"), F.col("fits").alias("o_fits")), "o", "left")
+    triple = ["s", "p", "o", "o_kind", "o_dt", "o_lang"]
+    ranged = wanted.filter("ranges is not null").select("p", F.lit(True).alias("ranged"))
+    judged = data.filter(~F.col("p").isin(ABOUT)).select(*triple).join(ranged, "p", "left")
+    asks = F.col("ranged").isNotNull() & ~F.coalesce("o_kind", F.lit("")).isin("lit", "bnode")  # whose object's classes decide
+    subjects = nodes.select("s", F.col("types").alias("s_types"), F.col("fits").alias("s_fits"))
+    told = lambda rows: rows.select(*triple).repartition(n, "s").distinct().join(wanted, "p", "left").join(subjects, "s", "left")
+    none = F.lit(None).cast("array<string>")
+    linked = told(judged.filter(asks)).join(nodes.select(F.col("s").alias("o"), F.col("types").alias("o_types"), F.col("fits").alias("o_fits")), "o", "left")
+    told = told(judged.filter(~asks)).withColumns({"o_types": none, "o_fits": none}).unionByName(linked)
     literal = F.col("o_kind") == "lit"
     about_s = (
         F.when(F.col("domains").isNull(), F.lit("domain_unknown"))

@@ -1,13 +1,14 @@
 """What plans of graph operators may not hold or move at size, and that results stay."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import evaluate, graph, profile, validate
-from graphloom.terms import EX, TYPE
+from graphloom.operators import evaluate, graph, profile, rules, validate
+from graphloom.terms import EX, RDFS, TYPE
 
 TRIPLE = "s string, p string, o string, s_kind string, o_kind string, o_dt string, o_lang string"
 
@@ -86,3 +87,21 @@ def test_pairs_count_repeated_tokens(spark):
     words = lambda c: F.transform(X.tokens(F.col(c)), lambda x: F.xxhash64(x))
     got = both.select("tfidf", X.pair_tfidf_cosine(words("q_text"), words("c_text")).alias("want")).collect()
     assert len(got) == 49 and all(r.tfidf == r.want for r in got) and len({r.want for r in got}) > 8
+
+
+def test_rules_deal_triples_by_subject_once(spark):
+    t = triples(spark)
+    data = spark.createDataFrame(t + t[:50], TRIPLE)
+    schema = spark.createDataFrame([(EX + "p", RDFS + "domain", EX + "A", "iri", "iri", "", ""), (EX + "q", RDFS + "range", EX + "B", "iri", "iri", "", "")], TRIPLE)
+    df = rules.check(data, schema)
+    assert not re.search(r"hashpartitioning\(s#\d+, p#", plan(df))
+    cls = defaultdict(set)
+    for r in t:
+        if r[1] == TYPE:
+            cls[r[0]].add(r[2])
+    want = Counter()
+    for s, p, o, _, ok, *_ in {r for r in t if r[1] != TYPE}:
+        want[(p, "domain_unknown") if p != EX + "p" else (p, "subject_untyped") if not cls[s] else (p, "" if EX + "A" in cls[s] else "domain_mismatch")] += 1
+        about_o = "range_unknown" if p != EX + "q" else "blank_node_object" if ok == "bnode" else "object_untyped" if not cls[o] else "" if EX + "B" in cls[o] else "range_mismatch_iri"
+        want[p, about_o] += 1
+    assert Counter((r.property, r.code) for r in df.collect()) == Counter({k: n for k, n in want.items() if k[1]})
