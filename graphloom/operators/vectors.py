@@ -37,6 +37,8 @@ MIN_CELLS, MAX_CELLS = 16, 4096
 CENTRE_BYTES = 32 << 20
 #: Vectors that train the cells (for each cell, and altogether), and rounds of training.
 TRAIN_EACH, TRAIN_ROWS, ROUNDS = 64, 65_536, 10
+#: Numbers that one step of finding rows' cells holds.
+STEP_VALUES = 1 << 20
 #: Queries that probes are measured with, and the recall asked for.
 MEASURE_ROWS, RECALL = 256, 0.95
 METRICS = ("cosine", "ip", "l2")
@@ -184,13 +186,15 @@ def _with_cells(rows: DataFrame, centres: np.ndarray, metric: str, count: int, r
     def run(batches):
         for b in batches:
             m = matrix(b.column(1))
-            if len(m):
-                near = order_of_cells(m, shared.value, metric)[:, :count]
+            # distances to every cell and copies of vectors: a few rows at a time, however many cells there are
+            step = max(1, STEP_VALUES // (len(shared.value) + min(count, len(shared.value)) * m.shape[1] + 1))
+            for lo in range(0, len(m), step):
+                near = order_of_cells(m[lo : lo + step], shared.value, metric)[:, :count]
                 n = near.shape[1]
-                at = pa.array(np.repeat(np.arange(len(m)), n))
+                at = pa.array(np.repeat(np.arange(lo, lo + len(near)), n))
                 out = [b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))]
                 if rank:
-                    out.append(pa.array(np.tile(np.arange(n, dtype=np.int32), len(m))))
+                    out.append(pa.array(np.tile(np.arange(n, dtype=np.int32), len(near))))
                 yield pa.RecordBatch.from_arrays(out, names=["id", "v", "cell", "place"][: len(out)])
 
     return rows.mapInArrow(run, "id long, v array<double>, cell int" + (", place int" if rank else ""))

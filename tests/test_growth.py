@@ -2,12 +2,16 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import evaluate, graph, profile, rules, validate
+from graphloom.operators import evaluate, graph, profile, rules, validate, vectors
 from graphloom.terms import EX, RDFS, TYPE
 
 TRIPLE = "s string, p string, o string, s_kind string, o_kind string, o_dt string, o_lang string"
@@ -105,3 +109,35 @@ def test_rules_deal_triples_by_subject_once(spark):
         about_o = "range_unknown" if p != EX + "q" else "blank_node_object" if ok == "bnode" else "object_untyped" if not cls[o] else "" if EX + "B" in cls[o] else "range_mismatch_iri"
         want[p, about_o] += 1
     assert Counter((r.property, r.code) for r in df.collect()) == Counter({k: n for k, n in want.items() if k[1]})
+
+
+class _Local:
+    """A frame that hands its Arrow function back."""
+
+    def __getattr__(self, _):
+        return self
+
+    def broadcast(self, value):
+        return SimpleNamespace(value=value)
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_cells_of_a_batch_are_found_in_small_steps():
+    rng = np.random.default_rng(3)
+    centres, m = rng.normal(size=(4096, 16)), rng.normal(size=(3000, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(m))), pa.array(m.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+    for count in (3, 200):
+        run = vectors._with_cells(_Local(), centres, "l2", count, rank=True)
+        start = pa.total_allocated_bytes()
+        tracemalloc.start()
+        found, most = [], 0
+        for b in run([batch]):
+            most = max(most, pa.total_allocated_bytes() - start)
+            found.append(np.asarray(b.column(2)).copy())
+            del b
+        most += tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (np.concatenate(found) == vectors.order_of_cells(m, centres, "l2")[:, :count].ravel()).all()
+        assert most < 80 << 20
