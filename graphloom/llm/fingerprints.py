@@ -62,9 +62,9 @@ LOWEST = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
-    """Distinct term hashes of a text, sorted."""
+    """Distinct term hashes of a text, in no order that counts."""
     words = F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " ")
-    return F.sort_array(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 class Lexicon:
@@ -182,9 +182,10 @@ def likeness(x: str, x_text: str, y: str, y_text: str) -> Column:
 
     def over_all(f: str, text: str) -> Column:
         few, mine = F.col(f"{f}_few"), F.col(f"{f}_hashes")
-        return F.when((F.col(f"{x}_few") != F.col(f"{y}_few")) & ~few, prints(terms(F.col(text)))).otherwise(mine)
+        return F.when((F.col(f"{x}_few") != F.col(f"{y}_few")) & ~few, _let(terms(F.col(text)), prints)).otherwise(mine)
 
-    return equal_share(over_all(x, x_text), over_all(y, y_text))
+    # both sides are read several times: each is made once
+    return _let(F.struct(over_all(x, x_text).alias("p"), over_all(y, y_text).alias("q")), lambda v: equal_share(v["p"], v["q"]))
 
 
 def equal_share(p: Column, q: Column) -> Column:
@@ -196,14 +197,15 @@ def equal_share(p: Column, q: Column) -> Column:
     applied to the share of such streams among those that hold any term.
     """
     told = F.zip_with(p, q, lambda a, b: F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(None)).otherwise((F.size(a) == F.size(b)) & (F.element_at(a, F.lit(-1)) == F.element_at(b, F.lit(-1)))))
-    count = lambda keep: F.size(F.filter(told, keep))
-    share = count(lambda x: x) / F.greatest(F.lit(1), count(lambda x: x.isNotNull()))
+    count = lambda t, keep: F.size(F.filter(t, keep))
+    share = _let(told, lambda t: count(t, lambda x: x) / F.greatest(F.lit(1), count(t, lambda x: x.isNotNull())))
     return F.when(p == q, F.lit(1.0)).otherwise(2 * (1 - F.pow(F.lit(2.0), -share))).cast("double")
 
 
 def as_text(name: str) -> Column:
     """The hashes in hexadecimal, stream by stream; ``all:`` before those of all terms."""
-    streams = F.transform(f"{name}_hashes", lambda a: F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 3, "0")), ""))
+    digits = F.split(F.lit(",".join(f"{h:03x}" for h in range(1 << 12))), ",")  # folded into one array
+    streams = F.transform(f"{name}_hashes", lambda a: F.array_join(F.transform(a, lambda h: F.get(digits, h)), ""))
     return F.concat(F.when(F.col(f"{name}_few"), F.lit("all:")).otherwise(F.lit("")), F.array_join(streams, ","))
 
 
