@@ -22,14 +22,24 @@ def local_band(sentences: DataFrame, doc: str, low: float = 0.15, high: float =
     return t.groupBy(doc).agg(F.coalesce(F.avg(F.col("j").between(low, high).cast("double")), F.lit(1.0)).alias("local_band"))
 
 
-def bridge_rate(sentences: DataFrame, doc: str) -> DataFrame:
-    """Share of sentences with a bridging word, clamped to 0.2..0.6 and scaled to 0..1."""
-    padded = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+
+
+def _bridged(padded: Column) -> Column:
     hit = F.lit(False)
     for word in BRIDGES:
         hit = hit | padded.contains(f" {word} ")
-    raw = F.avg(hit.cast("double"))
-    return sentences.groupBy(doc).agg(((F.least(F.lit(0.6), F.greatest(F.lit(0.2), raw)) - 0.2) / 0.4).alias("bridge_rate"))
+    return hit
+
+
+def _clamped(share: Column) -> Column:
+    return (F.least(F.lit(0.6), F.greatest(F.lit(0.2), share)) - 0.2) / 0.4
+
+
+def bridge_rate(sentences: DataFrame, doc: str) -> DataFrame:
+    """Share of sentences with a bridging word, clamped to 0.2..0.6 and scaled to 0..1."""
+    return sentences.groupBy(doc).agg(_clamped(F.avg(_bridged(_padded(F.col("text"))).cast("double"))).alias("bridge_rate"))
 
 
 def temporal_consistency(sentences: DataFrame, doc: str) -> DataFrame:
@@ -44,38 +54,79 @@ def temporal_consistency(sentences: DataFrame, doc: str) -> DataFrame:
     return s.groupBy(doc).agg(F.when(n == 0, 1.0).otherwise(1 - F.sum(back.cast("int")) / n).alias("temporal"))
 
 
-def entity_flow(sentences: DataFrame, entities: DataFrame, doc: str) -> DataFrame:
+def entity_flow(near: Column, pairs: Column) -> Column:
     """0.7 of the share of neighbours that name a common entity, 0.3 of how many they share (two at most).
 
-    ``entities(doc, entity)`` are matched as substrings, case ignored, inside their document.
+    ``near`` holds how many entities each two neighbouring sentences share.
     """
-    names = entities.filter("entity <> ''").groupBy(doc).agg(F.collect_set(F.lower("entity")).alias("names"))
-    named = sentences.join(names, doc).select(doc, "pos", F.filter("names", lambda e: F.contains(F.lower("text"), e)).alias("es"))
-    w = Window.partitionBy(doc).orderBy("pos")
-    s = sentences.select(doc, "pos").join(named, [doc, "pos"], "left").withColumn("es", F.coalesce("es", F.array().cast("array<string>"))).withColumn("n", F.size(F.array_intersect("es", F.lag("es").over(w))))
-    pairs = F.greatest(F.count("*") - 1, F.lit(1))
-    known = F.when(F.col("n") > 0, F.col("n")).otherwise(0)
-    share, shared = F.sum((known > 0).cast("int")) / pairs, F.sum(F.least(known, F.lit(2))) / pairs / 2
-    return s.groupBy(doc).agg((0.7 * share + 0.3 * shared).alias("entity_flow"))
+    share = F.size(F.filter(near, lambda n: n > 0)) / pairs
+    shared = F.aggregate(near, F.lit(0), lambda t, n: t + F.least(n, F.lit(2))) / pairs / 2
+    return 0.7 * share + 0.3 * shared
 
 
-def reference_stability(sentences: DataFrame, entities: DataFrame, doc: str) -> DataFrame:
+def reference_stability(said: Column, names: Column) -> Column:
     """1 less 0.25 for every form beyond two that an entity has on average among the capitalised names of the text; 0 at least."""
     norm = lambda c: F.lower(F.trim(F.regexp_replace(c, "[^A-Za-z0-9 ]+", "")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    forms = F.array_distinct(F.regexp_extract_all(F.col("said"), F.lit(r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})\b"), 1))
-    said = sentences.groupBy(doc).agg(joined.alias("said")).select(doc, forms.alias("forms")).withColumn("plain", F.transform("forms", norm))
-    names = entities.select(doc, norm(F.col("entity")).alias("e")).filter("e <> ''").groupBy(doc).agg(F.collect_set("e").alias("names"))
-    found = F.filter(F.transform("names", lambda e: F.size(F.filter("plain", lambda f: F.contains(f, e)))), lambda n: n > 0)
-    s = said.join(names, doc, "left").select(doc, F.coalesce(found, F.array().cast("array<int>")).alias("found"))
-    extra = F.aggregate("found", F.lit(0), lambda t, n: t + F.greatest(n - 2, F.lit(0)))
-    return s.select(doc, F.when(F.size("found") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - 0.25 * extra / F.size("found"))).alias("ref_stability"))
+    forms = F.array_distinct(F.regexp_extract_all(F.array_join(said, " "), F.lit(r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})\b"), 1))
+    known = F.array_distinct(F.filter(F.transform(names, norm), lambda e: e != ""))
+    count = lambda plain: F.filter(F.transform(known, lambda e: F.size(F.filter(plain, lambda f: F.contains(f, e)))), lambda n: n > 0)
+    extra = lambda found: F.aggregate(found, F.lit(0), lambda t, n: t + F.greatest(n - 2, F.lit(0)))
+    score = lambda found: F.when(F.size(found) == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - 0.25 * extra(found) / F.size(found)))
+    return _once(_once(F.transform(forms, norm), count), score)
+
+
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _temporal(said: Column) -> Column:
+    """``temporal_consistency`` of the sentences of one document, in order."""
+    years = lambda x: F.transform(X.years(x), lambda y: y.cast("int"))
+    span = lambda x, y: F.struct(F.array_min(y).alias("first"), F.array_max(y).alias("last"), F.lower(x).rlike("|".join(BACKWARD)).alias("told"))
+    # most sentences hold no digit, and no year without one
+    dated = F.transform(F.filter(said, lambda x: x.rlike("(?:19|20)[0-9]{2}")), lambda x: _once(years(x), lambda y: F.when(F.size(y) > 0, span(x, y))))
+    start = F.struct(F.lit(None).cast("int").alias("known"), F.lit(0).alias("n"), F.lit(0).alias("back"))
+
+    def step(s: Column, x: Column) -> Column:
+        pair = s["known"].isNotNull()
+        back = pair & (x["last"] < s["known"]) & ~x["told"]
+        return F.struct(x["first"].alias("known"), (s["n"] + pair.cast("int")).alias("n"), (s["back"] + back.cast("int")).alias("back"))
+
+    return F.aggregate(F.filter(dated, lambda x: x.isNotNull()), start, step, lambda s: F.when(s["n"] == 0, 1.0).otherwise(1 - s["back"] / s["n"]))
 
 
 def cohesion(sentences: DataFrame, entities: DataFrame, doc: str) -> DataFrame:
-    """The parts and their weighted sum."""
-    sentences, entities = sentences.repartition(doc), entities.repartition(doc)  # the parts share these shuffles
-    out = local_band(sentences, doc).join(entity_flow(sentences, entities, doc), doc).join(bridge_rate(sentences, doc), doc).join(temporal_consistency(sentences, doc), doc).join(reference_stability(sentences, entities, doc), doc)
+    """The parts and their weighted sum. Sentences and entities of a document are brought into one row."""
+    said = sentences.filter(F.col(doc).isNotNull()).groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("said"))
+    names = entities.groupBy(doc).agg(F.collect_set("entity").alias("names"))
+    return cohesion_of(said.join(names, doc, "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>"))), doc)
+
+
+def cohesion_of(rows: DataFrame, doc: str) -> DataFrame:
+    """``cohesion`` of rows ``(doc, said, names)``: sentences in order, one at least, and entities of one document. Nothing is shuffled.
+
+    Entities are matched as substrings, case ignored, inside their document. Rows of one id are judged apart.
+    """
+    n = F.size("said")
+    kinds = F.transform("said", lambda x: F.array_distinct(F.transform(X.tokens(x), lambda t: F.xxhash64(t))))
+    lowered = F.array_distinct(F.transform(F.filter("names", lambda e: e != ""), lambda e: F.lower(e)))
+    rows = rows.withColumns({"__t": kinds, "__e": lowered})
+    # places of the entities, which are cheaper to compare than their names
+    named = F.transform("said", lambda x: _once(F.lower(x), lambda low: F.filter(F.transform("__e", lambda e, i: F.when(F.contains(low, e), i)), lambda i: i.isNotNull())))
+    rows = rows.withColumn("__n", F.when(F.size("__e") > 0, named).otherwise(F.array().cast("array<array<int>>")))
+    after = lambda c, f: F.transform(F.slice(c, F.lit(2), F.greatest(F.size(c), F.lit(1))), lambda x, i: f(F.get(c, i), x))
+    pairs = F.greatest(n - 1, F.lit(1))
+    inside = F.size(F.filter(after("__t", lambda a, b: X.jaccard(a, b)), lambda j: j.between(0.15, 0.65)))
+    rows = rows.withColumn("__near", after("__n", lambda a, b: F.size(F.array_intersect(a, b))))
+    out = rows.select(
+        doc,
+        F.when(n < 2, F.lit(1.0)).otherwise(inside / pairs).alias("local_band"),
+        entity_flow(F.col("__near"), pairs).alias("entity_flow"),
+        _clamped(F.size(F.filter("said", lambda x: _once(_padded(x), _bridged))) / n).alias("bridge_rate"),
+        _temporal(F.col("said")).alias("temporal"),
+        reference_stability(F.col("said"), F.col("names")).alias("ref_stability"),
+    )
     score = 0.35 * F.col("local_band") + 0.25 * F.col("entity_flow") + 0.15 * F.col("bridge_rate") + 0.15 * F.col("temporal") + 0.10 * F.col("ref_stability")
     return out.withColumn("cohesiveness", F.round(score, 3))
 

@@ -175,6 +175,7 @@ def set_coverage(spark, d):
 
 @query()
 def cohesion_scores(spark, d):
-    docs = table(spark, d, "documents")
-    names = docs.select("doc_id", F.explode(F.array_distinct(X.proper_nouns(F.col("text")))).alias("entity"))
-    return narrative.cohesion(_rows(spark, d), names, "doc_id")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, d, "documents").select("doc_id", "text").filter("doc_id IS NOT NULL").repartition(n, "doc_id")  # a file may be one task
+    rows = docs.select("doc_id", X.sentences(F.col("text")).alias("said"), F.array_distinct(X.proper_nouns(F.col("text"))).alias("names"))
+    return narrative.cohesion_of(rows.filter(F.size("said") > 0), "doc_id")
