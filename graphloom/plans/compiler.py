@@ -137,7 +137,8 @@ class Compiler:
         for n in shared:
             same = F.col(n) == F.col(f"__r_{n}")
             if n in a.sure and n in b.sure:
-                conditions.append(same)
+                # terms are sorted by a number; their texts, which begin alike, decide among equal ones
+                conditions += [F.xxhash64(n) == F.xxhash64(f"__r_{n}"), same]
             else:
                 conditions.append(F.col(n).isNull() | F.col(f"__r_{n}").isNull() | same)
         merged = lambda n: F.coalesce(F.col(n), F.col(f"__r_{n}")) if n in a.names and n in b.names else F.col(n if n in a.names else f"__r_{n}")

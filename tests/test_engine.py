@@ -227,3 +227,15 @@ def test_entry_works_without_training_data_operators(monkeypatch):
     names = set(entry.queries())
     assert names and not any(n == "pipeline" or n.startswith("op") and n[2].isdigit() for n in names)
     assert set(entry.oracle_sql()) <= names
+
+
+def test_terms_are_joined_by_numbers_first(spark):
+    from graphloom.plans.compiler import Compiler
+    from graphloom.plans.parser import parse
+    from graphloom.queries import sparql
+    from graphloom.sources.star import star_as_triples
+
+    triples = star_as_triples(spark, "/root/testdata/sf0.001", ["customer", "orders"])
+    got = Compiler(triples.hint("merge")).compile(parse("SELECT ?o ?n WHERE { ?o ex:placedBy ?c . ?c schema:name ?n }", sparql.PREFIXES))
+    assert "xxhash64(c" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
