@@ -198,7 +198,8 @@ def decision_vote(spark, d):
 @query(_pairs_sql("assistant", "user") + f" SELECT conv_id, q_pos AS pos, round(greatest(tfidf, char3), 6) AS l FROM best WHERE NOT {_SUPPORTED} AND greatest(tfidf, char3) >= 0.2 AND greatest(tfidf, char3) < 0.35 ORDER BY greatest(tfidf, char3) DESC, conv_id, q_pos LIMIT 50")
 def near_miss_topk(spark, d):
     said, heard = _talk(spark, d)
-    out = evaluate.near_misses(evaluate.decide(evaluate.best_match(said, heard, "conv_id")), 0.2, 0.35, 50)
+    matched = evaluate.to_the_last_digit(evaluate.best_match(said, heard, "conv_id"), 0.2, 0.35, 50)
+    out = evaluate.near_misses(evaluate.decide(matched), 0.2, 0.35, 50)
     return out.select("conv_id", "pos", F.round("L", 6).alias("l"))
 
 
