@@ -39,8 +39,13 @@ STAR = {
 
 
 def table_triples(spark: SparkSession, sf_dir: str, name: str, predicates: set[str] | None = None) -> list[DataFrame]:
+    return row_triples(table(spark, sf_dir, name), name, predicates)
+
+
+def row_triples(df: DataFrame, name: str, predicates: set[str] | None = None) -> list[DataFrame]:
+    """Triples of some rows of a table."""
     kind, keys, columns = STAR[name]
-    df, subject = table(spark, sf_dir, name), node(name, *keys)
+    subject = node(name, *keys)
     out = [statement(df, subject, TYPE, F.lit(EX + kind))] if predicates is None or TYPE in predicates else []
     for p, (column, how) in columns.items():
         if predicates is not None and p not in predicates:

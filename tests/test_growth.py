@@ -141,3 +141,30 @@ def test_cells_of_a_batch_are_found_in_small_steps():
         tracemalloc.stop()
         assert (np.concatenate(found) == vectors.order_of_cells(m, centres, "l2")[:, :count].ravel()).all()
         assert most < 80 << 20
+
+
+def test_health_of_tables_shuffles_keys_and_values(spark, tmp_path):
+    from datetime import datetime
+
+    from graphloom.queries import kg
+
+    day = lambda d, h=0: datetime(2020, 1, d, h)
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "12,3"), (1, None)]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0), (1, "M", 7), (0, "N", 1)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", [(1, "x", 0, 1.5, "S"), (1, "x", 1, 1.5, None), (2, "77", 9, None, "S"), (None, "q", 0, 2.0, "S"), (None, "q", 0, 3.0, "T")]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(1, "s", 9, 0.5)]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_type string, p_size int", [(1, "p", "b", "t", 5)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string", [(1, 1, "O", 1.0, day(1), "1"), (1, 5, "O", 2.0, day(1, 5), "2"), (3, None, None, None, None, None)]),
+        "lineitem": (
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string",
+            [(1, 1, 1, 1, 2.0, "N"), (1, 1, 2, 1, 2.0, "A"), (1, 4, 2, 1, 3.0, "N"), (8, None, 1, 1, None, None), (None, 1, 1, 5, 1.0, "N"), (5, 1, 1, None, 1.0, "N"), (1, 1, 1, 2, 2.0, "N")],
+        ),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = kg.health_summary(spark, str(tmp_path))
+    want = profile.health(kg.star_as_triples(spark, str(tmp_path), kg.EVERY).filter(F.col("p") != kg.T.SUBCLASS))
+    assert got.columns == want.columns and got.first() == want.first()
+    assert got.first()["dangling"] == 7 and got.first()["untyped_numbers"] == 4 and got.first()["repeated"] > 15
+    assert "hashpartitioning(l_orderkey" in plan(got) and "Generate explode" not in plan(got)
